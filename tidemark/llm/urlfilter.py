@@ -7,8 +7,8 @@ level that rejects it is odd (or all accept it and their number is odd). The uni
 membership is exact and judging a page needs no join: the levels are binary literals in the plan.
 
 Size: with r listed keys in a universe of s, level 0 has a false positive rate of about r / s, so level 1 encodes
-about r keys, and each later pair of levels half of the pair before. All levels together take at most about
-r * (1.44 * log2(s / r) + 8) bits, whatever the number of pages. ``MAX_LISTED`` bounds r, so the literal is bounded;
+about r keys, level 2 a sixteenth of the listed ones, and so on. All levels together take about
+r * (1.44 * log2(s / r) + 7) bits, whatever the number of pages. ``MAX_LISTED`` bounds r, so the literal is bounded;
 longer lists are refused with an error, not cut.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the method's verdict for
@@ -30,6 +30,9 @@ MAX_LISTED = 5_000_000
 #: Seven bits of each byte are used: such a byte is one ASCII character, which ``ascii`` reads without a cast to hex.
 BITS = 7
 
+#: False positive rate of the levels after the first: small, so that few levels follow.
+LATER_RATE = 1 / 16
+
 #: Rules as (host, path) written together; the first ``/`` ends the host.
 BLOCK_RULES = ("net/", "example.com/de/")
 ALLOW_RULES = ("example.net/en/", "org/fr/")
@@ -89,7 +92,7 @@ def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 
 def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of the ``key`` column; ``count`` is bounded by the caller."""
+    """A Bloom filter of the ``key`` column of a bounded table in one partition: no shuffle."""
     hashes = max(1, round(-math.log2(rate)))
     bits = max(64, math.ceil(count * hashes / math.log(2)))
     at = F.explode(F.array(*positions(F.col("key"), bits, hashes, seed)))
@@ -100,7 +103,7 @@ def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
         .agg(F.sum(F.pow(F.lit(2), F.col("at") % BITS)).cast("int").alias("value"))
     )
     data = bytearray(bits // BITS + 1)
-    for row in words.toLocalIterator():
+    for row in words.collect():  # at most one row for each byte of the filter
         data[row.byte] = row.value
     return Level(bits, hashes, seed, bytes(data))
 
@@ -117,38 +120,43 @@ class Cascade:
         return found
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, size: int | None = None) -> Cascade:
-    """A cascade for the ``key`` column of ``listed`` over the distinct ``key`` column of ``universe``.
+def build_cascades(universe: DataFrame, lists: list[DataFrame], size: int | None = None) -> list[Cascade]:
+    """A cascade for the ``key`` column of each list, over the distinct ``key`` column of ``universe``.
 
-    One pass over the universe; what level 0 takes wrongly is about as many keys as are listed and is kept in the
-    shared folder. Null keys take no part. An empty list gives a cascade that contains nothing.
+    One pass over the universe for all lists together; what the levels 0 take wrongly is about as many keys as are
+    listed and is kept in the shared folder, and everything after it is bounded by the lists and stays in one
+    partition. Null keys take no part. An empty list gives a cascade that contains nothing.
     """
-    listed = listed.select("key").where("key IS NOT NULL").distinct()
-    count = listed.count()
-    if count > MAX_LISTED:
-        raise ValueError(f"{count} listed keys; the literal is bounded to {MAX_LISTED}")
-    if not count:
-        return Cascade(())
     size = universe.count() if size is None else size
-    rate = min(0.5, max(1e-9, count / max(1, size)))
-    levels = [build_level(listed, count, rate, 0)]
-    ours, others = listed, durable(universe.where(levels[0].accepts(F.col("key"))).join(listed, "key", "left_anti"))
-    wrong, written = others, [others]
-    while number := wrong.count():
-        levels.append(build_level(wrong, number, 0.5, len(levels)))
-        ours, others = wrong, ours
-        wrong = durable(others.where(levels[-1].accepts(F.col("key"))))
-        written.append(wrong)
-    for table in written:
-        forget(table)
-    return Cascade(tuple(levels))
+    listed, counts, levels = [], [], []
+    for keys in lists:
+        listed.append(keys.select("key").where("key IS NOT NULL").coalesce(1).distinct())
+        counts.append(listed[-1].count())
+        if counts[-1] > MAX_LISTED:
+            raise ValueError(f"{counts[-1]} listed keys; the literal is bounded to {MAX_LISTED}")
+        rate = min(0.5, max(1e-9, counts[-1] / max(1, size)))
+        levels.append([build_level(listed[-1], counts[-1], rate, 0)] if counts[-1] else [])
+    taken = [own[0].accepts(F.col("key")) if own else F.lit(False) for own in levels]
+    passed = durable(universe.select("key", F.array(*taken).alias("taken")).where(F.array_contains("taken", True)))
+    for i, own in enumerate(levels):
+        if not own:
+            continue
+        mine = passed.where(F.col("taken")[i]).select("key").coalesce(1)
+        ours, others = listed[i], mine.join(F.broadcast(listed[i]), "key", "left_anti")
+        wrong = others
+        while number := wrong.count():
+            own.append(build_level(wrong, number, LATER_RATE, len(own)))
+            ours, others = wrong, ours
+            wrong = others.where(own[-1].accepts(F.col("key")))
+    forget(passed)
+    return [Cascade(tuple(own)) for own in levels]
 
 
 def key_table(spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
     """A ``key`` column of literals."""
     if not keys:
-        return spark.range(0).select(F.lit("").alias("key"))
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))
+        return spark.range(0, 0, 1, 1).select(F.lit("").alias("key"))
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))
 
 
 def judge(
@@ -171,7 +179,8 @@ def judge(
     keys = parts.select("page_id", "host", "path", candidates(F.col("host"), F.col("path"), lengths).alias("keys"))
     universe = durable(keys.select(F.explode("keys.key").alias("key")).distinct())
     size = universe.count()
-    blocked, allowed, listed = (build_cascade(universe, key_table(spark, x), size) for x in (tuple(block), tuple(allow), tuple(listed_hosts)))
+    lists = [key_table(spark, tuple(x)) for x in (block, allow, listed_hosts)]
+    blocked, allowed, listed = build_cascades(universe, lists, size)
     forget(universe)
     hit = lambda cascade: lambda c: cascade.contains(c["key"])
     rules = keys.select(
