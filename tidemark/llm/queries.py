@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, packing, pii, urlfilter
+from tidemark.llm import media, packing, pii, simhash, urlfilter
 from tidemark.llm.runtime import table
 
 
@@ -22,6 +22,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"), width=3)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op6_media": op6_media,
+    "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
 
