@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, packing, pii, simhash, substring, urlfilter
+from tidemark.llm import html, langid, media, neighbours, packing, pii, simhash, substring, urlfilter
 from tidemark.llm.runtime import table
 
 
@@ -22,10 +22,22 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"), width=3)
 
@@ -38,12 +50,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op4_substring": op4_substring,
+    "op5_html": op5_html,
     "op6_media": op6_media,
+    "op7_langid": op7_langid,
+    "op8_neighbours": op8_neighbours,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring": substring.REPEATS_SQL,
+    "op8_neighbours": neighbours.NEAREST_SQL,
     "op10_url_filter": urlfilter.judge_sql(),
 }
