@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html, langid, media, neighbours, packing, pii, simhash, substring, urlfilter
+from tidemark.llm import bytebpe, html, langid, media, neighbours, packing, pii, simhash, substring, urlfilter
 from tidemark.llm.runtime import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encoding_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_bytebpe": op3_bytebpe,
     "op4_substring": op4_substring,
     "op5_html": op5_html,
     "op6_media": op6_media,
