@@ -26,8 +26,8 @@ from tidemark.llm.runtime import arrow_batches, durable, forget
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 2000
-MOST_WORDS = 200_000
-MOST_GRAMS = 100_000
+MOST_WORDS = 120_000
+MOST_GRAMS = 80_000
 LONGEST = 4
 SMOOTH = 0.5
 #: Words whose scores a Python worker keeps.
@@ -151,7 +151,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     counted = durable(sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def commonest(rows: DataFrame, key: str, most: int) -> list:
-        return [(r[key], r["lang"], r["n"]) for r in rows.orderBy(F.desc("n"), key, "lang").limit(most).collect()]
+        found = rows.select(key, "lang", "n").orderBy(F.desc("n"), key, "lang").limit(most).toArrow()
+        return list(zip(*(c.to_pylist() for c in found.columns)))
 
     top_words = commonest(counted, "word", MOST_WORDS)
     spelled = counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
