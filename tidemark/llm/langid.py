@@ -31,7 +31,7 @@ MOST_GRAMS = 80_000
 LONGEST = 4
 SMOOTH = 0.5
 #: Words whose scores a Python worker keeps.
-TABLE_SIZE = 500_000
+TABLE_SIZE = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

@@ -48,7 +48,7 @@ LEAST_BATCH, MOST_BATCH = 4 << 20, 256 << 20
 #: Hashes that a range answers at a time, about.
 RANGE_HASHES = 1_500_000
 #: Words whose hashes a Python worker keeps.
-TABLE_SIZE = 1_000_000
+TABLE_SIZE = 250_000
 BATCH = "_tidemark_batch"
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

@@ -19,7 +19,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = regex.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž]")
 _SPLIT = regex.compile(PATTERN)
 #: Pieces kept by a Python worker; beyond that the table starts anew, so its memory is bounded.
-TABLE_SIZE = 1_500_000
+TABLE_SIZE = 600_000
 _TOGETHER = 2000
 
 
