@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SEPARATOR = "\x1f"
 
@@ -20,24 +21,24 @@ def canonical(text: str | None) -> str | None:
     return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_hash(texts: pd.Series) -> pd.Series:
     """sha256 of the canonical form."""
     return texts.map(lambda t: hashlib.sha256(canonical(t).encode()).hexdigest(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def request_hash(texts: pd.Series) -> pd.Series:
     """sha256 of sorted JSON with ASCII escapes: the hash of model requests."""
     return texts.map(lambda t: hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def message_hash(texts: pd.Series) -> pd.Series:
     """Request hash of a list of messages without their ``id`` and replay mark."""
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
 from tidemark.model import NODE, RUN
+from tidemark.operators.fold import ordered_fold
 
 EFFECT_KEY = [*NODE, "name", "idx"]
 FOLDED = (
@@ -77,21 +77,21 @@ class Effect:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """One row for each event with its outcome and the effect's state after it. Effects are independent; the log of
-    one is a group."""
-    columns = [p.split()[0] for p in FOLDED.split(", ")]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("arrival")
-        effect, out = Effect(), []
-        for event, request, result in zip(group.event, group.request_hash, group.result):
-            outcome = effect.apply(event, request, result)
-            out.append((outcome, effect.status, effect.request, effect.result, effect.attempts, effect.prevented, effect.resolution))
-        new = pd.DataFrame(out, columns=["outcome", "status", "request_hash", "result", "attempts", "duplicates_prevented", "resolution"], index=group.index)
-        return group.drop(columns=["request_hash", "result"]).join(new)[columns]
+    """One row for each event with its outcome and the effect's state after it."""
+    def step(effect: Effect, row: dict) -> dict:
+        outcome = effect.apply(row["event"], row["request_hash"], row["result"])
+        return {
+            "outcome": outcome,
+            "status": effect.status,
+            "request_hash": effect.request,
+            "result": effect.result,
+            "attempts": effect.attempts,
+            "duplicates_prevented": effect.prevented,
+            "resolution": effect.resolution,
+        }
 
     keyed = events.select(*EFFECT_KEY, H.effect_key().alias("key"), "arrival", "event", "request_hash", "result")
-    return keyed.groupBy(*EFFECT_KEY, "key").applyInPandas(fold, FOLDED)
+    return ordered_fold(keyed, EFFECT_KEY, ["arrival"], Effect, step, FOLDED)
 
 
 def effects(replayed: DataFrame) -> DataFrame:

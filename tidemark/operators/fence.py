@@ -7,12 +7,12 @@ largest seen so far, so both questions have a closed form: a running maximum, an
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.model import NODE, RUN
+from tidemark.operators.fold import ordered_fold
 
 #: What an overwrite leaves as the first write set it.
 FIRST_WRITE = ("activity_type", "graph", "node", "lg_step", "lg_path", "lg_task_id", "checkpoint_ns")
@@ -65,32 +65,26 @@ def fold_ops(ops: DataFrame) -> DataFrame:
     """The general form: writes (``w``), commits (``c``) and abandons (``a``) of each node in order of arrival.
 
     One row for each operation with its outcome and the row as it stands afterwards. A commit or abandon acts on a
-    PROVISIONAL row only; a write to a row that is no longer PROVISIONAL is FENCED_OUT. Nodes are independent, and a
-    node's log is as long as its attempts, so a group is small.
+    PROVISIONAL row only; a write to a row that is no longer PROVISIONAL is FENCED_OUT.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("arrival")
-        status, row, out = None, (None, None, None), []
-        for op, attempt, at, digest in zip(group.op, group.attempt, group.fence_scheduled_at, group.output_hash):
-            if op == "w":
-                wrote = status is None or status == "PROVISIONAL" and (row[1], row[0]) <= (at, attempt)
-                if wrote:
-                    status, row = "PROVISIONAL", (attempt, at, digest)
-                outcome = "WROTE" if wrote else "FENCED_OUT"
-            else:
-                changed = status == "PROVISIONAL"
-                if changed:
-                    status = "COMMITTED" if op == "c" else "ABANDONED"
-                outcome = "CHANGED" if changed else "NOOP"
-            out.append((outcome, status, *row))
-        new = pd.DataFrame(out, columns=["outcome", "status", "attempt", "fence_scheduled_at", "output_hash"], index=group.index)
-        group = group.drop(columns=["attempt", "fence_scheduled_at", "output_hash"]).join(new)
-        group["attempt"] = group["attempt"].astype("Int32")
-        return group[[p.split()[0] for p in FOLD_SCHEMA.split(", ")]]
+    def step(row: dict, op: dict) -> dict:
+        if op["op"] == "w":
+            new = (op["fence_scheduled_at"], op["attempt"])
+            wrote = not row or row["status"] == "PROVISIONAL" and row["fence"] <= new
+            if wrote:
+                row.update(status="PROVISIONAL", fence=new, output_hash=op["output_hash"])
+            outcome = "WROTE" if wrote else "FENCED_OUT"
+        else:
+            changed = row.get("status") == "PROVISIONAL"
+            if changed:
+                row["status"] = "COMMITTED" if op["op"] == "c" else "ABANDONED"
+            outcome = "CHANGED" if changed else "NOOP"
+        at, attempt = row.get("fence", (None, None))
+        return {"outcome": outcome, "status": row.get("status"), "attempt": attempt, "fence_scheduled_at": at, "output_hash": row.get("output_hash")}
 
     columns = [*NODE, "arrival", "op", "attempt", "fence_scheduled_at", "output_hash"]
-    return ops.select(*columns).groupBy(*NODE).applyInPandas(fold, FOLD_SCHEMA)
+    return ordered_fold(ops.select(*columns), NODE, ["arrival"], dict, step, FOLD_SCHEMA)
 
 
 def last_status(ops: DataFrame) -> DataFrame:

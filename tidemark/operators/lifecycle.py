@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import RUN, TERMINAL
+from tidemark.operators.fold import ordered_fold
 
 #: How a run can end, by what its workflow function did.
 EXITS = ("continue_as_new", "cancel_error", "bare_cancel", "failure", "return", "other")
@@ -99,23 +99,16 @@ def observe(events: DataFrame) -> DataFrame:
     node's own schedule). On success the carried ids are settled; on failure the node joins the abandons.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("step")
-        commits: set[int] = set()
-        abandons: set[int] = set()
-        accepted, out = 0, []
-        for seq, result, carried in zip(group.seq, group.result, group.carried):
-            if result == "ok":
-                told = set(carried if carried is not None else ())
-                commits -= told
-                abandons -= told
-                commits.add(int(seq))
-                accepted += 1
-            else:
-                abandons.add(int(seq))
-            out.append((accepted, sorted(commits), sorted(abandons)))
-        group = group.drop(columns=["carried"])
-        group[["accepted", "commits", "abandons"]] = pd.DataFrame(out, index=group.index)
-        return group[[p.split()[0] for p in OBSERVED.split(", ")]]
-
-    return events.select(*RUN, "step", "seq", "result", "carried").groupBy(*RUN).applyInPandas(fold, OBSERVED)
+    def step(run: dict, event: dict) -> dict:
+        commits, abandons = run.setdefault("commits", set()), run.setdefault("abandons", set())
+        if event["result"] == "ok":
+            told = set(event["carried"] or ())
+            commits -= told
+            abandons -= told
+            commits.add(event["seq"])
+            run["accepted"] = run.get("accepted", 0) + 1
+        else:
+            abandons.add(event["seq"])
+        return {"accepted": run.get("accepted", 0), "commits": sorted(commits), "abandons": sorted(abandons)}
+
+    return ordered_fold(events.select(*RUN, "step", "seq", "result", "carried"), RUN, ["step"], dict, step, OBSERVED)

@@ -32,7 +32,7 @@ def sentences(text: Column) -> Column:
 
 def bare_claims(texts: DataFrame, key: str, column: str, terms: list[str], qualifiers: list[str]) -> DataFrame:
     """``key, sentence`` of sentences with a term and no qualifier."""
-    one_of = lambda words: r"(?i)\b(" + "|".join(words) + r")\b"
+    one_of = lambda words: r"(?i)(?:^|[^\p{L}\p{N}])(?:" + "|".join(words) + r")(?:[^\p{L}\p{N}]|$)"
     each = texts.select(key, F.explode(sentences(F.col(column))).alias("sentence"))
     return each.where(F.col("sentence").rlike(one_of(terms)) & ~F.col("sentence").rlike(one_of(qualifiers)))
 
