@@ -65,7 +65,7 @@ def _is_phone(text: str) -> bool:
     return 8 <= len(_NOT_DIGIT.sub("", text)) <= 15
 
 
-_CHECKS = {"email": lambda t: bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", t)), "ip": _is_ip, "card": _is_card, "phone": _is_phone, "secret": lambda t: True}
+_CHECKS = {"email": lambda t: bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", t)), "ip": _is_ip, "card": _is_card, "phone": _is_phone, "secret": lambda t: bool(re.fullmatch(r"[A-Za-z0-9]{16,}", t)) and len(_NOT_DIGIT.sub("", t)) >= 4}
 
 
 def emails(text: str) -> Iterable[tuple[int, int]]:
