@@ -70,7 +70,11 @@ class RunState(StatefulProcessor):
 
 
 def fenced(ops: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Outcomes of a stream of operations. Needs the RocksDB state store (``use_rocksdb``)."""
+    """Outcomes of a stream of operations. Needs the RocksDB state store (``use_rocksdb``).
+
+    With a time to live the query runs on processing time, and such a query does not end by itself: use it with a
+    periodic trigger, not with ``jobs.drain``.
+    """
     return ops.groupBy(*RUN).transformWithStateInPandas(
         statefulProcessor=RunState(ttl_ms), outputStructType=StructType.fromDDL(OUTCOMES), outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
