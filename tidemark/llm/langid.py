@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import arrow_batches, durable, forget
+from tidemark.llm.runtime import arrow_batches, begin, durable, forget
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 2000
@@ -125,6 +125,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < rate[F.col("lang")]).select("lang", "text")
 
     def count_words(batches):
+        begin("langid")
         for batch in batches:
             found = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -169,6 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kept = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
 
     def score(batches):
+        begin("langid")
         scorer = Scorer(sent.value)
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(batch.schema.names.index("text")).to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordbpe
-from tidemark.llm.runtime import arrow_batches, durable
+from tidemark.llm.runtime import arrow_batches, begin, durable
 
 SIZE = 4096
 END_ID = 1
@@ -47,6 +47,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids:
     path = path or wordbpe.default_path()
 
     def cut(batches):
+        begin("wordbpe")
         encode = wordbpe.encoder(path).encode
         for batch in batches:
             rows, ids_out = [], []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import arrow_batches
+from tidemark.llm.runtime import arrow_batches, begin
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -378,6 +378,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or default_field()
 
     def scan(batches):
+        begin("pii")
         for batch in batches:
             spans = [[dict(zip(("kind", "start", "end", "base"), s)) for s in x] for x in find(batch.column(1).to_pylist(), field)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS_TYPE)], ["doc_id", "spans"])
@@ -404,6 +405,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or default_field()
 
     def rewrite(batches):
+        begin("pii")
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()

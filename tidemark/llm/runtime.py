@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,21 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to empty a table that an operator keeps in Python workers between tasks."""
+    _HELD[name] = clear
+
+
+def begin(name: str) -> None:
+    """An operator starts in a Python worker: tables that others left there go, so that they do not add up."""
+    for other, clear in _HELD.items():
+        if other != name:
+            clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.runtime import arrow_batches, durable, forget
+from tidemark.llm.runtime import arrow_batches, begin, durable, forget
 
 RADIUS = 3
 SEED = 42
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     arrow_batches(docs.sparkSession)
 
     def hash_all(batches):
+        begin("simhash")
         for batch in batches:
             each = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
             flat = np.fromiter((h for x in each for h in x), np.uint64)

@@ -40,6 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.runtime import begin, hold
+
 WINDOW = 20
 BLOCK = 10
 ANCHOR_BITS = 48
@@ -63,6 +65,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+hold("substring", _WORDS.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,6 +78,7 @@ class Batch:
     """Word hashes of the documents of a batch that are long enough to hold a window, one after the other."""
 
     def __init__(self, words: list[list[bytes]]):
+        begin("substring")
         self.long = [i for i, w in enumerate(words) if len(w) >= WINDOW]
         self.sizes = np.array([len(words[i]) for i in self.long], np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)].astype(np.int64)

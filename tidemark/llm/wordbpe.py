@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from tidemark.llm.runtime import hold
+
 #: The split of the vocabulary file (its "Split" pre-tokenizer); fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable Latin: composed already, no marks to reorder, one lower case of one character each.
@@ -74,3 +76,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One per Python worker and file."""
     return Encoder(path)
+
+
+hold("wordbpe", encoder.cache_clear)
