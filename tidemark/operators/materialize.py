@@ -74,7 +74,20 @@ def delta_of(kind: str, output: str | None) -> list[tuple[str, Any]]:
 FOLDED = "namespace string, workflow_id string, run_id string, state string, state_hash string, label string, reason string, mismatched array<string>"
 
 
-def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False) -> DataFrame:
+def chain_rows(rows: DataFrame) -> DataFrame:
+    """What a chain fold of a workflow needs: all rows of its latest run (``_own``), of the earlier runs the COMMITTED
+    row that wins each step and path, and the earliest snapshot (``_seed``)."""
+    workflow = Window.partitionBy(*RUN[:2])
+    marked = rows.withColumn("_own", F.struct("run_rank", "run_id") == F.max(F.struct("run_rank", "run_id")).over(workflow))
+    own, earlier = marked.where("_own"), marked.where("NOT _own AND status = 'COMMITTED' AND step IS NOT NULL")
+    first = Window.partitionBy(*RUN[:2]).orderBy("run_rank", "step", "path")
+    seed = earlier.where("seq = 0 AND input_snapshot IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    fill = later_wins(earlier.where("kind <> 'INTERRUPT'"))
+    mark = lambda df, is_seed: df.withColumn("_seed", F.lit(is_seed))
+    return mark(own, False).unionByName(mark(fill, False)).unionByName(mark(seed, True))
+
+
+def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = True) -> DataFrame:
     """The state of each run.
 
     ``rows``: run key, ``run_rank`` (order of runs of a workflow), ``seq``, ``step``, ``path``, ``kind``, ``status``,
@@ -82,8 +95,10 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
     ``node_count``. Deltas of a step are applied together, ordered by path and seq, one update for each channel. Before
     a step, an input hash that is there must be the hash of the state; positions where it is not are named.
 
-    With ``chain``, the runs of a workflow are folded as one: the seed is the earliest snapshot, and where runs write
-    the same step and path the later run wins. A run's rows are one group: tens of nodes.
+    With ``chain``, the latest run of a workflow is folded and filled from earlier ones: the seed is its own snapshot,
+    else the earliest; a COMMITTED row of an earlier run (the latest that wrote the step and path) is applied if the
+    run has no row of that path in the step and the row's input hash is the hash of the folded state. Rows without an
+    input hash are applied only if ``unhashed``. A run's rows are one group: tens of nodes.
     """
     table = {name: REDUCERS[r] if isinstance(r, str) else r for name, r in reducers.items()}
     key = RUN[:2] if chain else RUN
@@ -91,19 +106,30 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["run_rank", "seq"])
-        target = group.iloc[-1]
         seeds = group[(group.seq == 0) & group.input_snapshot.notna()]
+        if chain:
+            mine = seeds[seeds._own & (seeds.status == "COMMITTED") & seeds.step.notna()]
+            seeds = mine if len(mine) else seeds[seeds._seed]
+            group = group[~group._seed | group.index.isin(seeds.index)]
+        target = group[group._own].iloc[-1] if chain else group.iloc[-1]
         state: dict[str, Any] = json.loads(seeds.iloc[0].input_snapshot) if len(seeds) else {}
         start = seeds.iloc[0].step if len(seeds) else None
         used = group[(group.status == "COMMITTED") & group.step.notna()]
+        if chain:
+            used = used[~used._seed & (used.kind != "INTERRUPT")]
         if start is not None and not pd.isna(start):
             used = used[used.step >= start]
-        used = used.drop_duplicates(["step", "path", "seq"] if not chain else ["step", "path"], keep="last").sort_values(["step", "path", "seq"])
+        used = used.drop_duplicates(["run_id", "step", "path", "seq"], keep="last").sort_values(["step", "path", "seq"])
         mismatched, gap, before = [], None, None
         for step, part in used.groupby("step", sort=True):
             digest = canonical_hash(state)
+            if chain:
+                fits = part.input_hash.map(lambda h: h == digest if isinstance(h, str) else unhashed).astype(bool)
+                part = part[part._own | (~part.path.isin(part.path[part._own]) & fits)]
+                if part.empty:
+                    continue
             mismatched += [f"{int(step)}:{p}" for p, h in zip(part.path, part.input_hash) if isinstance(h, str) and h != digest]
-            if before is not None and step > before + 1 and gap is None:
+            if before is not None and step > before + 1 and gap is None and not chain:
                 gap = f"step {int(before) + 1} is missing"
             before = step
             writes: dict[str, list] = {}
@@ -113,7 +139,7 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
             for channel, values in writes.items():
                 state[channel] = table.get(channel, last)(state.get(channel), values)
         digest = canonical_hash(state)
-        own = group[group.run_id == target.run_id]
+        own = group[group._own] if chain else group
         if not target.sealed:
             label, reason = "OPEN", None
         elif digest == target.final_state_hash:
@@ -124,7 +150,7 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
         out = (target.namespace, target.workflow_id, target.run_id, json.dumps(state, sort_keys=True, ensure_ascii=False), digest, label, reason, mismatched)
         return pd.DataFrame([out], columns=columns)
 
-    return rows.groupBy(*key).applyInPandas(one, FOLDED)
+    return (chain_rows(rows) if chain else rows).groupBy(*key).applyInPandas(one, FOLDED)
 
 
 def fold_lists(deltas: DataFrame, keep: Column | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Views, run ledgers, rebuilt state."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -160,9 +161,27 @@ def mat1(spark, d):
     return M.fold(state_rows(spark, d), {"items": "append", "last": "last"})
 
 
+def chained_rows(spark, d):
+    """Deltas as ledger rows of workflows with several runs and real hashes. Runs of a workflow write the same items, but
+    every third run its own; each run lacks the rows of some steps, which earlier runs may have."""
+    n, order = F.col("run_id").cast("bigint"), Window.partitionBy(*RUN).orderBy("step", "path", "seq")
+    rows = L.deltas(spark, d).withColumn("workflow_id", F.concat(F.lit("wf-"), (n % 10).cast("string")))
+    rows = rows.withColumn("path", F.concat(F.lit("~"), F.lpad(F.col("step").cast("string"), 10, "0")))  # roles differ between conversations
+    item = F.left(F.sha2(F.concat_ws("/", "workflow_id", "step", "path", F.when(n % 3 == 0, F.col("run_id"))), 256), F.lit(8))
+    before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    state = lambda w: F.sha2(F.to_json(F.struct(F.concat(F.array(F.lit("seed")), F.collect_list("item").over(w)).alias("items"), F.coalesce(F.last("path").over(w), F.lit("")).alias("last"))), 256)
+    rows = rows.withColumn("item", item).withColumns({"input_hash": state(before), "final_state_hash": state(all_rows), "node_count": F.count("*").over(all_rows).cast("int")})
+    output = F.to_json(F.struct(F.struct(F.array("item").alias("items"), F.col("path").alias("last")).alias("result")))
+    return rows.where((F.col("step") == 0) | ((n + F.col("step")) % 4 != 1)).select(
+        *RUN, n.alias("run_rank"), "seq", "step", "path", F.lit("UPDATE").alias("kind"), F.lit("COMMITTED").alias("status"), output.alias("output_json"),
+        F.when(F.col("seq") == 0, '{"items":["seed"],"last":""}').alias("input_snapshot"), "input_hash",
+        (n % 7 != 6).alias("sealed"), "final_state_hash", "node_count",
+    )
+
+
 @R.add("mat7_chain")
 def mat7(spark, d):
-    return M.fold(state_rows(spark, d), {"items": "append", "last": "last"}, chain=True)
+    return M.fold(chained_rows(spark, d), {"items": "append", "last": "last"}, chain=True, unhashed=False)
 
 
 @R.add("mat2_delta_extract", sql("nodes", then=f"""
