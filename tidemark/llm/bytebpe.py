@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import arrow_batches
+from tidemark.llm.runtime import sliced
 
 BUCKETS = 1 << 14
 TASK_BYTES = 160 << 20
@@ -147,7 +147,6 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    arrow_batches(docs.sparkSession, 500)
 
     def number(batches):
         known: dict[str, int] = {}

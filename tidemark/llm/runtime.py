@@ -1,20 +1,40 @@
-"""What the operators of this subpackage share: Arrow batch size, durable intermediate tables, small helpers."""
+"""What the operators of this subpackage share: slices of Arrow batches, durable intermediate tables, small helpers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch. Texts reach a few hundred KB, so a batch stays in the tens of MB.
-BATCH_ROWS = 1000
+from tidemark.streaming.jobs import shared_dir
 
+#: Bytes of text that a Python function holds as objects at a time.
+SLICE_BYTES = 4 << 20
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a run of very long texts does not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (64 MB at most by Spark's own bound) in zero-copy slices by the bytes of a string or binary column;
+    a row that is longer is a slice of its own. What an operator holds does not depend on session settings."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < len(ends):
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (names differ in more than case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 _HELD: dict[str, Callable[[], None]] = {}
@@ -32,17 +52,6 @@ def begin(name: str) -> None:
             clear()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def durable(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -4,8 +4,8 @@ A fingerprint has 64 bits; two link if they differ in at most ``RADIUS`` = 3. Th
 in one of the two halves of 32 bits. So every distinct fingerprint emits, for either half, all variants of that half
 within half the radius (1 bit, and the half itself), rows are shuffled on the variant, and fingerprints that meet
 there, at least one of them at home (the variant is its own half), are verified on all 64 bits. A pair within the
-radius meets in this way for certain; the 66 rows of a fingerprint replace the 2081 variants that whole 64-bit balls
-of radius 2 would need.
+radius meets in this way for certain. Whole 64-bit balls of half the radius (rounded up, 2 bits) would be 2081 variants
+of each fingerprint, about 48 KB to shuffle for a document of 2 KB; the halves need 66, about 1.5 KB.
 
 What meets at one variant leaves as a star of links (each fingerprint to the least of its local component), so the
 links grow with the rows and not with pairs. Small meetings are verified pair by pair. Large ones hash balls again, over
@@ -16,7 +16,8 @@ Exact copies share a fingerprint and are folded first, so a text repeated by a t
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other. Repeated rows get equal
 results. Rows with a null doc_id get a fingerprint, and the least doc_id of their component if there is one; they
-link nothing by themselves. An empty table gives an empty result.
+link nothing by themselves. An empty table gives an empty result. Columns other than ``doc_id`` and ``text`` take no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.runtime import arrow_batches, begin, durable, forget
+from tidemark.llm.runtime import begin, durable, forget, sliced
 
 RADIUS = 3
 SEED = 42
@@ -75,11 +76,10 @@ def majority(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every whole text."""
-    arrow_batches(docs.sparkSession)
 
     def hash_all(batches):
         begin("simhash")
-        for batch in batches:
+        for batch in sliced(batches):
             each = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
             flat = np.fromiter((h for x in each for h in x), np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(flat, [len(x) for x in each]).view(np.int64))], ["doc_id", "fp"])
@@ -93,7 +93,7 @@ def variants(distinct: DataFrame) -> DataFrame:
     flips = np.array([0, *(1 << i for i in range(32))], np.uint64)
 
     def emit(batches):
-        for batch in batches:
+        for batch in (b.slice(low, 10_000) for b in batches for low in range(0, b.num_rows, 10_000)):
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
             doc = np.asarray(batch.column(1))
             home = np.tile(np.arange(33) == 0, len(fp))
@@ -198,7 +198,6 @@ def meet(key: np.ndarray, fp: np.ndarray, doc: np.ndarray, home: np.ndarray, rad
 def links(distinct: DataFrame) -> DataFrame:
     """``a, b``: links between the documents that stand for the distinct fingerprints of ``distinct(fp, doc_id)``."""
     spark = distinct.sparkSession
-    arrow_batches(spark, 10_000)
     rows = 66 * distinct.count()
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // MEETING_ROWS))
     emitted = variants(distinct).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
