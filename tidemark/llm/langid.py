@@ -1,14 +1,16 @@
 """Language identification, word first: known words score by their log frequency in each language, unseen words back
 off to the longest of their character n-grams (4, 3, 2, 1) that are known.
 
-The model is fitted to a bounded sample of labelled rows: ``ROWS_PER_LANGUAGE`` rows of each language (in expectation,
-chosen by a hash of doc_id at the rate that this needs), of whose words and n-grams the ``MOST_WORDS`` and
-``MOST_GRAMS`` commonest rows are kept. So the model that travels to the tasks has a fixed bound, and prediction is one
-narrow pass over all whole texts. ``lang``, ``source`` and ``doc_id`` never enter a prediction.
+The model is fitted to a bounded sample of labelled rows: ``ROWS_PER_LANGUAGE`` rows of each language in expectation,
+chosen by a hash of doc_id at the rate that this needs. All words and n-grams of these rows enter the model, each with
+its counts in all languages. So the model that travels to the tasks is bounded by the sample (and has one column for
+each language), and prediction is one narrow pass over all whole texts. Words are told apart by 64 bits of a hash.
+``lang``, ``source`` and ``doc_id`` never enter a prediction.
 
 Defined results: ``und`` with score 0 if the text is null or has no letters; also if nothing could be learned (no
 labelled rows). Ties go to the language that sorts first. A text of unknown characters only has equal scores. Repeated
-rows get equal results; an empty table gives an empty one.
+rows get equal results; an empty table gives an empty one. Columns ``lang_pred``, ``score`` and ``known`` of the input
+are replaced by ``predict`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -19,25 +21,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import arrow_batches, begin, durable, forget
+from tidemark.llm.runtime import begin, durable, forget, sliced, unused
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 2000
-MOST_WORDS = 120_000
-MOST_GRAMS = 80_000
 LONGEST = 4
 SMOOTH = 0.5
 #: Words whose scores a Python worker keeps.
 TABLE_SIZE = 300_000
+#: A word counts as known if it, or an n-gram of so many characters (ends of the word included), was seen.
+EVIDENCE = 3
+#: Share of its words that a document of a known language must have known.
+LEAST_KNOWN = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters, in lower case; signs such as raised digits may stand between them, not alone."""
+    return [w for w in _LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -48,51 +53,85 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+@dataclass
+class Table:
+    """Log frequencies of words or n-grams: sorted hashes, and one row of scores for each."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts are known, and the rows of those that are."""
+        wanted = np.fromiter(map(_key, texts), np.uint64, len(texts))
+        if not len(self.keys):
+            return np.zeros(len(texts), bool), self.scores[:0]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        known = self.keys[at] == wanted
+        return known, self.scores[at[known]]
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-
-    def word_score(self, word: str) -> np.ndarray:
-        """Log frequency by language; of an unseen word the mean over the longest n-grams that are known."""
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_scores[at]
-        for n in range(LONGEST, 0, -1):
-            known = [self.grams[g] for g in grams(word, n) if g in self.grams]
-            if known:
-                return self.gram_scores[known].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-
-class Scorer(dict):
-    """word -> row of ``rows``, filled as words come up and emptied when full."""
+    words: Table
+    grams: Table
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log frequency by language, of an unseen word the mean over the longest n-grams that are known; in the last
+        column, whether the word counts as known."""
+        out = np.zeros((len(words), len(self.languages) + 1))
+        seen, rows = self.words.find(words)
+        out[seen, :-1], out[seen, -1] = rows, 1
+        for i in np.flatnonzero(~seen).tolist():
+            for n in range(LONGEST, 0, -1):
+                known, rows = self.grams.find(grams(words[i], n))
+                if known.any():
+                    out[i, :-1], out[i, -1] = rows.mean(axis=0), n >= EVIDENCE
+                    break
+        return out
+
+
+class Scorer:
+    """Predicts with a table of the scores of words met so far, which starts anew when it is full."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows = model, np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.word_score(word)
-        self[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not found or not self.model.languages:
-            return UNKNOWN, 0.0
-        if len(self) > TABLE_SIZE:
-            self.clear()
-        index = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        total = self.rows[index].sum(axis=0)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        self.model = model
+        self._empty()
+
+    def _empty(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.model.languages) + 1))
+
+    def _learn(self, found: list[str]) -> None:
+        new = [w for w in dict.fromkeys(found) if w not in self.at]
+        if len(self.at) + len(new) > TABLE_SIZE and self.at:
+            self._empty()
+            new = list(dict.fromkeys(found))
+        first = len(self.at)
+        if first + len(new) > len(self.rows):
+            more = np.zeros((max(first + len(new), 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))
+            self.rows = np.concatenate([self.rows, more])
+        self.rows[first : first + len(new)] = self.model.scores(new)
+        self.at.update(zip(new, range(first, first + len(new))))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, share of known words) of each text."""
+        each, out = [words(t) for t in texts], []
+        if self.model.languages:
+            self._learn([w for found in each for w in found])
+        for found in each:
+            if not found or not self.model.languages:
+                out.append((UNKNOWN, 0.0, 0.0))
+                continue
+            total = self.rows[np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))].sum(axis=0)
+            scores = total[:-1]
+            best = int(scores.argmax())
+            out.append((self.model.languages[best], float(1.0 / np.exp(scores - scores[best]).sum()), float(total[-1] / len(found))))
+        return out
 
 
 def held_out(doc_id):
@@ -100,84 +139,70 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    index: dict[str, int] = {}
+def _log_frequencies(counted: pa.Table, languages: list[str]) -> Table:
+    """From rows (key, lang, n): every key, with its counts in all languages."""
+    keys, at = np.unique(np.fromiter(map(_key, counted.column(0).to_pylist()), np.uint64, len(counted)), return_inverse=True)
     column = {name: i for i, name in enumerate(languages)}
-    for key, _, _ in rows:
-        index.setdefault(key, len(index))
-    counts = np.zeros((len(index), len(languages)))
-    for key, lang, n in rows:
-        counts[index[key], column[lang]] += n
-    return index, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * max(1, len(index))))
+    counts = np.zeros((len(keys), len(languages)))
+    np.add.at(counts, (at, np.fromiter(map(column.__getitem__, counted.column(1).to_pylist()), np.int64, len(counted))), counted.column(2).to_numpy())
+    return Table(keys, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * max(1, len(keys)))))
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit to the labelled rows that are not held out."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    languages = sorted(sizes)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = sorted(r["lang"] for r in sizes.toLocalIterator())  # the columns of the model
     if not languages:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+        return Model([], Table(np.zeros(0, np.uint64), np.zeros((0, 0))), Table(np.zeros(0, np.uint64), np.zeros((0, 0))))
     steps = 1 << 30
-    rate = F.create_map(*(F.lit(x) for name in languages for x in (name, int(min(1.0, rows_per_language / sizes[name]) * steps))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < rate[F.col("lang")]).select("lang", "text")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.lit(float(rows_per_language)) / F.col("rows") * steps
+    sample = labelled.join(sizes, "lang").where(chosen).select("lang", "text")
+
+    def counts(found: Counter, name: str) -> pa.RecordBatch:
+        keys = list(found)
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["lang", name, "n"])
 
     def count_words(batches):
         begin("langid")
-        for batch in batches:
+        for batch in sliced(batches):
             found = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.update((lang, w) for w in words(text))
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["lang", "word", "n"],
-            )
+            yield counts(found, "word")
 
     def count_grams(batches):
-        for batch in batches:
+        for batch in sliced(batches, "word", 1 << 18):
             found = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 for size in range(1, LONGEST + 1):
                     for g in grams(word, size):
                         found[lang, g] += n
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["lang", "gram", "n"],
-            )
+            yield counts(found, "gram")
 
     counted = durable(sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-
-    def commonest(rows: DataFrame, key: str, most: int) -> list:
-        found = rows.select(key, "lang", "n").orderBy(F.desc("n"), key, "lang").limit(most).toArrow()
-        return list(zip(*(c.to_pylist() for c in found.columns)))
-
-    top_words = commonest(counted, "word", MOST_WORDS)
     spelled = counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top_grams = commonest(spelled, "gram", MOST_GRAMS)
+    model = Model(languages, *(_log_frequencies(rows.select(key, "lang", "n").toArrow(), languages) for rows, key in ((counted, "word"), (spelled, "gram"))))
     forget(counted)
-    return Model(languages, *_log_frequencies(top_words, languages), *_log_frequencies(top_grams, languages))
+    return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced); all other columns as they were."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """``docs`` with language, score and share of known words in the columns ``names`` (which are replaced); all other
+    columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
+    kept = [f for f in docs.schema if f.name not in names]
 
     def score(batches):
         begin("langid")
         scorer = Scorer(sent.value)
-        for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
+        for batch in sliced(batches):
+            found = scorer.predict(batch.column("text").to_pylist())
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    schema = type(docs.schema)(list(kept)).add("lang_pred", "string").add("score", "double")
+    schema = type(docs.schema)(list(kept)).add(names[0], "string").add(names[1], "double").add(names[2], "double")
     return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(score, schema)
 
 
@@ -187,7 +212,12 @@ def language_rows(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without documents in no language (``und``), and without those that score below ``least``."""
-    found = predict(docs, train(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+def keep_identified(docs: DataFrame, least_known: float = LEAST_KNOWN) -> DataFrame:
+    """``docs`` without documents in no known language: those without letters (``und``), and those of whose words less
+    than ``least_known`` are known. If nothing could be learned, all documents with letters stay."""
+    model = train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = tuple(unused(n, docs.columns) for n in ("lang_pred", "score", "known"))
+    found = predict(docs, model, names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) >= least_known)).select(*(f"`{c}`" for c in docs.columns))
