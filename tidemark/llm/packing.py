@@ -6,20 +6,22 @@ Only lengths matter to a packing, and there are at most ``size`` of them. So:
    cut, into full pieces and a rest;
 2. pieces are counted by length: a table of at most ``size`` rows, the only thing that reaches the driver;
 3. ``plan`` packs the counts into *patterns* (a multiset of lengths, and how many sequences have it). For each length,
-   longest first, it looks up lengths that exactly fill the gap: a single, a pair, a triple, by hashes of available
-   single and pair sums, and consumes as many as the counts allow at once; what stays over is packed best-fit;
+   longest first, it looks up lengths that exactly fill the gap: a single, a pair, a triple, in hash tables by their
+   sums, and consumes as many as the counts allow at once; what stays over is packed best-fit;
 4. each piece gets its rank among the pieces of its length and with it its place in the plan. Ranks are taken in
-   buckets, so a length that a third of the pieces share is spread over many tasks; the offset of a bucket is a
-   running sum over the counts of the buckets.
+   buckets by a hash that a number of the row salts, so neither a length nor a document that a third of the pieces
+   share makes a large task; the offset of a bucket is a running sum over the counts of the buckets.
 
 Nothing but the plan (bounded by ``size``, not by the input) is broadcast.
 
 Defined results: null text counts as empty and is one piece with the end id alone. Repeated rows are pieces of their
-own. An empty table gives no rows. Texts are tokenised whole. Sequence ids are consecutive from 0.
+own. An empty table gives no rows. Texts are tokenised whole. Sequence ids are consecutive from 0. Columns other than
+``doc_id`` and ``text`` take no part, whatever their names; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass, field
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordbpe
-from tidemark.llm.runtime import arrow_batches, begin, durable
+from tidemark.llm.runtime import begin, durable, sliced
 
 SIZE = 4096
 END_ID = 1
@@ -38,30 +40,29 @@ _END = END_ID.to_bytes(4, "little")
 BUCKET_ROWS = 500_000
 LEAST_BUCKETS = 64
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
-    """One row for each piece; ``ids array<int>`` as well if asked for."""
-    arrow_batches(docs.sparkSession)
+    """One row for each piece; ``ids array<int>`` as well if asked for. ``salt`` numbers the rows of a task."""
     path = path or wordbpe.default_path()
 
     def cut(batches):
         begin("wordbpe")
-        encode = wordbpe.encoder(path).encode
-        for batch in batches:
+        encode, number = wordbpe.encoder(path).encode, itertools.count()
+        for batch in sliced(batches):
             rows, ids_out = [], []
             encoded = encode([t or "" for t in batch.column(1).to_pylist()])
             for doc, ids in zip(batch.column(0).to_pylist(), encoded):
                 ids += _END
                 for k, at in enumerate(range(0, len(ids) // 4, size)):
                     part = ids[4 * at : 4 * (at + size)]
-                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part)))
+                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part), next(number) & 0x7FFFFFFF))
                     if with_ids:
                         ids_out.append(np.frombuffer(part, "<i4"))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
             if with_ids:
                 columns.append(pa.array(ids_out, pa.list_(pa.int32())))
                 names.append("ids")
@@ -78,72 +79,85 @@ class Pattern:
     parts: list[tuple[int, int]] = field(default_factory=list)
 
 
-def _fill(gap: int, free: np.ndarray, pairs: np.ndarray, used: dict[int, int]) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is ``gap``, the longest first; ``used`` is already spoken for.
+class Complements:
+    """Hash tables from a sum to the single lengths, pairs and triples of available lengths that have it.
 
-    ``pairs[s]`` is true if two available lengths had the sum ``s`` when it was last indexed.
+    A combination that the counts no longer allow never comes back, since counts only fall. So the entry of a sum is
+    made when the sum is first asked for, and what is used up is taken from its end; no entry is cut short.
     """
 
-    def enough(*lengths: int) -> bool:
-        return all(free[n] - used.get(n, 0) >= lengths.count(n) for n in lengths)
-
-    if enough(gap):
-        return (gap,)
-    have = free > 0
-
-    def pair(total: int, *more: int) -> tuple[int, ...] | None:
-        low = np.arange(1, total // 2 + 1)
-        for n in np.flatnonzero(have[low] & have[total - low])[:4]:
-            if enough(total - int(low[n]), int(low[n]), *more):
-                return total - int(low[n]), int(low[n]), *more
+    def __init__(self, counts: dict[int, int], size: int):
+        self.free = [0] * (size + 1)
+        for length, n in counts.items():
+            if not 1 <= length <= size:
+                raise ValueError(f"a piece of {length} tokens does not fit sequences of {size}")
+            self.free[length] += n
+        self.have = np.array(self.free) > 0
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def take(self, parts: list[tuple[int, int]], times: int) -> None:
+        for n, k in parts:
+            self.free[n] -= times * k
+            self.have[n] = self.free[n] > 0
+
+    def enough(self, *lengths: int) -> bool:
+        return all(self.free[n] >= lengths.count(n) for n in lengths)
+
+    def _pairs(self, total: int) -> list[int]:
+        """The shorter parts of the pairs with this sum, the shortest at the end, where an available pair is."""
+        if total not in self.pairs:
+            low = np.arange(total // 2, 0, -1)
+            self.pairs[total] = low[self.have[low] & self.have[total - low]].tolist()
+        parts = self.pairs[total]
+        while parts and not self.enough(parts[-1], total - parts[-1]):
+            parts.pop()
+        return parts
+
+    def _triples(self, total: int) -> list[int]:
+        """The first parts of the triples with this sum, the longest at the end."""
+        if total not in self.triples:
+            self.triples[total] = [n for n in np.flatnonzero(self.have[: total - 1]).tolist() if self._pairs(total - n)]
+        parts = self.triples[total]
+        while parts and not (self.free[parts[-1]] and self._pairs(total - parts[-1])):
+            parts.pop()
+        return parts
+
+    def pair(self, total: int, *taken: int) -> tuple[int, ...] | None:
+        for n in reversed(self._pairs(total)):
+            if self.enough(total - n, n, *taken):
+                return total - n, n
         return None
 
-    if gap >= 2 and pairs[gap] and (found := pair(gap)):
-        return found
-    if gap >= 3:
-        longest = np.arange(gap - 2, 0, -1)
-        for n in longest[have[longest] & pairs[gap - longest]][:8]:
-            if found := pair(gap - int(n), int(n)):
-                return found
-    return None
+    def fill(self, gap: int, *taken: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths whose sum is ``gap``, the longest first, besides those ``taken``."""
+        if self.enough(gap, *taken):
+            return (gap,)
+        if found := self.pair(gap, *taken):
+            return found
+        for n in reversed(self._triples(gap)):
+            if found := self.pair(gap - n, n, *taken):
+                return n, *found
+        return None
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[Pattern]:
     """Patterns that hold every piece. Runs on counts alone, so its cost depends on ``size`` and not on the input."""
-    free = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        if not 1 <= length <= size:
-            raise ValueError(f"a piece of {length} tokens does not fit sequences of {size}")
-        free[length] += n
-    out: list[Pattern] = []
+    sums = Complements(counts, size)
+    free, left, out = sums.free, [], []
     if free[size]:
-        out.append(Pattern(int(free[size]), [(size, 1)]))
-        free[size] = 0
-    width = 1 << (2 * size + 1).bit_length()
-
-    def index() -> np.ndarray:
-        seen = np.fft.rfft((free > 0).astype(float), width)
-        return np.fft.irfft(seen * seen, width)[: size + 1] > 0.5
-
-    pairs, left = index(), []
+        out.append(Pattern(free[size], [(size, 1)]))
+        sums.take([(size, 1)], free[size])
     for length in range(size - 1, 0, -1):
-        tried = False
-        while free[length]:
-            found = _fill(size - length, free, pairs, {length: 1})
-            if not found:
-                if tried:
-                    break
-                pairs, tried = index(), True  # the index may name sums that are used up
-                continue
+        while free[length] and (found := sums.fill(size - length, length)):
             lengths = (length, *found)
             parts = [(n, lengths.count(n)) for n in dict.fromkeys(lengths)]
-            times = min(int(free[n]) // k for n, k in parts)
-            for n, k in parts:
-                free[n] -= times * k
+            times = min(free[n] // k for n, k in parts)
+            sums.take(parts, times)
             out.append(Pattern(times, parts))
         if free[length]:
             left.append(length)
-    return out + best_fit({n: int(free[n]) for n in left}, size)
+    return out + best_fit({n: free[n] for n in left if free[n]}, size)
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[Pattern]:
@@ -207,20 +221,21 @@ def slots(patterns: list[Pattern]) -> Slots:
 
 
 def assign(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """``parts`` with ``sequence_id`` and ``offset``; needs ``doc_id, piece, length, ids_crc32``, read twice."""
+    """``parts`` with ``sequence_id`` and ``offset`` and without ``salt``; needs ``doc_id, piece, length, ids_crc32, salt``
+    in a table that does not change, since it is read several times."""
     counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     placed = slots(plan(counts, size))
     buckets = max(LEAST_BUCKETS, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    salted = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    salted = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(buckets)))
     # Buckets of a length, in order, with the number of pieces before each: sums of counts, at most size x buckets rows.
     sums = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("length", "_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = salted.withColumn("_rank", F.row_number().over(within)).join(before, ["length", "_bucket"])
-    rows = ranked.select(*parts.columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    arrow_batches(parts.sparkSession, 10_000)
+    kept = [f for f in parts.schema if f.name != "salt"]
+    rows = ranked.select(*(f.name for f in kept), (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def put(batches):
         for batch in batches:
