@@ -5,7 +5,7 @@ The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers
 training and in decoding alike, so the best labelling of a text splits exactly into runs of adjacent such words, which
 are decoded by Viterbi in numpy batches of equal length. A span of the field is added if it touches no base span and,
 for the four base kinds, if its digits pass the base's check (octets, Luhn, 8 to 15 digits); the field also knows
-``secret``, a key of 16 or more mixed characters. Base spans always stay.
+``secret``, a key of 16 or more mixed characters (``is_key``). Base spans always stay.
 
 Offsets are code points, end exclusive; spans are ordered by kind (email, ip, card, phone, secret), then start.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import arrow_batches, begin
+from tidemark.llm.runtime import begin, sliced
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -39,6 +39,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_KEY = re.compile(r"[A-Za-z0-9_-]+")
+_CAMEL = re.compile(r"[a-z][A-Z]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -65,7 +67,16 @@ def _is_phone(text: str) -> bool:
     return 8 <= len(_NOT_DIGIT.sub("", text)) <= 15
 
 
-_CHECKS = {"email": lambda t: bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", t)), "ip": _is_ip, "card": _is_card, "phone": _is_phone, "secret": lambda t: bool(re.fullmatch(r"[A-Za-z0-9]{16,}", t)) and len(_NOT_DIGIT.sub("", t)) >= 4}
+def is_key(text: str) -> bool:
+    """16 or more letters, digits, ``-`` and ``_``; letters and digits among them, of these four digits or capitals
+    after small letters (so a hyphenated phrase with a number is none)."""
+    if len(text) < 16 or not _KEY.fullmatch(text):
+        return False
+    digits = len(_NOT_DIGIT.sub("", text))
+    return 1 <= digits <= len(text) - 2 and (digits >= 4 or bool(_CAMEL.search(text)))
+
+
+_CHECKS = {"email": lambda t: bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", t)), "ip": _is_ip, "card": _is_card, "phone": _is_phone, "secret": is_key}
 
 
 def emails(text: str) -> Iterable[tuple[int, int]]:
@@ -122,9 +133,7 @@ def word(text: str, start: int, end: int) -> Word:
     if inner.startswith("(") and ")" not in inner:
         a, inner = a + 1, inner[1:]
     shape = _RUNS.sub(r"\1", "".join(_CLASS.get(c, "?") for c in inner))
-    plain = inner.isascii() and inner.isalnum()
-    digits = sum(map(inner.count, "0123456789"))
-    return Word(a, b, shape[:40], digits, plain and len(inner) >= 16 and 4 <= digits <= len(inner) - 2)
+    return Word(a, b, shape, sum(map(inner.count, "0123456789")), is_key(inner))
 
 
 def _count_class(n: int) -> str:
@@ -266,10 +275,10 @@ def labelled_table(size: int = 600, seed: int = 7) -> list[tuple[str, list[tuple
         "ip": [lambda: ".".join(str(rng.randrange(256)) for _ in range(4))],
         "card": [lambda: digits(16), lambda: fours(" "), lambda: fours("-"), lambda: fours(".")],
         "phone": [lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(7)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"],
-        "secret": [lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)), lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))],
+        "secret": [lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)), lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)), lambda: f"{letters(2)}{rng.choice('-_')}" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(20))],
         None: [
             lambda: digits(rng.randrange(1, 9)), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}%", lambda: f"{letters(4)}{digits(2)}",
-            lambda: f"{digits(1)}.{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"@{letters(6)}", lambda: f"({digits(1)})", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(1)} {digits(3)} {digits(3)}", lambda: digits(rng.randrange(20, 30)),
+            lambda: f"{letters(7)}-{digits(2)}-{letters(8)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"@{letters(6)}", lambda: f"({digits(1)})", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(1)} {digits(3)} {digits(3)}", lambda: digits(rng.randrange(20, 30)),
         ],
     }
     kinds = [*KINDS, None, None]
@@ -296,12 +305,20 @@ def default_field() -> Field:
 
 _HIT = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
-_NEAR = 40
+_WORD = re.compile(r"\S+")
+
+
+def _word_before(text: str, end: int) -> Word:
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return word(text, start, end) if start < end else EDGE
 
 
 def word_runs(text: str) -> Iterable[list[tuple[Word, Word, Word]]]:
-    """Runs of adjacent words with a digit or ``@``, each word with its neighbours (of a plain neighbour, the
-    nearest 40 characters)."""
+    """Runs of adjacent words with a digit or ``@``, each word with its neighbours."""
     spots: list[list[tuple[int, int]]] = []
     done = 0
     match = _HIT.search(text)
@@ -319,11 +336,9 @@ def word_runs(text: str) -> Iterable[list[tuple[Word, Word, Word]]]:
         match = _HIT.search(text, end)
     for run in spots:
         first, last = run[0][0], run[-1][1]
-        left, right = text[max(0, first - _NEAR) : first].split(), text[last : last + _NEAR].split()
-        words = [word(text, a, b) for a, b in run]
-        before = word(left[-1], 0, len(left[-1])) if left else EDGE
-        after = word(right[0], 0, len(right[0])) if right else EDGE
-        around = [before, *words, after]
+        right = _WORD.search(text, last)
+        after = word(text, *right.span()) if right else EDGE
+        around = [_word_before(text, first), *(word(text, a, b) for a, b in run), after]
         yield list(zip(around, around[1:], around[2:]))
 
 
@@ -374,12 +389,11 @@ _SPANS_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``doc_id`` and ``spans`` of every document. Narrow: no shuffle; the weights travel with the task."""
-    arrow_batches(docs.sparkSession)
     field = field or default_field()
 
     def scan(batches):
         begin("pii")
-        for batch in batches:
+        for batch in sliced(batches):
             spans = [[dict(zip(("kind", "start", "end", "base"), s)) for s in x] for x in find(batch.column(1).to_pylist(), field)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS_TYPE)], ["doc_id", "spans"])
 
@@ -399,21 +413,20 @@ def mask(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str | Non
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``docs`` with personal data masked in ``text`` and ``n_chars`` (if there) brought in line; all other columns
-    as they were."""
-    arrow_batches(docs.sparkSession)
+    """``docs`` with personal data masked in ``text`` and ``n_chars`` (if there, of any whole type) brought in line; all
+    other columns as they were, whatever their names."""
     field = field or default_field()
 
     def rewrite(batches):
         begin("pii")
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()
             clean = [mask(t, s) for t, s in zip(texts, find(texts, field))]
             new = {"text": pa.array(clean, pa.string())}
             if "n_chars" in names:
                 old = batch.column(names.index("n_chars"))
-                new["n_chars"] = pa.array([o if c == t else len(c) for o, c, t in zip(old.to_pylist(), clean, texts)], pa.int64())
+                new["n_chars"] = pa.array([o if c == t else len(c) for o, c, t in zip(old.to_pylist(), clean, texts)], old.type)
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names)
 
     return docs.mapInArrow(rewrite, docs.schema)
