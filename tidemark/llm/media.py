@@ -7,7 +7,8 @@ ranges of keyframes; the payload itself is only sliced, never decoded.
 
 Defined results: a null or empty text is the empty payload and is padded to one frame; a file without a track has
 codec null, duration 0 and no ranges; a truncated file or one whose tables disagree raises ``ValueError`` in
-``read_container`` and gives a row with ``error`` set in ``probe_media``. Repeated rows give repeated results.
+``read_container`` and gives a row with ``error`` set in ``probe_media``. Repeated rows give repeated results, an
+empty table an empty one. Columns other than the key and the text or file take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.runtime import arrow_batches
+from tidemark.llm.runtime import sliced
 
 FRAME = 64  #: bytes of a frame: 8 x 8 grey samples of 8 bits
 KEY_EVERY = 30  #: every so many frames one is a sync sample
@@ -180,11 +181,15 @@ def _sample_table(data: memoryview, start: int, end: int, track: Track) -> None:
 
 
 def read_container(data: bytes) -> list[Track]:
-    """The tracks of a file, from its boxes alone."""
+    """The tracks of a file, from its boxes alone; boxes may be nested to any depth."""
     view, tracks = memoryview(data), []
-
-    def walk(start: int, end: int) -> None:
-        for kind, a, b in boxes(view, start, end):
+    try:
+        levels = [boxes(view, 0, len(view))]
+        while levels:
+            kind, a, b = next(levels[-1], (None, 0, 0))
+            if kind is None:
+                levels.pop()
+                continue
             if kind == b"trak":
                 tracks.append(Track())
             if kind == b"mdhd" and tracks:
@@ -194,10 +199,7 @@ def read_container(data: bytes) -> list[Track]:
             elif kind == b"stbl" and tracks:
                 _sample_table(view, a, b, tracks[-1])
             elif kind in CONTAINERS:
-                walk(a, b)
-
-    try:
-        walk(0, len(view))
+                levels.append(boxes(view, a, b))
     except (struct.error, IndexError, KeyError) as e:
         raise ValueError(f"broken container: {e}") from e
     return tracks
@@ -216,12 +218,11 @@ def probe_media(media: DataFrame, key: str = "doc_id", column: str = "media") ->
 
     A null or empty file has codec null and no ranges. A broken file has ``error`` set and all else null.
     """
-    arrow_batches(media.sparkSession, 256)
     chosen = media.select(key, column)
     schema = f"{chosen.select(key).schema.simpleString()[7:-1].replace(':', ' ', 1)}, {PROBE}"
 
     def probe(batches):
-        for batch in batches:
+        for batch in sliced(batches, column):
             rows = []
             for data in batch.column(1):
                 try:
@@ -240,10 +241,8 @@ def probe_media(media: DataFrame, key: str = "doc_id", column: str = "media") ->
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``media``: each whole text as a container."""
-    arrow_batches(docs.sparkSession, 256)
-
     def store(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             media = [write_container(pad((t or "").encode())) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
@@ -273,10 +272,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
     One narrow pass; container and payload of a text live only while its row is made.
     """
-    arrow_batches(docs.sparkSession)
-
     def digest(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [digest_row(t) for t in batch.column(1).to_pylist()]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
