@@ -6,14 +6,20 @@ candidates) only pairs whose upper bound reaches the k-th best lower bound can b
 recomputed in double precision from the original vectors; each tile keeps k of them for each query in a heap, and the
 heaps of all tiles are merged. The result is exact.
 
-Every candidate lies in one block; the blocks of the stated query set are sent to every candidate block. Shuffled
-bytes are those of the table once, plus those of the queries times the number of candidate blocks, whose size grows
-with the table.
+Every candidate lies in one block, every query in one group of the stated query set; a tile, the product of a block and
+a group, is a task's unit of work, so neither the queries of a block nor the blocks of a query pile up in one task.
+Tiles carry vectors in the width of the column (lossless, 4 bytes for floats), because what survives the bounds is
+recomputed inside the tile: where a third of all vectors are alike, the surviving pairs of a query have no bound, but
+the heap that leaves the tile has. Block and group sizes grow with the table up to a fixed bound.
+
+Vectors are scaled by a power of two to components below one, which changes no bit of a cosine, so components as large
+as 1e200 or as small as 1e-200 neither overflow nor vanish.
 
 Defined results: rows whose vector is null, zero, or holds null or non-finite components take no part, neither as
 query nor as candidate, and so do rows with a null vec_id. Vectors are compared with those of the same length only. A
-query has as many rows as it has candidates, if fewer than k. Rows that share the query's vec_id are its own. Equal
-scores are ordered by vec_id. An empty table gives an empty result.
+query has as many rows as it has candidates, if fewer than k. Rows that share the query's vec_id are its own; several
+rows of one vec_id are candidates each, and as queries share one list of k. Equal scores are ordered by vec_id. An empty
+table gives an empty result. Columns other than ``vec_id`` and ``embedding`` take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import arrow_batches, durable, forget
+from tidemark.llm.runtime import durable, forget
 
 K = 5
 EVERY = 50
-QUERY_BLOCK = 1024
+LEAST_GROUP, MOST_GROUP = 1024, 8192
 LEAST_BLOCK, MOST_BLOCK = 1024, 65_536
 MERGE_QUERIES = 32
 #: Products of this many 8-bit components are exact in single precision.
@@ -51,6 +57,12 @@ def usable(batch_column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(index, np.int64), out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component below one: exact, and without effect on
+    cosines."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     """Lengths, summed component by component in order."""
     return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
@@ -67,11 +79,12 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, float, int]]:
-    """(query, score, candidate) of the k nearest candidates of each query in one tile."""
+    """(query, score, candidate) of the k nearest candidates of each query id in one tile."""
+    q, c = scaled(q), scaled(c)
     q_bits, q_scale, q_lost = quantise(q)
     c_bits, c_scale, c_lost = quantise(c)
     q_norm, c_norm = norms(q), norms(c)
-    out = []
+    heaps: dict[int, list[tuple[float, int]]] = {}
     rows = max(1, 4_000_000 // len(cid))
     for low in range(0, len(qid), rows):
         part = slice(low, low + rows)
@@ -92,53 +105,60 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         cuts = np.searchsorted(who, np.arange(len(qid[part]) + 1))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             best = heapq.nsmallest(k, zip((-score[a:b]).tolist(), cid[which[a:b]].tolist()))
-            out += [(int(qid[low + i]), -s, v) for s, v in best]
-    return out
+            mine = heaps.setdefault(int(qid[low + i]), best)
+            if mine is not best:
+                mine[:] = heapq.nsmallest(k, mine + best)
+    return [(query, -s, v) for query, best in heaps.items() for s, v in best]
 
 
-BLOCK = "dim int, block int, ids binary, data binary"
+PACKED = "dim int, part int, ids binary, data binary"
 
 
 def _pack(group: pa.Table) -> pa.Table:
     index, vectors = usable(group.column("embedding"))
     ids = group.column("vec_id").to_numpy()[index].astype("<i8")
-    data = np.stack(vectors).astype("<f8")
-    return pa.table({"dim": pa.array([data.shape[1]], pa.int32()), "block": pa.array([group.column("block")[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "data": [data.tobytes()]})
+    data = np.stack(vectors).astype("<f4" if pa.types.is_float32(group.schema.field("embedding").type.value_type) else "<f8")
+    return pa.table({"dim": pa.array([data.shape[1]], pa.int32()), "part": pa.array([group.column("part")[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "data": [data.tobytes()]})
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of ``vectors(vec_id, embedding)`` for every row for which
     the column ``is_query`` is true."""
     spark = vectors.sparkSession
-    arrow_batches(spark, 10_000)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     whole = F.col("embedding").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & whole).select("vec_id", "embedding", F.size("embedding").alias("dim"), is_query.alias("asks"))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = -(-max(1, sizes["n"]) // min(MOST_BLOCK, max(LEAST_BLOCK, sizes["n"] // (2 * parts))))
-    query_blocks = -(-max(1, sizes["q"]) // QUERY_BLOCK)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    candidates = durable(rows.select("vec_id", "embedding", "dim", deal(blocks).alias("block")).groupBy("dim", "block").applyInArrow(_pack, BLOCK))
-    asking = rows.where("asks").select("vec_id", "embedding", "dim", deal(query_blocks).alias("block"))
-    queries = durable(asking.groupBy("dim", "block").applyInArrow(_pack, BLOCK))
-    everywhere = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda n, least, most: -(-max(1, n) // min(most, max(least, n // (2 * tasks))))
+    blocks, groups = parts(sizes["n"], LEAST_BLOCK, MOST_BLOCK), parts(sizes["q"], LEAST_GROUP, MOST_GROUP)
+
+    def packed(some: DataFrame, count: int) -> DataFrame:
+        """Rows dealt evenly, however often a vec_id is repeated."""
+        part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(count)).cast("int")
+        return durable(some.select("vec_id", "embedding", "dim", part.alias("part")).groupBy("dim", "part").applyInArrow(_pack, PACKED))
+
+    candidates, queries = packed(rows, blocks), packed(rows.where("asks"), groups)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = candidates.select("dim", F.col("part").alias("block"), every(groups, "group"), "ids", "data")
+    right = queries.select("dim", F.col("part").alias("group"), every(blocks, "block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+    found = "query_id long, score double, vec_id long"
 
     def multiply(batches):
         for batch in batches:
-            for dim, ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
-                shaped = lambda x, d=dim: np.frombuffer(x, "<f8").reshape(-1, d)
-                found = tile(np.frombuffer(q_ids, "<i8"), shaped(q_data), np.frombuffer(ids, "<i8"), shaped(data), k)
+            for i in range(batch.num_rows):
+                dim, ids, data, q_ids, q_data = (column[i].as_py() for column in batch.columns)
+                shaped = lambda x, d=dim: np.frombuffer(x, kind).reshape(-1, d).astype(float)
+                best = tile(np.frombuffer(q_ids, "<i8"), shaped(q_data), np.frombuffer(ids, "<i8"), shaped(data), k)
                 kinds = (pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], ["query_id", "score", "vec_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in best], t) for j, t in enumerate(kinds)], ["query_id", "score", "vec_id"])
 
-    arrow_batches(spark, 2)  # rows of two blocks each
-    tiles = candidates.join(everywhere, ["dim", "block"]).select("dim", "ids", "data", "q_ids", "q_data")
-    partial = durable(tiles.mapInArrow(multiply, "query_id long, score double, vec_id long"))
+    tiles = left.join(right, ["dim", "block", "group"]).select("dim", "ids", "data", "q_ids", "q_data")
+    partial = durable(tiles.mapInArrow(multiply, found))
     forget(candidates)
     forget(queries)
-    arrow_batches(spark, 10_000)
-    groups = -(-max(1, sizes["q"]) // MERGE_QUERIES)
+    merges = -(-max(1, sizes["q"]) // MERGE_QUERIES)
 
     def merge(group: pa.Table) -> pa.Table:
         heaps: dict[int, list] = {}
@@ -149,7 +169,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["query_id", "rank", "vec_id", "score"])
 
-    merged = partial.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+    merged = partial.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(merges)))
     return merged.groupBy("part").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
