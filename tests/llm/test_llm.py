@@ -263,7 +263,7 @@ def test_language(spark, data, docs, nothing):
 
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAST_BLOCK", 40)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(neighbours, "LEAST_GROUP", 3)
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
     vectors[100:160] = vectors[0]
