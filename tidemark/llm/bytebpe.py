@@ -1,28 +1,35 @@
 """Byte-level BPE: encoding by folds of ranked merges in Spark's higher-order functions, decoding by concatenation.
 
-A text is split by the vocabulary's pattern; the ids of each match depend on the match alone. So a task folds merges
-once for each distinct word it meets. Three narrow steps run one after the other in one stage, without a shuffle:
-
-1. Python splits the texts and numbers the distinct words of the task; a row carries the numbers of its words and
-   those words that come up for the first time;
-2. ``merged`` folds the merges of the new words in the JVM: the state is the array of pieces, each with the rank of
-   the piece it would form with the next one; every step joins the leftmost pair of least rank and looks up the ranks
-   of the two pairs that this makes. Ranks come from a literal map, dealt into buckets by crc32 so that a look-up
-   compares a few keys;
+A text is split by the vocabulary's pattern; the ids of each match depend on the match alone, so merges are folded for
+distinct words. Words that are common in a sample of the documents are folded once for the whole table and broadcast
+(``COMMON_WORDS`` at most; the sample decides only where a word is folded, not its ids). All others are folded once in
+each task that meets them. One narrow pass over the documents, without a shuffle, in three steps:
+
+1. Python splits the texts and numbers the distinct words of the task; a row carries the numbers of its words, and the
+   bytes of those words that come up for the first time, as ids of single-byte tokens;
+2. ``merged`` folds the merges of the new words in the JVM: the state is the array of token ids with the rank of each
+   neighbouring pair; every step joins the leftmost pair of least rank and looks up the two pairs that this makes. Ranks
+   come from a literal map of pairs: a hash table without collisions, in two literal arrays;
 3. Python puts the ids of words together to ids of texts, and decodes them by concatenating their byte pieces.
 
-A task's table of words is bounded by the text it reads; tasks read ``TASK_BYTES`` of text or the input's own splits,
-whichever is more, so that few words are folded by several tasks.
+A word that is a token is its own id, as in the vocabulary's library. A step of the fold costs the length of the word,
+so words of more than ``LONG_WORD`` bytes are merged with a heap in step 1 instead: n log n steps, the same merges in the
+same order. A task's table of words is bounded by the text it reads.
 
 Defined results: a null or empty text has no ids and decodes to no bytes. Special tokens are plain text. Repeated rows
-get equal results; an empty table gives an empty one. Texts are read whole; a word of n bytes takes n steps.
+get equal results; an empty table gives an empty one. Texts are read whole. Code points that are newer than the tables of
+the tokenizer's library are split as that library does, if it can be imported. Columns other than ``doc_id`` and
+``text`` take no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
+import heapq
+import random
+import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +40,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import sliced
 
-BUCKETS = 1 << 14
-TASK_BYTES = 160 << 20
+#: Words that are folded once and broadcast, and rows of the sample they are chosen from, in expectation.
+COMMON_WORDS = 300_000
+SAMPLE_ROWS = 20_000
+#: Bytes of the longest word that the fold merges.
+LONG_WORD = 100
 NONE = 2**31 - 1
+#: A pair of ids is one number: the left one shifted by this, plus the right one.
+ID_BITS = 17
+GROUPS = 1 << 15
 
 
 def default_path() -> str:
@@ -56,12 +69,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: an array of small maps, by crc32 of the piece. Bounded by the vocabulary."""
-    dealt: list[list[str]] = [[] for _ in range(BUCKETS)]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of what two neighbouring tokens form, for every pair of tokens that forms one."""
+    out = {}
     for piece, rank in ranks.items():
-        dealt[zlib.crc32(piece) % BUCKETS].append(f"X'{piece.hex()}',{rank}")
-    return F.expr("array(" + ",".join(f"map({','.join(x) or "X'',-1"})" for x in dealt) + ")")
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                out[left << ID_BITS | right] = rank
+    return out
+
+
+@lru_cache(maxsize=2)
+def pair_table(path: str) -> tuple[int, list[int], list[int]]:
+    """The pairs as a hash table without collisions: (multiplier, shift of each group of pairs, slots). A slot holds pair
+    and rank as one number, plus one; 0 is empty. A pair's slot is its hash plus the shift of its group."""
+    pairs = pair_ranks(read_ranks(path))
+    if max(read_ranks(path).values(), default=0) >= 1 << ID_BITS:
+        raise ValueError(f"ids must be below {1 << ID_BITS}")
+    size = 1 << max(4, (2 * len(pairs)).bit_length())
+    rng = random.Random(1)
+    while True:
+        times = rng.randrange(1 << 27, 1 << 28) | 1
+        groups: dict[int, list[int]] = {}
+        for pair in pairs:
+            groups.setdefault(_group(pair), []).append(pair)
+        if all(len({_slot(p, times, 0, size) for p in group}) == len(group) for group in groups.values()):
+            break
+    shifts, slots = [0] * GROUPS, [0] * size
+    for group, members in sorted(groups.items(), key=lambda x: -len(x[1])):
+        while any(slots[_slot(p, times, shifts[group], size)] for p in members):
+            shifts[group] = rng.randrange(size)
+        for p in members:
+            slots[_slot(p, times, shifts[group], size)] = (p << ID_BITS | pairs[p]) + 1
+    return times, shifts, slots
+
+
+def _group(pair: int) -> int:
+    return (pair * 40503 >> 5) % GROUPS
+
+
+def _slot(pair: int, times: int, shift: int, size: int) -> int:
+    return ((pair * times >> 20) + shift) % size
+
+
+def rank_literal(path: str) -> tuple[Column, int]:
+    """The table as a literal (arrays out of one string each, which Catalyst folds), and its multiplier. Bounded by the
+    vocabulary."""
+    times, shifts, slots = pair_table(path)
+    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    return F.struct(numbers(shifts).alias("shifts"), numbers(slots).alias("slots"), F.lit(len(slots)).cast("long").alias("size")), times
 
 
 def let(value: Column, body) -> Column:
@@ -69,40 +126,116 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def merged(word: Column, ranks: Column) -> Column:
-    """Token ids of one word (binary): the fold of ranked merges."""
-
-    def rank(piece: Column) -> Column:
-        bucket = F.element_at(ranks, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int") + 1)
-        return F.coalesce(F.try_element_at(bucket, piece), F.lit(NONE))
+def merged(word: Column, table: Column, times: int) -> Column:
+    """Token ids of one word (``array<int>``, single-byte tokens): the fold of ranked merges."""
+    long = lambda n: F.lit(n).cast("long")
 
-    size = F.octet_length(word)
+    def rank(left: Column, right: Column) -> Column:
+        def look(pair: Column) -> Column:
+            group = (F.shiftright(pair * long(40503), 5) % long(GROUPS)).cast("int")
+            at = (F.shiftright(pair * long(times), 20) + F.element_at(table["shifts"], group + 1)) % table["size"]
+            entry = F.element_at(table["slots"], at.cast("int") + 1) - 1
+            return let(entry, lambda e: F.when(F.shiftright(e, ID_BITS) == pair, (e % long(1 << ID_BITS)).cast("int")).otherwise(F.lit(NONE)))
 
-    def single(i: Column) -> Column:
-        with_next = F.when(i < size, rank(F.substring(word, i, F.lit(2)))).otherwise(F.lit(NONE))
-        return F.struct(F.substring(word, i, F.lit(1)).alias("piece"), with_next.alias("rank"))
+        return let(left.cast("long") * long(1 << ID_BITS) + right, look)
 
     def step(state: Column, _: Column) -> Column:
-        def join(at: Column) -> Column:
-            """The state with its pieces ``at`` and ``at + 1`` made one."""
-            after = F.slice(state, at + 2, F.size(state))
+        ids, ranks = state["ids"], state["ranks"]
+        none = F.array().cast("array<int>")
+
+        def join(low: Column) -> Column:
+            def at(i: Column) -> Column:
+                left = F.when(i > 1, F.array(rank(F.element_at(ids, i - 1), low))).otherwise(none)
+                right = F.when(i + 1 < F.size(ids), F.array(rank(low, F.element_at(ids, i + 2)))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(ids, F.lit(1), i - 1), F.array(low), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(ids))).alias("ranks"),
+                )
+
+            return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(ranks, low).cast("int"), at))
+
+        return let(F.array_min(ranks), join)
+
+    turns = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
+    start = F.transform(turns, lambda i: rank(F.element_at(word, i), F.element_at(word, i + 1)))
+    folded = F.aggregate(turns, F.struct(word.alias("ids"), start.alias("ranks")), step)["ids"]
+    return F.when(F.size(word) < 2, word).when(F.element_at(word, 1) < 0, F.slice(word, F.lit(2), F.size(word))).otherwise(folded)
+
+
+def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """The merges of the fold on a long word, with a heap of (rank, place) in place of a search."""
+    after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := pairs.get(ids[i] << ID_BITS | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        low, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= len(ids) or ids[i] != left or ids[j] != right:
+            continue  # one of the two has been merged with another since
+        ids[i], alive[j], after[i] = low, False, after[j]
+        if after[j] < len(ids):
+            before[after[j]] = i
+        for a in (before[i], i):
+            b = after[a] if a >= 0 else len(ids)
+            if b < len(ids) and (r := pairs.get(ids[a] << ID_BITS | ids[b])) is not None:
+                heapq.heappush(heap, (r, a, ids[a], ids[b]))
+    return [x for x, here in zip(ids, alive) if here]
 
-            def put(piece: Column) -> Column:
-                with_next = F.when(at + 2 <= F.size(state), rank(F.concat(piece, F.try_element_at(state, at + 2)["piece"]))).otherwise(F.lit(NONE))
-                here = F.array(F.struct(piece.alias("piece"), with_next.alias("rank")))
-                left = F.try_element_at(state, F.greatest(at - 1, F.lit(1)))["piece"]
-                before = F.array(F.struct(left.alias("piece"), rank(F.concat(left, piece)).alias("rank")))
-                return F.when(at > 1, F.concat(F.slice(state, F.lit(1), at - 2), before, here, after)).otherwise(F.concat(here, after))
 
-            return let(F.concat(F.element_at(state, at)["piece"], F.element_at(state, at + 1)["piece"]), put)
-
-        least = lambda low: F.when(low == NONE, state).otherwise(let(F.array_position(state["rank"], low).cast("int"), join))
-        return let(F.array_min(state["rank"]), least)
-
-    start = F.transform(F.sequence(F.lit(1), size), single)
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step)
-    ids = F.transform(folded, lambda s: rank(s["piece"]))
-    return let(rank(word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(ids))
+@lru_cache(maxsize=2)
+def newer_letters(pattern: str) -> str:
+    """Code points that this splitter takes for letters, digits or white space, and the tokenizer's library, with older
+    tables, for unassigned ones. Each is tried next to a letter, a mark and a digit, with a vocabulary whose only merges
+    join these to the first byte of the code point: they merge if and only if the library does not split."""
+    try:
+        import tiktoken
+    except ImportError:
+        return ""
+    known = regex.compile(r"[\p{L}\p{N}\s]")
+    newer = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.category(c) == "Cn" and known.match(c)]
+    ranks = {bytes([i]): i for i in range(256)}
+    for first in sorted({c.encode()[:1] for c in newer}):
+        for mark in (b"a", b"!", b"1"):
+            ranks[mark + first] = len(ranks)
+    probe, split = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), regex.compile(pattern)
+    return "".join(c for c in newer if any((probe.encode_ordinary(m + c)[0] > 255) != (len(split.findall(m + c)) == 1) for m in "a!1"))
+
+
+#: A code point that no table has assigned.
+UNASSIGNED = "\u0378"
+
+
+class Splitter:
+    """Matches of the pattern in texts, and the ids of the bytes of a word."""
+
+    def __init__(self, pattern: str, newer: str, ranks: dict[bytes, int]):
+        self.pattern, self.ranks = regex.compile(pattern), ranks
+        self.newer, self.odd = dict.fromkeys(map(ord, newer), UNASSIGNED), None
+        if newer:
+            codes = sorted(map(ord, newer))
+            cuts = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1), len(codes)]
+            self.odd = regex.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in zip(cuts, cuts[1:])) + "]")
+        self.pairs: dict[int, int] = {}
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.odd and not text.isascii() and self.odd.search(text):
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.newer))]
+        return self.pattern.findall(text)
+
+    def start(self, word: str) -> list[int]:
+        """What the fold starts from: the ids of single bytes, or the id of a word that is a token, or -1 and the final
+        ids of a long word."""
+        data = word.encode()
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        ids = [self.ranks[data[i : i + 1]] for i in range(len(data))]
+        if len(ids) <= LONG_WORD:
+            return ids
+        self.pairs = self.pairs or pair_ranks(self.ranks)
+        return [-1, *merge_long(ids, self.pairs)]
 
 
 class Words:
@@ -134,49 +267,75 @@ class Words:
         return self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def coalesced(docs: DataFrame) -> DataFrame:
-    """Fewer and larger tasks, if the splits of the input are small; no shuffle."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return docs.coalesce(max(1, -(-size // TASK_BYTES)))
+def common_words(docs: DataFrame, splitter: Splitter, path: str) -> pa.Table:
+    """``word, ids`` of the words that several rows of a sample have, the commonest first; bounded by ``COMMON_WORDS``."""
+    rows = docs.count()
+    steps = 1 << 30
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(steps * min(1.0, SAMPLE_ROWS / max(1, rows)))
+
+    def count(batches):
+        for batch in sliced(batches):
+            found = Counter(w for text in batch.column(0).to_pylist() for w in splitter.words(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    def begin(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(splitter.start, batch.column(0).to_pylist())), pa.list_(pa.int32()))], ["word", "start"])
+
+    counted = docs.where(chosen).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    several = counted.where((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD))
+    top = several.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
+    spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(begin, "word string, start array<int>")
+    literal, times = rank_literal(path)
+    return spread.select("word", let(literal, lambda t: merged(F.col("start"), t, times)).alias("ids")).toArrow()
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:
     """``doc_id, ids array<int>`` of every text; with ``digest`` the contract rows in its place."""
-    ranks = read_ranks(path or default_path())
-    split = regex.compile(pattern or default_pattern())
+    path, pattern = path or default_path(), pattern or default_pattern()
+    ranks = read_ranks(path)
+    splitter = Splitter(pattern, newer_letters(pattern), ranks)
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
+    common = common_words(docs, splitter, path)
+    lists = common.column("ids").combine_chunks()
+    context = docs.sparkSession.sparkContext
+    names = context.broadcast(common.column("word").to_pylist())  # COMMON_WORDS words of LONG_WORD bytes at most
+    folded = context.broadcast((lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
 
     def number(batches):
-        known: dict[str, int] = {}
-        for batch in batches:
+        known = {w: i for i, w in enumerate(names.value)}
+        for batch in sliced(batches):
             rows, new = [], []
             for text in batch.column(1).to_pylist():
-                words = split.findall(text or "")
+                words = splitter.words(text)
                 fresh = [w for w in dict.fromkeys(words) if w not in known]
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-                new.append([w.encode() for w in fresh])
+                new.append(list(map(splitter.start, fresh)))
                 rows.append(np.fromiter(map(known.__getitem__, words), "<i4", len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(new, pa.list_(pa.binary()))], ["doc_id", "words", "new"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(new, pa.list_(pa.list_(pa.int32())))], ["doc_id", "words", "new"])
 
     def assemble(batches):
         table = Words()
+        table.add(*folded.value)
         for batch in batches:
             lists = batch.column(2)
             table.add(lists.flatten().flatten().to_numpy(zero_copy_only=False), lists.flatten().value_lengths().to_numpy(zero_copy_only=False))
-            ids = [table.text(np.frombuffer(w, "<i4")).astype("<u4") for w in batch.column(1).to_pylist()]
-            if not digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
-                continue
-            back = [hashlib.sha256(decode_ids(x.tolist(), pieces)).hexdigest() for x in ids]
-            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    numbered = coalesced(docs.select("doc_id", "text")).mapInArrow(number, "doc_id long, words binary, new array<binary>")
-    folded = let(rank_literal(ranks), lambda literal: F.transform("new", lambda w: merged(w, literal)))
+            for part in sliced([batch], "words"):
+                ids = [table.text(np.frombuffer(w, "<i4")).astype("<u4") for w in part.column(1).to_pylist()]
+                if not digest:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    continue
+                back = [hashlib.sha256(decode_ids(x.tolist(), pieces)).hexdigest() for x in ids]
+                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    literal, times = rank_literal(path)
+    numbered = docs.select("doc_id", "text").mapInArrow(number, "doc_id long, words binary, new array<array<int>>")
+    ids = let(literal, lambda t: F.transform("new", lambda w: merged(w, t, times)))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
-    return numbered.select("doc_id", "words", folded.alias("new")).mapInArrow(assemble, schema)
+    return numbered.select("doc_id", "words", ids.alias("new")).mapInArrow(assemble, schema)
 
 
 def decode_ids(ids: list[int], pieces: list[bytes]) -> bytes:
