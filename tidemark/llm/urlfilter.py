@@ -8,12 +8,16 @@ membership is exact and judging a page needs no join: the levels are binary lite
 
 Size: with r listed keys in a universe of s, level 0 has a false positive rate of about r / s, so level 1 encodes
 about r keys, level 2 a sixteenth of the listed ones, and so on. All levels together take about
-r * (1.44 * log2(s / r) + 7) bits, whatever the number of pages. ``MAX_LISTED`` bounds r, so the literal is bounded;
-longer lists are refused with an error, not cut.
+r * (1.44 * log2(s / r) + 7) bits, whatever the number of pages. Two hashes of each listed key and of what level 0 takes
+wrongly, about 2 * r rows, come to the driver once, and all levels are set from them. ``MAX_LISTED`` bounds r and so the
+literals; a longer list is matched exactly by a join of the distinct hosts and paths with the list.
+
+Lists are tuples or tables with a column ``key``.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the method's verdict for
 "not listed" (allow). Repeated rows are judged each on its own. An empty table gives an empty result. A url whose
-host has capitals A-Z is compared in lower case; other letters stay.
+host has capitals A-Z is compared in lower case; other letters stay. Null keys of a list take no part, repeated ones
+count once. Columns other than ``page_id`` and ``url`` take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import durable, forget
 
-MAX_LISTED = 5_000_000
+MAX_LISTED = 1_000_000
 #: Seven bits of each byte are used: such a byte is one ASCII character, which ``ascii`` reads without a cast to hex.
 BITS = 7
 
@@ -71,41 +75,51 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 
 @dataclass(frozen=True)
 class Level:
+    """A Bloom filter of a prime number of bits. Levels differ in it, so their bits are independent."""
+
     bits: int
     hashes: int
-    seed: int
     data: bytes
 
-    def accepts(self, key: Column) -> Column:
+    def accepts(self, first: Column, second: Column) -> Column:
         found = F.lit(True)
-        for at in positions(key, self.bits, self.hashes, self.seed):
+        for i in range(self.hashes):
+            at = F.pmod(F.pmod(first, F.lit(self.bits)) + F.pmod(second, F.lit(self.bits)) * i, F.lit(self.bits))
             byte = F.ascii(F.substring(F.lit(self.data), (at / BITS).cast("int") + 1, F.lit(1)).cast("string"))
             found = found & (F.floor(byte / F.pow(F.lit(2), at % BITS)) % 2 == 1)
         return found
 
+    def holds(self, key: tuple[int, int]) -> bool:
+        return all(self.data[at // BITS] >> at % BITS & 1 for at in positions(key, self.bits, self.hashes))
+
+
+def hashes_of(key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
+
+
+def positions(key: tuple[int, int], bits: int, hashes: int) -> list[int]:
+    """The bits of a key, by double hashing."""
+    first, second = key[0] % bits, key[1] % bits
+    return [(first + second * i) % bits for i in range(hashes)]
+
 
-def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    """The bit positions of a key, by double hashing."""
-    a = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(bits))
-    b = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits))
-    return [F.pmod(a + b * i, F.lit(bits)) for i in range(hashes)]
+def _prime(least: int) -> int:
+    n = max(67, least | 1)
+    while any(n % d == 0 for d in range(3, math.isqrt(n) + 1, 2)):
+        n += 2
+    return n
 
 
-def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of the ``key`` column of a bounded table in one partition: no shuffle."""
+def build_level(keys: list[tuple[int, int]], rate: float, taken: list[Level]) -> Level:
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, math.ceil(count * hashes / math.log(2)))
-    at = F.explode(F.array(*positions(F.col("key"), bits, hashes, seed)))
-    words = (
-        keys.select(at.alias("at"))
-        .distinct()
-        .groupBy(F.floor(F.col("at") / BITS).alias("byte"))
-        .agg(F.sum(F.pow(F.lit(2), F.col("at") % BITS)).cast("int").alias("value"))
-    )
+    bits = _prime(math.ceil(len(keys) * hashes / math.log(2)))
+    while any(bits == level.bits for level in taken):
+        bits = _prime(bits + 2)
     data = bytearray(bits // BITS + 1)
-    for row in words.collect():  # at most one row for each byte of the filter
-        data[row.byte] = row.value
-    return Level(bits, hashes, seed, bytes(data))
+    for key in keys:
+        for at in positions(key, bits, hashes):
+            data[at // BITS] |= 1 << at % BITS
+    return Level(bits, hashes, bytes(data))
 
 
 @dataclass(frozen=True)
@@ -114,41 +128,40 @@ class Cascade:
 
     def contains(self, key: Column) -> Column:
         """Exact for every key of the universe it was built over."""
+        first, second = hashes_of(key)
         found = F.lit(len(self.levels) % 2 == 1)
         for i, level in reversed(list(enumerate(self.levels))):
-            found = F.when(level.accepts(key), found).otherwise(F.lit(i % 2 == 1))
+            found = F.when(level.accepts(first, second), found).otherwise(F.lit(i % 2 == 1))
         return found
 
 
-def build_cascades(universe: DataFrame, lists: list[DataFrame], size: int | None = None) -> list[Cascade]:
+def build_cascades(universe: DataFrame, lists: list[DataFrame]) -> list[Cascade]:
     """A cascade for the ``key`` column of each list, over the distinct ``key`` column of ``universe``.
 
-    One pass over the universe for all lists together; what the levels 0 take wrongly is about as many keys as are
-    listed and is kept in the shared folder, and everything after it is bounded by the lists and stays in one
-    partition. Null keys take no part. An empty list gives a cascade that contains nothing.
+    One pass over the universe for all lists together. Null keys take no part. An empty list gives a cascade that
+    contains nothing. A list of more than ``MAX_LISTED`` keys is refused: ``judge`` matches such lists by a join.
     """
-    size = universe.count() if size is None else size
-    listed, counts, levels = [], [], []
+    first, second = hashes_of(F.col("key"))
+    numbers = (first.alias("first"), second.alias("second"))
+    listed: list[dict[str, tuple[int, int]]] = []
     for keys in lists:
-        listed.append(keys.select("key").where("key IS NOT NULL").coalesce(1).distinct())
-        counts.append(listed[-1].count())
-        if counts[-1] > MAX_LISTED:
-            raise ValueError(f"{counts[-1]} listed keys; the literal is bounded to {MAX_LISTED}")
-        rate = min(0.5, max(1e-9, counts[-1] / max(1, size)))
-        levels.append([build_level(listed[-1], counts[-1], rate, 0)] if counts[-1] else [])
-    taken = [own[0].accepts(F.col("key")) if own else F.lit(False) for own in levels]
-    passed = durable(universe.select("key", F.array(*taken).alias("taken")).where(F.array_contains("taken", True)))
-    for i, own in enumerate(levels):
-        if not own:
-            continue
-        mine = passed.where(F.col("taken")[i]).select("key").coalesce(1)
-        ours, others = listed[i], mine.join(F.broadcast(listed[i]), "key", "left_anti")
-        wrong = others
-        while number := wrong.count():
-            own.append(build_level(wrong, number, LATER_RATE, len(own)))
-            ours, others = wrong, ours
-            wrong = others.where(own[-1].accepts(F.col("key")))
-    forget(passed)
+        rows = keys.where("key IS NOT NULL").select("key").distinct().select("key", *numbers).limit(MAX_LISTED + 1)
+        listed.append({r["key"]: (r["first"], r["second"]) for r in rows.toLocalIterator()})
+        if len(listed[-1]) > MAX_LISTED:
+            raise ValueError(f"more than {MAX_LISTED} listed keys")
+    size = universe.count()
+    levels = [[build_level(list(own.values()), min(0.5, max(1e-9, len(own) / max(1, size))), [])] if own else [] for own in listed]
+    passed = universe.select("key", *numbers).select("*", F.array(*(own[0].accepts(F.col("first"), F.col("second")) if own else F.lit(False) for own in levels)).alias("taken"))
+    wrong: list[list[tuple[int, int]]] = [[] for _ in lists]
+    for row in passed.where(F.array_contains("taken", True)).toLocalIterator():  # about twice the listed keys
+        for i, taken in enumerate(row["taken"]):
+            if taken and row["key"] not in listed[i]:
+                wrong[i].append((row["first"], row["second"]))
+    for own, keys, mistaken in zip(levels, listed, wrong):
+        ours, others = list(keys.values()), mistaken
+        while others:
+            own.append(build_level(others, LATER_RATE, own))
+            ours, others = others, [key for key in ours if own[-1].holds(key)]
     return [Cascade(tuple(own)) for own in levels]
 
 
@@ -159,42 +172,44 @@ def key_table(spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))
 
 
-def judge(
-    pages: DataFrame,
-    block: tuple[str, ...] = BLOCK_RULES,
-    allow: tuple[str, ...] = ALLOW_RULES,
-    listed_hosts: tuple[str, ...] = LISTED_HOSTS,
-) -> DataFrame:
+Keys = tuple[str, ...] | DataFrame
+
+
+def judge(pages: DataFrame, block: Keys = BLOCK_RULES, allow: Keys = ALLOW_RULES, listed_hosts: Keys = LISTED_HOSTS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and ``listed`` for every page.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's path; the longest rule wins.
     Where none fits, pages of a listed host or of its subdomains are blocked, others allowed.
     """
-    if both := set(block) & set(allow):
-        raise ValueError(f"rules that both block and allow: {sorted(both)}")
     spark = pages.sparkSession
-    lengths = sorted({len(rule) - rule.index("/") for rule in (*block, *allow)} | {0})
+    lists = [x.select("key").where("key IS NOT NULL") if isinstance(x, DataFrame) else key_table(spark, tuple(x)) for x in (block, allow, listed_hosts)]
+    if not lists[0].intersect(lists[1]).isEmpty():
+        raise ValueError("a rule both blocks and allows")
+    rules = lists[0].unionAll(lists[1])
+    lengths = sorted({r[0] for r in rules.select(F.length("key") - F.instr("key", "/") + 1).distinct().collect()} | {0})  # lengths of paths
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keys = parts.select("page_id", "host", "path", candidates(F.col("host"), F.col("path"), lengths).alias("keys"))
-    universe = durable(keys.select(F.explode("keys.key").alias("key")).distinct())
-    size = universe.count()
-    lists = [key_table(spark, tuple(x)) for x in (block, allow, listed_hosts)]
-    blocked, allowed, listed = build_cascades(universe, lists, size)
+    keys = candidates(F.col("host"), F.col("path"), lengths)
+    counts = [keys_.select("key").distinct().count() for keys_ in lists]
+    short = [i for i, n in enumerate(counts) if n <= MAX_LISTED]
+    universe = durable(parts.select(F.explode(keys.key).alias("key")).distinct())
+    cascades = dict(zip(short, build_cascades(universe, [lists[i] for i in short])))
     forget(universe)
-    hit = lambda cascade: lambda c: cascade.contains(c["key"])
-    rules = keys.select(
-        "page_id",
-        "host",
-        "path",
-        F.array_max(F.filter("keys", hit(blocked))).alias("block"),
-        F.array_max(F.filter("keys", hit(allowed))).alias("allow"),
-        F.exists("keys", hit(listed)).alias("listed"),
-    )
+    names = ("block", "allow", "listed")
+    hits = lambda cascade: lambda c: cascade.contains(c["key"])
+    found = parts.withColumn("keys", keys)
+    for i, name in enumerate(names):
+        if i in cascades:
+            found = found.withColumn(name, F.array_max(F.filter("keys", hits(cascades[i]))))
+        else:  # exact for lists of any length: distinct hosts and paths, joined with the list
+            each = parts.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("fit"))
+            best = each.join(lists[i].distinct().withColumnRenamed("key", "own"), F.col("fit.key") == F.col("own")).groupBy("host", "path").agg(F.max("fit").alias(name))
+            found = found.join(best, ["host", "path"], "left")
     blocks = F.col("block").isNotNull() & (F.col("allow").isNull() | (F.col("block") > F.col("allow")))
-    verdict = F.when(blocks, "block").when(F.col("allow").isNotNull(), "allow").when(F.col("listed"), "block").otherwise("allow")
+    listed = F.col("listed").isNotNull()
+    verdict = F.when(blocks, "block").when(F.col("allow").isNotNull(), "allow").when(listed, "block").otherwise("allow")
     rule = F.when(blocks, F.col("block.key")).otherwise(F.col("allow.key"))
-    return rules.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")
+    return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), listed.alias("listed"))
 
 
 def judge_sql(listed_hosts: tuple[str, ...] = LISTED_HOSTS) -> str:
