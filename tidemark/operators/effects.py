@@ -101,15 +101,26 @@ def effects(replayed: DataFrame) -> DataFrame:
     return out.select(*EFFECT_KEY, "key", "row.*").where("status IS NOT NULL")
 
 
-def resolve(effects_: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Effects after decisions by hand (``key``, ``outcome`` done or not-done); effects that are DONE stay."""
-    out = effects_.join(decisions.select("key", F.col("outcome").alias("_to")), "key", "left")
+def resolve(effects_: DataFrame, decisions: DataFrame, at: Column | None = None) -> DataFrame:
+    """Effects after decisions by hand (``key``, ``outcome`` done or not-done, ``result`` if there); effects that are
+    DONE stay. An effect that is done takes the decision's result and ``at`` as its time. Any other outcome, or a key
+    that no effect has, fails the query."""
+    result = F.col("result") if "result" in decisions.columns else F.lit(None).cast("string")
+    wrong = F.concat(F.lit("outcome must be 'done' or 'not-done', not "), F.coalesce("outcome", F.lit("null")))
+    checked = F.when(F.coalesce(F.col("outcome").isin("done", "not-done"), F.lit(False)), F.col("outcome")).otherwise(F.raise_error(wrong).cast("string"))
+    told = decisions.select("key", checked.alias("_to"), result.alias("_result"))
+    out = effects_.withColumn("_there", F.lit(True)).join(told, "key", "full_outer")
     moved = F.col("_to").isNotNull() & (F.col("status") != "DONE")
-    done = F.col("_to") == "done"
+    done = moved & (F.col("_to") == "done")
+    known = F.when(F.col("_there"), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("no effect with key "), F.col("key"))).cast("string"))
     changed = {
-        "status": F.when(moved & done, "DONE").when(moved, "RESOLVED").otherwise(F.col("status")),
-        "resolution": F.when(moved & done, "manual:done").when(moved, "not-done").otherwise(F.col("resolution")),
+        "status": F.when(done, "DONE").when(moved, "RESOLVED").otherwise(known),
+        "resolution": F.when(done, "manual:done").when(moved, "not-done").otherwise(F.col("resolution")),
     }
+    if "result" in effects_.columns:
+        changed["result"] = F.when(done, F.col("_result")).otherwise(F.col("result"))
+    if at is not None and "done_at" in effects_.columns:
+        changed["done_at"] = F.when(done, at).otherwise(F.col("done_at"))
     return out.withColumns(changed).select(*effects_.columns)
 
 

@@ -47,7 +47,9 @@ def seal(requests: DataFrame, nodes: DataFrame, sealed_by: str = "seal") -> Data
 
     A run is degraded if fewer rows are committed than results were accepted. If it is not, its PROVISIONAL rows are
     abandoned; missing rows are told of degraded runs only. Requests without a terminal status are refused
-    (``refused``), requests of runs that a column ``sealed`` marks as sealed change nothing.
+    (``refused``). If requests have a column ``sealed``, those of runs that are sealed already change nothing
+    (``already``): they are given with the counts as they are. ``final_state_hash`` and ``sealed_at`` of a request go
+    into the seal, if they are there.
 
     A run's rows are counted before its request is joined; the seqs kept for that are as many as the run has nodes.
     """
@@ -56,10 +58,11 @@ def seal(requests: DataFrame, nodes: DataFrame, sealed_by: str = "seal") -> Data
     counts = node_counts(nodes)
     joined = requests.join(counts, RUN, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    degraded = zero("committed") < F.col("accepted_count")
+    already = F.coalesce(F.col("sealed"), F.lit(False)) if "sealed" in requests.columns else F.lit(False)
+    degraded = ~already & (zero("committed") < F.col("accepted_count"))
     all_seqs = F.when(F.col("node_count") > 0, F.sequence(F.lit(0), F.col("node_count") - 1)).otherwise(F.expr("array()").cast("array<int>"))
     lacking = F.array_except(all_seqs, F.coalesce(F.col("_seqs"), F.expr("array()").cast("array<int>")))
-    open_rows = F.when(degraded, 0).otherwise(zero("provisional"))
+    open_rows = F.when(degraded | already, 0).otherwise(zero("provisional"))
     return joined.select(
         *RUN,
         status,
@@ -70,12 +73,15 @@ def seal(requests: DataFrame, nodes: DataFrame, sealed_by: str = "seal") -> Data
         F.when(degraded, lacking).alias("missing_seqs"),
         F.lit(sealed_by).alias("sealed_by"),
         refused.alias("refused"),
+        *([already.alias("already")] if "sealed" in requests.columns else []),
+        *(c for c in ("final_state_hash", "sealed_at") if c in requests.columns),
     )
 
 
 def settle(nodes: DataFrame, seals: DataFrame) -> DataFrame:
     """Rows after sealing: PROVISIONAL rows of runs that were sealed whole are abandoned."""
-    whole = seals.where("NOT degraded AND NOT refused").select(*RUN).withColumn("_whole", F.lit(True))
+    fresh = seals.where("NOT already") if "already" in seals.columns else seals
+    whole = fresh.where("NOT degraded AND NOT refused").select(*RUN).withColumn("_whole", F.lit(True))
     out = nodes.join(whole, RUN, "left")
     moved = (F.col("status") == "PROVISIONAL") & F.col("_whole")
     return out.withColumn("status", F.when(moved, "ABANDONED").otherwise(F.col("status"))).select(*nodes.columns)

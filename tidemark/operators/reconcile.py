@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.model import NODE, RUN
+from tidemark.operators import lifecycle
 
 ENDED = ("CANCEL_REQUESTED", "FAILED", "TIMED_OUT", "CANCELED")
 
@@ -48,32 +51,85 @@ def decide(hist: DataFrame, rows: DataFrame, runs: DataFrame, include_open: bool
     return acted.unionByName(judged.where("skipped IS NOT NULL").select(*RUN, F.lit(None).cast("int").alias("seq"), F.col("skipped").alias("action")))
 
 
-def apply_actions(hist: DataFrame, rows: DataFrame, actions: DataFrame) -> DataFrame:
-    """Rows after the actions. A rewritten row takes outputs and attempt from history and keeps its fence, kind and
-    tokens; an inserted row has no node, step or path."""
-    did = actions.where("seq IS NOT NULL AND action <> 'none'").select(*NODE, "action")
-    new = hist.select(*NODE, F.col("result_hash").alias("_hash"), F.col("attempt").alias("_attempt"))
-    changed = rows.join(did, NODE, "left").join(new, NODE, "left")
-    rewritten = F.col("action") == "rewrite"
-    status = F.when(F.col("action").isin("commit", "rewrite"), "COMMITTED").when(F.col("action") == "abandon", "ABANDONED").otherwise(F.col("status"))
-    changed = changed.withColumns(
-        {
-            "status": status,
-            "output_hash": F.when(rewritten, F.col("_hash")).otherwise(F.col("output_hash")),
-            "attempt": F.when(rewritten, F.col("_attempt")).otherwise(F.col("attempt")),
-        }
-    ).select(*rows.columns)
-    inserted = new.join(did.where("action = 'insert'"), NODE).select(
-        *NODE, F.lit("COMMITTED").alias("status"), F.col("_hash").alias("output_hash"), F.col("_attempt").alias("attempt")
-    )
-    return changed.unionByName(inserted, allowMissingColumns=True)
-
+def apply_actions(hist: DataFrame, rows: DataFrame, actions: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows after the actions, with the columns of ``rows``. ``hist`` may carry ``output_json``, ``output_bytes``,
+    ``output_encoding``, ``activity_id``, ``activity_type``, ``started_at`` and ``completed_at``.
 
-def repairs(actions: DataFrame) -> DataFrame:
-    """Audit rows of repairs."""
+    A rewritten row takes hash, outputs and attempt from history and keeps the rest. An inserted row takes all that
+    history knows: the start as its fence, the graph out of the activity type, the kind out of the output; columns that
+    history lacks are null. ``at`` is the time of the commits. An attempt that history lacks is the first one.
+    """
+    did = actions.where("seq IS NOT NULL AND action <> 'none'").select(*NODE, "action")
+    known = set(hist.columns)
+    new = hist.select(*NODE, *(F.col(c).alias(f"_h_{c}") for c in hist.columns if c not in NODE))
+    of = lambda c: F.col(f"_h_{c}") if c in known else F.lit(None)
+    attempt = F.coalesce(of("attempt"), F.lit(1))
+    outputs = {c: of(c) for c in ("output_json", "output_bytes", "output_encoding") if c in known}
+    rewritten, committed = F.col("action") == "rewrite", F.col("action").isin("commit", "rewrite")
+    status = F.when(committed, "COMMITTED").when(F.col("action") == "abandon", "ABANDONED").otherwise(F.col("status"))
+    values = {"status": status}
+    values |= {c: F.when(rewritten, v).otherwise(F.col(c)) for c, v in {"output_hash": of("result_hash"), "attempt": attempt, **outputs}.items() if c in rows.columns}
+    if at is not None and "committed_at" in rows.columns:
+        values["committed_at"] = F.when(committed, at).otherwise(F.col("committed_at"))
+    changed = rows.join(did, NODE, "left").join(new, NODE, "left").withColumns(values).select(*rows.columns)
+    finished = F.coalesce(of("completed_at"), of("started_at"))
+    made = {
+        "status": F.lit("COMMITTED"), "output_hash": of("result_hash"), "attempt": attempt, "fence_scheduled_at": of("started_at"), "started_at": of("started_at"),
+        "finished_at": finished, "activity_id": of("activity_id"), "activity_type": of("activity_type"), "graph": C.graph_of(of("activity_type").cast("string")),
+        "kind": C.kind_of(of("output_json").cast("string")), "committed_at": F.lit(None) if at is None else at, **outputs,
+    }
+    kinds = {f.name: f.dataType for f in rows.schema}
+    inserted = new.join(did.where("action = 'insert'"), NODE).select(*NODE, *(made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in rows.columns if c not in NODE))
+    return changed.unionByName(inserted)
+
+
+def repairs(actions: DataFrame, hist: DataFrame | None = None) -> DataFrame:
+    """Audit rows of repairs; with the history, also ``attempt``, ``fence_scheduled_at`` and ``output_hash``."""
     did = actions.where("action IN ('insert', 'rewrite')")
     note = F.when(F.col("action") == "insert", "row inserted from history").otherwise("row rewritten from history")
-    return did.select(*NODE, F.lit("DIVERGENCE_REPAIRED").alias("outcome"), note.alias("note"))
+    told = did.select(*NODE, F.lit("DIVERGENCE_REPAIRED").alias("outcome"), note.alias("note"))
+    if hist is None:
+        return told
+    known = hist.select(*NODE, F.coalesce("attempt", F.lit(1)).alias("attempt"), F.col("started_at").alias("fence_scheduled_at"), F.col("result_hash").alias("output_hash"))
+    return told.join(known, NODE)
+
+
+@dataclass(frozen=True)
+class Reconciled:
+    """``rows`` and ``runs`` afterwards, ``audits`` (new attempts), ``seals`` (runs closed now) and ``report``."""
+
+    rows: DataFrame
+    runs: DataFrame
+    audits: DataFrame
+    seals: DataFrame
+    report: DataFrame
+
+
+def reconcile(hist: DataFrame, rows: DataFrame, runs: DataFrame, include_open: bool = False, at: Column | None = None) -> Reconciled:
+    """One pass: rows are brought in line with their history, and closed runs that were not sealed are sealed.
+
+    ``runs``: run key, ``status``, ``found``, ``closed``, ``sealed``, ``degraded``. A run is sealed over its repaired
+    rows with the counts of its history; if it is whole, what is still PROVISIONAL is abandoned. Sealed runs that are
+    degraded are repaired and stay as they are. ``report``: the run's ``action`` (history-gone, skipped-sealed, open,
+    sealed, repaired, none) and what was done to how many nodes.
+    """
+    actions = decide(hist, rows, runs, include_open)
+    repaired = apply_actions(hist, rows, actions, at)
+    counts = hist.groupBy(*RUN).agg(F.count("*").cast("int").alias("node_count"), F.count_if("accepted").cast("int").alias("accepted_count"))
+    due = runs.where("found AND closed AND NOT sealed").select(*RUN, "status").join(counts, RUN, "left").na.fill(0, ["node_count", "accepted_count"])
+    seals = lifecycle.seal(due if at is None else due.withColumn("sealed_at", at), repaired, "reconcile")
+    did = lambda name: F.count_if(F.col("action").isin(*name)).alias(f"_{name[0]}")
+    done = actions.groupBy(*RUN).agg(did(("insert",)), did(("rewrite",)), did(("commit", "rewrite")), did(("abandon",)), F.max(F.when(F.col("seq").isNull(), F.col("action"))).alias("_skipped"))
+    now = seals.where("NOT refused").select(*RUN, F.lit(True).alias("_now"), F.col("degraded").alias("_degraded"))
+    both = runs.join(done, RUN, "left").join(now, RUN, "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    changed = count("_insert") + count("_rewrite") + count("_commit") + count("_abandon") > 0
+    action = F.coalesce("_skipped", F.when(F.col("_now"), "sealed").when(changed, "repaired").when(~F.col("closed"), "open").otherwise("none"))
+    names = {"_insert": "inserted", "_rewrite": "rewritten", "_commit": "committed", "_abandon": "abandoned"}
+    report = both.select(*RUN, action.alias("action"), *(count(c).alias(n) for c, n in names.items()))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    after = both.select(*(F.col(c) if c not in ("sealed", "degraded") else (F.col(c) | flag("_now" if c == "sealed" else "_degraded")).alias(c) for c in runs.columns))
+    return Reconciled(lifecycle.settle(repaired, seals), after, repairs(actions, hist), seals, report)
 
 
 def targets(runs: DataFrame, nodes: DataFrame, workflow_id: str | None = None) -> DataFrame:

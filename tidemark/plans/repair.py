@@ -79,9 +79,9 @@ def rec1_again(spark, d):
 
 @R.add("rec2_rec3_apply", _with(sql("hist", "rows_", then=f""",{_ACTIONS}
 SELECT {_NODE}, CASE WHEN action IN ('commit', 'rewrite') THEN 'COMMITTED' WHEN action = 'abandon' THEN 'ABANDONED' ELSE r.status END AS status,
- CASE WHEN action = 'rewrite' THEN h.result_hash ELSE r.output_hash END AS output_hash, CASE WHEN action = 'rewrite' THEN h.attempt ELSE r.attempt END AS attempt
+ CASE WHEN action = 'rewrite' THEN h.result_hash ELSE r.output_hash END AS output_hash, CASE WHEN action = 'rewrite' THEN coalesce(h.attempt, 1) ELSE r.attempt END AS attempt
 FROM rows_ r LEFT JOIN (SELECT * FROM actions WHERE seq IS NOT NULL) a USING ({_NODE}) LEFT JOIN (SELECT {_NODE}, result_hash, attempt FROM hist) h USING ({_NODE})
-UNION ALL SELECT {_NODE}, 'COMMITTED', h.result_hash, h.attempt FROM actions a JOIN (SELECT {_NODE}, result_hash, attempt FROM hist) h USING ({_NODE}) WHERE action = 'insert'""")))
+UNION ALL SELECT {_NODE}, 'COMMITTED', h.result_hash, coalesce(h.attempt, 1) FROM actions a JOIN (SELECT {_NODE}, result_hash, attempt FROM hist) h USING ({_NODE}) WHERE action = 'insert'""")))
 def rec23(spark, d):
     return reconcile.apply_actions(judged(spark, d), L.history_rows(spark, d), actions(spark, d))
 
@@ -93,6 +93,78 @@ def rec3(spark, d):
     return reconcile.repairs(actions(spark, d))
 
 
+def full_hist(spark, d):
+    """Histories with what the events of a node carry besides: activity, output, times."""
+    of, seq = F.col("scheduled_event_id"), F.col("seq").cast("string")
+    output = F.concat(F.lit('{"result":{"v":'), (of % 7).cast("string"), F.lit('},"langgraph_command":'), F.when(of % 5 == 1, '{"update":1}').otherwise("null"), F.lit("}"))
+    return judged(spark, d).select(
+        "*", F.concat(F.lit("a"), seq).alias("activity_id"), F.when(of % 4 == 0, F.concat(F.lit("n"), seq)).otherwise(F.concat(F.lit("g.sub.n"), seq)).alias("activity_type"),
+        F.when(F.col("result_hash").isNotNull(), output).alias("output_json"), F.lit("json/plain").alias("output_encoding"),
+    )
+
+
+def full_rows(spark, d):
+    fixed = {"output_json": "old", "output_encoding": "old", "activity_id": "old", "activity_type": "old", "graph": "old", "kind": "UPDATE"}
+    rows = L.history_rows(spark, d).withColumns({c: F.lit(v) for c, v in fixed.items()})
+    return rows.withColumn("fence_scheduled_at", F.lit("2024-01-01").cast("timestamp"))
+
+
+_FULL = f"""{_ACTIONS},
+hf AS (SELECT *, {_ACCEPTED} AS accepted, 'a' || seq AS activity_id, CASE WHEN scheduled_event_id % 4 = 0 THEN 'n' || seq ELSE 'g.sub.n' || seq END AS activity_type,
+  CASE WHEN result_hash IS NOT NULL THEN '{{"result":{{"v":' || (scheduled_event_id % 7) || '}},"langgraph_command":' || CASE WHEN scheduled_event_id % 5 = 1 THEN '{{"update":1}}' ELSE 'null' END || '}}' END AS output_json FROM hist),
+done AS (
+ SELECT {_NODE}, CASE WHEN action IN ('commit', 'rewrite') THEN 'COMMITTED' WHEN action = 'abandon' THEN 'ABANDONED' ELSE r.status END AS status,
+  CASE WHEN action = 'rewrite' THEN hf.result_hash ELSE r.output_hash END AS output_hash, CASE WHEN action = 'rewrite' THEN coalesce(hf.attempt, 1) ELSE r.attempt END AS attempt,
+  CASE WHEN action = 'rewrite' THEN hf.output_json ELSE 'old' END AS output_json, CASE WHEN action = 'rewrite' THEN 'json/plain' ELSE 'old' END AS output_encoding,
+  'old' AS activity_id, 'old' AS activity_type, 'old' AS graph, 'UPDATE' AS kind, TIMESTAMP '2024-01-01' AS fence_scheduled_at
+ FROM rows_ r LEFT JOIN (SELECT * FROM actions WHERE seq IS NOT NULL) a USING ({_NODE}) LEFT JOIN hf USING ({_NODE})
+ UNION ALL SELECT {_NODE}, 'COMMITTED', result_hash, coalesce(attempt, 1), output_json, 'json/plain', activity_id, activity_type,
+  CASE WHEN scheduled_event_id % 4 <> 0 THEN 'g.sub' END, CASE WHEN scheduled_event_id % 5 = 1 AND output_json IS NOT NULL THEN 'COMMAND' ELSE 'UPDATE' END, started_at
+ FROM actions JOIN hf USING ({_NODE}) WHERE action = 'insert'),
+n AS (SELECT namespace, workflow_id, run_id, count(*) AS node_count, count(*) FILTER (accepted) AS accepted_count FROM hf GROUP BY ALL),
+c AS (SELECT run_id, count(*) FILTER (status = 'COMMITTED') AS committed FROM done GROUP BY ALL),
+sealing AS (SELECT st.*, node_count, accepted_count, coalesce(committed, 0) < accepted_count AS short FROM st JOIN n USING (namespace, workflow_id, run_id) LEFT JOIN c USING (run_id)
+  WHERE found AND closed AND NOT sealed)"""
+
+
+def reconciled(spark, d):
+    return reconcile.reconcile(full_hist(spark, d), full_rows(spark, d), run_states(spark, d).withColumn("status", F.lit("COMPLETED")))
+
+
+@R.add("rec3_full_rows", _with(sql("hist", "rows_", then=f""",{_FULL}
+SELECT done.* REPLACE (CASE WHEN status = 'PROVISIONAL' AND run_id IN (SELECT run_id FROM sealing WHERE NOT short) THEN 'ABANDONED' ELSE status END AS status) FROM done""")))
+def rec3_full(spark, d):
+    """All columns of the rows after a pass: rewritten and inserted ones, and those that sealing abandons."""
+    return reconciled(spark, d).rows
+
+
+@R.add("rec1_report", _with(sql("hist", "rows_", then=f""",{_FULL}
+SELECT namespace, workflow_id, run_id, CASE WHEN skipped IS NOT NULL THEN skipped WHEN run_id IN (SELECT run_id FROM sealing) THEN 'sealed'
+  WHEN coalesce(i + w + k + b, 0) > 0 THEN 'repaired' ELSE 'none' END AS action, coalesce(i, 0) AS inserted, coalesce(w, 0) AS rewritten, coalesce(k, 0) AS committed, coalesce(b, 0) AS abandoned
+FROM v LEFT JOIN (SELECT run_id, count(*) FILTER (action = 'insert') AS i, count(*) FILTER (action = 'rewrite') AS w,
+  count(*) FILTER (action IN ('commit', 'rewrite')) AS k, count(*) FILTER (action = 'abandon') AS b FROM actions GROUP BY ALL) USING (run_id)""")))
+def rec1_report(spark, d):
+    return reconciled(spark, d).report
+
+
+@R.add("rec1_run_states", _with(sql("hist", "rows_", then=f""",{_FULL}
+SELECT st.*, st.sealed OR sealing.run_id IS NOT NULL AS sealed_now, st.degraded OR coalesce(short, false) AS degraded_now
+FROM st LEFT JOIN (SELECT run_id, short FROM sealing) sealing USING (run_id)""").replace("st.*,", "namespace, workflow_id, run_id,")))
+def rec1_states(spark, d):
+    return reconciled(spark, d).runs.select(*RUN, F.col("sealed").alias("sealed_now"), F.col("degraded").alias("degraded_now"))
+
+
+@R.add("rec1_second_pass", _with(sql("hist", "rows_", then=f""",{_FULL}
+SELECT CASE WHEN v.skipped = 'history-gone' THEN v.skipped WHEN (v.sealed OR s.run_id IS NOT NULL) AND NOT (v.degraded OR coalesce(short, false)) THEN 'skipped-sealed'
+  WHEN NOT v.closed THEN 'open' ELSE 'none' END AS action, count(*) AS runs
+FROM v LEFT JOIN (SELECT run_id, short FROM sealing) s USING (run_id) GROUP BY ALL""")))
+def rec1_second(spark, d):
+    """What a second pass over the rows and run states of the first one says: sealed runs are skipped, nothing changes."""
+    first = reconciled(spark, d)
+    second = reconcile.reconcile(full_hist(spark, d), first.rows, first.runs)
+    return second.report.groupBy("action").agg(F.count("*").alias("runs"))
+
+
 @R.add("rec4_targets", _with(sql("events_", "rows_", then=f""",{_STATES}
 SELECT DISTINCT namespace, workflow_id, run_id FROM st WHERE NOT sealed OR (degraded AND run_id IN (SELECT run_id FROM rows_ WHERE status = 'PROVISIONAL'))""")))
 def rec4(spark, d):
