@@ -37,9 +37,12 @@ def plus_micros(ts: Column, micros: Column) -> Column:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write attempts in order of arrival, with what each attempt knows of its node."""
-    line = read(spark, sf_dir, "lineitem")
-    group = Window.partitionBy("l_orderkey", "l_linenumber")
+    """Write attempts in order of arrival, with what each attempt knows of its node.
+
+    The windows are by the node's key, as everything that follows, so one shuffle serves them all.
+    """
+    line = read(spark, sf_dir, "lineitem").select("*", *run_key(F.col("l_orderkey")), (F.col("l_linenumber") - 1).cast("int").alias("seq"))
+    group = Window.partitionBy(*NODE)
     micro = F.round(F.col("l_extendedprice") * 100).cast("bigint") * F.round(F.col("l_discount") * 100).cast("bigint") * 100
     cost = F.when(F.col("l_suppkey") % 10 != 0, (micro.cast("decimal(20,6)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(14,6)"))
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
@@ -47,8 +50,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = plus_micros(F.col("l_shipdate"), F.col("l_quantity").cast("bigint") * 1234500)
     status = F.when(F.col("l_linestatus") == "F", "commit").when(F.col("l_returnflag") == "R", "abandon")
     return line.select(
-        *run_key(F.col("l_orderkey")),
-        (F.col("l_linenumber") - 1).cast("int").alias("seq"),
+        *NODE,
         F.row_number().over(group.orderBy("l_partkey", "l_suppkey", "l_extendedprice")).alias("attempt"),
         F.col("l_shipdate").alias("fence_scheduled_at"),
         F.row_number().over(group.orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey")).alias("arrival"),
@@ -190,8 +192,7 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
     model = F.element_at(F.array(*map(F.lit, ("gpt-4o", "gpt-4o-mini", "gpt-4o-mini-2024", "claude-3", "local"))), (part % 5 + 1).cast("int"))
     return line.select(
-        *run_key(F.col("l_orderkey")),
-        (F.col("l_linenumber") - 1).cast("int").alias("seq"),
+        *NODE,
         F.row_number().over(group).alias("attempt"),
         F.lit(0).alias("call_idx"),
         model.alias("model"),
