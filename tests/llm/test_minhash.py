@@ -34,6 +34,6 @@ def test_stage_links_what_is_alike(spark, monkeypatch):
     want = brute_roots(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want.values())
-    monkeypatch.setattr(minhash, "MANY", 0)  # stars until they link nothing more
+    monkeypatch.setattr(minhash, "SMALL", 1)  # stars only
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
