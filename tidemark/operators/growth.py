@@ -41,10 +41,8 @@ def largest(events: DataFrame) -> DataFrame:
 
 def attempt_regressions(log: DataFrame) -> DataFrame:
     """Nodes whose last arrival has a lower attempt number than one before it: an attempt-only fence would be wrong."""
-    order = Window.partitionBy(*NODE).orderBy("arrival")
-    before = F.max("attempt").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    last = F.row_number().over(Window.partitionBy(*NODE).orderBy(F.desc("arrival"))) == 1
-    return log.withColumn("highest_before", before).withColumn("_last", last).where("_last AND attempt < highest_before").select(*NODE, "attempt", "highest_before")
+    each = log.groupBy(*NODE).agg(F.max_by("attempt", "arrival").alias("attempt"), F.max("attempt").alias("highest_before"))
+    return each.where("attempt < highest_before")
 
 
 def clock_inversions(log: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,5 +85,18 @@ def header_bytes(events: DataFrame) -> DataFrame:
 
 
 def percentiles(values: DataFrame, by: list[str], column: str, percents: tuple[float, ...] = (50, 95)) -> DataFrame:
-    """Nearest-rank percentiles of a bounded group of measurements (samples of a benchmark, not of a corpus)."""
-    return values.groupBy(*by).agg(*(C.nearest_rank(F.col(column), p).alias(f"p{p:g}") for p in percents), F.count(column).alias("samples"))
+    """Nearest-rank percentiles of each group, with a half-even index, rounded to 3 places.
+
+    Values are counted first, so a group costs its distinct values and no array is built: the value at an index is the
+    first whose running count passes it.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_value"))
+    total = F.sum("_n").over(Window.partitionBy(*by))
+    placed = counted.withColumns({"_upto": upto, "_total": total})
+    at = lambda p: F.bround(F.lit(p / 100) * (F.col("_total") - 1), 0)
+    value = lambda p: F.round(F.min(F.when(F.col("_upto") > at(p), F.col("_value"))), 3)
+    found = placed.groupBy(*by).agg(*(value(p).alias(f"p{p:g}") for p in percents), F.sum("_n").alias("samples"))
+    return values.select(*by).distinct().join(found, by, "left").fillna(0, ["samples"])
+
+

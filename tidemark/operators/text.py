@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+#: A number that stands on its own: not part of a word, a path, a version or a fraction.
+NUMBER = r"(?<![\w.#/-])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?![\w.])"
+#: What a text quotes rather than states: fenced code, inline code, link targets, markup.
+QUOTED = ((r"(?ms)^```.*?^```", ""), (r"`[^`\n]*`", ""), (r"\]\([^)]*\)", "]"), (r"<[^>]+>", ""))
+
+
+def stated(text: Column) -> Column:
+    """A text without code, link targets and markup."""
+    for pattern, by in QUOTED:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def numbers(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, number`` of every number in a text, thousands separators removed."""
-    found = texts.select(key, F.explode(F.regexp_extract_all(F.col(column), F.lit(f"({NUMBER})"), F.lit(1))).alias("raw"))
+    """``key, number`` of every number that a text states, thousands separators removed."""
+    found = texts.select(key, F.explode(F.regexp_extract_all(stated(F.col(column)), F.lit(NUMBER), F.lit(1))).alias("raw"))
     return found.select(key, F.regexp_replace("raw", ",", "").cast("double").alias("number")).where("number IS NOT NULL").distinct()
 
 
@@ -21,8 +31,12 @@ def untraceable(stated: DataFrame, known: DataFrame, places: int = 3) -> DataFra
 
 
 def json_numbers(texts: DataFrame, column: str) -> DataFrame:
-    """Every number inside JSON texts, at any depth."""
-    return texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?<=[:\[,\s])(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?=[,\]}\s])"), F.lit(1))).alias("raw")).select(F.col("raw").cast("double").alias("number"))
+    """Every number inside JSON texts, at any depth, and every key that is a number. Other strings are emptied first, so
+    what they say does not count."""
+    keys = F.regexp_replace(F.col(column), r'"(-?\d+(?:\.\d+)?)"\s*:', "$1 , null:")
+    values = F.regexp_replace(keys, r'"(?:[^"\\]|\\.)*+"', '""')
+    number = r"(?<![\w.+-])(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])"
+    return texts.select(F.explode(F.regexp_extract_all(values, F.lit(number), F.lit(1))).alias("raw")).select(F.col("raw").cast("double").alias("number"))
 
 
 def sentences(text: Column) -> Column:
