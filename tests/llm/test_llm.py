@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests.llm.test_minhash import brute_roots
 from tests.support import assert_same
 from tidemark.llm import bytebpe, html, langid, media, neighbours, packing, pii, queries, simhash, substring, urlfilter, wordbpe
 
@@ -74,7 +75,6 @@ def test_pii_base_is_the_patterns():
 def test_pii_field_on_unseen_rows():
     field, right, wrong, missed = pii.default_field(), 0, 0, 0
     for text, spans in pii.labelled_table(200, seed=123):
-        spans = [s for s in spans if s[0] != "secret" or pii._CHECKS["secret"](text[s[1] : s[2]])]
         got = {s[:3] for s in pii.find([text], field)[0]}
         valid = {s for s in spans if pii._CHECKS[s[0]](text[s[1] : s[2]])}
         right, wrong, missed = right + len(got & valid), wrong + len(got - valid), missed + len(valid - got)
@@ -153,8 +153,6 @@ def test_byte_bpe_is_tiktoken(docs, nothing):
     encoding = tiktoken.Encoding("own", pat_str=bytebpe.default_pattern(), mergeable_ranks=bytebpe.read_ranks(bytebpe.default_path()), special_tokens={})
     rows = by_id(bytebpe.encoding_digests(docs))
     for i, text in enumerate(texts()):
-        if i == 4:
-            continue
         ids = np.array(encoding.encode_ordinary(text or ""), "<u4")
         assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
     back = by_id(bytebpe.decode(bytebpe.encode(docs)))
@@ -373,7 +371,7 @@ def test_pipeline(spark, data):
         if i == 0:
             assert after == {k: t for k, t in before.items() if langid.words(t)}
         if i == 1:
-            assert set(after) == set(components({k: plain_fingerprint(t, 5) for k, t in before.items()}).values())
+            assert set(after) == set(brute_roots(before).values())  # similarity of 0.8 or more of five-word shingles
         if i == 2:
             for k, (n, gone, digest) in plain_repeats(sorted(before.items())).items():
                 assert (k in after) == (n != gone or not n)
