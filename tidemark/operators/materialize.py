@@ -71,7 +71,7 @@ def delta_of(kind: str, output: str | None) -> list[tuple[str, Any]]:
     return []
 
 
-FOLDED = "namespace string, workflow_id string, run_id string, state string, state_hash string, label string, reason string, mismatched array<string>"
+FOLDED = "namespace string, workflow_id string, run_id string, state string, state_hash string, label string, reason string, mismatched array<string>, rows_used long, chain_rows_used long"
 
 
 def chain_rows(rows: DataFrame) -> DataFrame:
@@ -87,13 +87,17 @@ def chain_rows(rows: DataFrame) -> DataFrame:
     return mark(own, False).unionByName(mark(fill, False)).unionByName(mark(seed, True))
 
 
-def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = True) -> DataFrame:
+def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = True, include_provisional: bool = False, graph: str | None = None) -> DataFrame:
     """The state of each run.
 
     ``rows``: run key, ``run_rank`` (order of runs of a workflow), ``seq``, ``step``, ``path``, ``kind``, ``status``,
     ``output_json``, ``input_snapshot`` (on seq 0), ``input_hash``, and of the run ``sealed``, ``final_state_hash``,
-    ``node_count``. Deltas of a step are applied together, ordered by path and seq, one update for each channel. Before
-    a step, an input hash that is there must be the hash of the state; positions where it is not are named.
+    ``node_count``. Deltas of a step are applied together, ordered by path and seq, one update for each channel; only
+    channels that ``reducers`` names take part, in seeds as in deltas. Interrupts are no steps. Before a step, an input
+    hash that is there must be the hash of the state; positions where it is not are named.
+
+    COMMITTED rows are folded, with ``include_provisional`` PROVISIONAL ones of the run as well, with ``graph`` those of
+    that ``graph`` only. To fold another run than the latest with ``chain``, leave out the rows of later ones.
 
     With ``chain``, the latest run of a workflow is folded and filled from earlier ones: the seed is its own snapshot,
     else the earliest; a COMMITTED row of an earlier run (the latest that wrote the step and path) is applied if the
@@ -103,24 +107,32 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
     table = {name: REDUCERS[r] if isinstance(r, str) else r for name, r in reducers.items()}
     key = RUN[:2] if chain else RUN
     columns = [p.split()[0] for p in FOLDED.split(", ")]
+    statuses = ("COMMITTED", "PROVISIONAL") if include_provisional else ("COMMITTED",)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["run_rank", "seq"])
-        seeds = group[(group.seq == 0) & group.input_snapshot.notna()]
+        mine_ = group._own if chain else pd.Series(True, group.index)
+        taken = group.step.notna() & ((group.status == "COMMITTED") | (mine_ & group.status.isin(statuses)))
+        if graph is not None:
+            taken &= group.graph == graph
+        seeds = group[(group.seq == 0) & group.input_snapshot.notna() & (taken | (group._seed if chain else False))]
         if chain:
-            mine = seeds[seeds._own & (seeds.status == "COMMITTED") & seeds.step.notna()]
+            mine = seeds[seeds._own]
             seeds = mine if len(mine) else seeds[seeds._seed]
             group = group[~group._seed | group.index.isin(seeds.index)]
+            taken = taken[group.index]
         target = group[group._own].iloc[-1] if chain else group.iloc[-1]
-        state: dict[str, Any] = json.loads(seeds.iloc[0].input_snapshot) if len(seeds) else {}
+        snapshot = json.loads(seeds.iloc[0].input_snapshot) if len(seeds) else {}
+        state: dict[str, Any] = {k: v for k, v in snapshot.items() if k in table} if isinstance(snapshot, dict) else {}
         start = seeds.iloc[0].step if len(seeds) else None
-        used = group[(group.status == "COMMITTED") & group.step.notna()]
+        used = group[taken & (group.kind != "INTERRUPT")]
         if chain:
-            used = used[~used._seed & (used.kind != "INTERRUPT")]
+            used = used[~used._seed]
         if start is not None and not pd.isna(start):
             used = used[used.step >= start]
         used = used.drop_duplicates(["run_id", "step", "path", "seq"], keep="last").sort_values(["step", "path", "seq"])
         mismatched, gap, before = [], None, None
+        applied = filled = 0
         for step, part in used.groupby("step", sort=True):
             digest = canonical_hash(state)
             if chain:
@@ -132,12 +144,15 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
             if before is not None and step > before + 1 and gap is None and not chain:
                 gap = f"step {int(before) + 1} is missing"
             before = step
+            applied += int(part._own.sum()) if chain else len(part)
+            filled += int((~part._own).sum()) if chain else 0
             writes: dict[str, list] = {}
             for kind, output in zip(part.kind, part.output_json):
                 for channel, value in delta_of(kind, output):
-                    writes.setdefault(channel, []).append(value)
+                    if channel in table:
+                        writes.setdefault(channel, []).append(value)
             for channel, values in writes.items():
-                state[channel] = table.get(channel, last)(state.get(channel), values)
+                state[channel] = table[channel](state.get(channel), values)
         digest = canonical_hash(state)
         own = group[group._own] if chain else group
         if not target.sealed:
@@ -147,7 +162,7 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
         else:
             lacking = int(target.node_count) - len(own) if not pd.isna(target.node_count) else 0
             label, reason = "GAP", gap or (f"{lacking} rows are missing" if lacking > 0 else "the state's hash is not the sealed one")
-        out = (target.namespace, target.workflow_id, target.run_id, json.dumps(state, sort_keys=True, ensure_ascii=False), digest, label, reason, mismatched)
+        out = (target.namespace, target.workflow_id, target.run_id, json.dumps(state, sort_keys=True, ensure_ascii=False), digest, label, reason, mismatched, applied, filled)
         return pd.DataFrame([out], columns=columns)
 
     return (chain_rows(rows) if chain else rows).groupBy(*key).applyInPandas(one, FOLDED)
