@@ -3,9 +3,9 @@
 import pytest
 
 from tests.support import assert_same
-from tidemark.plans import fencing, reading, relational, repair, spending, storing, streams
+from tidemark.plans import fencing, filing, reading, relational, repair, spending, storing, streams
 
-FAMILIES = (fencing, repair, reading, storing, spending, relational, streams)
+FAMILIES = (fencing, repair, reading, storing, spending, relational, streams, filing)
 QUERIES = {n: q for f in FAMILIES for n, q in f.R.queries.items()}
 SQL = {n: s for f in FAMILIES for n, s in f.R.sql.items()}
 

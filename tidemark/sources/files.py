@@ -29,7 +29,11 @@ def history_json(spark: SparkSession, path: str) -> DataFrame:
     """Events of recorded histories (one JSON file each): ``workflow_id`` of the first event, or else the file's name,
     ``event_id``, ``event_time``, ``event_type``, ``scheduled_event_id``, ``attempt``, ``activity_type``, ``headers``,
     ``result``. Base64 is decoded."""
-    files = spark.read.schema(HISTORY).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
+    return history_events(spark.read.schema(HISTORY).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name")))
+
+
+def history_events(files: DataFrame) -> DataFrame:
+    """The same out of documents in columns ``events`` and ``file``."""
     first = F.col("events")[0]["workflowExecutionStartedEventAttributes"]["workflowId"]
     each = files.select(F.coalesce(first, F.regexp_replace("file", r"\.json$", "")).alias("workflow_id"), "file", F.explode("events").alias("e"))
     e = F.col("e")
@@ -59,8 +63,15 @@ def results_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fault_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log of JSON lines; blank lines are skipped."""
-    return spark.read.schema(schema).json(path).na.drop("all")
+    """A log of JSON lines; blank lines are skipped, lines whose fields are all null are not."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("line")).select("line.*")
+
+
+def tail_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same log as a stream of the files that come into a folder."""
+    lines = spark.readStream.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("line")).select("line.*")
 
 
 def run_nodes(nodes: DataFrame, workflow_id: str, run_id: str) -> DataFrame:
@@ -103,6 +114,12 @@ def write_chunks(chunks: DataFrame, manifests: DataFrame, refs: DataFrame, path:
     refs.write.mode("append").parquet(f"{path}/refs")
 
 
+def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, manifests, references) of a store of files. Chunks are read without their folder; a condition on
+    ``prefix`` would prune folders."""
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/manifests"), spark.read.parquet(f"{path}/refs")
+
+
 def write_results(rows: DataFrame, path: str, command: str, environment: dict[str, str]) -> None:
     """Results with the command and environment that made them."""
     env = F.create_map(*(F.lit(x) for pair in sorted(environment.items()) for x in pair)) if environment else F.expr("cast(map() as map<string,string>)")
