@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import RUN
+from tidemark.streaming.jobs import written
 
 MAX_PAYLOAD = 256 << 20
 #: Encodings whose payloads are cut into chunks; others are stored whole.
@@ -208,3 +210,31 @@ def dead_chunks(chunks: DataFrame, payloads: DataFrame, dead: DataFrame, touched
     """Chunks untouched since the grace that no live payload lists: the lists are exploded and joined by equality."""
     live = payloads.join(dead.select("claim"), "claim", "left_anti").select(F.explode("chunks").alias("hash"))
     return chunks.where(F.col("last_ref_at") < touched_before).join(live, "hash", "left_anti")
+
+
+@dataclass(frozen=True)
+class Swept:
+    """What a sweep leaves, and ``report``: one row of counts of what it takes."""
+
+    refs: DataFrame
+    payloads: DataFrame
+    chunks: DataFrame
+    report: DataFrame
+
+
+def sweep(refs: DataFrame, payloads: DataFrame, chunks: DataFrame, states: DataFrame, touched_before: Column, cutoff: Column, orphan_cutoff: Column, namespace: str = "default", orphans: bool = True) -> Swept:
+    """References of expired workflows go, then payloads that nothing refers to, then chunks that no payload lists.
+
+    What goes is written once, so the report of a dry run, which leaves the tables as they are, is that of the sweep.
+    """
+    verdicts = workflow_verdicts(refs, states, cutoff, namespace)
+    gone = written(expired_refs(refs, verdicts, touched_before, cutoff, orphan_cutoff, orphans))
+    dead = written(dead_manifests(payloads, refs, gone, touched_before).select("claim"))
+    lost = written(dead_chunks(chunks, payloads, dead, touched_before).select("hash", "size"))
+    tagged = gone.select(F.when(F.col("workflow_id") == "", "orphan").otherwise("ref").alias("what"), F.lit(0).cast("long").alias("size"))
+    tagged = tagged.unionAll(dead.select(F.lit("manifest"), F.lit(0).cast("long"))).unionAll(lost.select(F.lit("chunk"), F.col("size").cast("long")))
+    count = lambda what, name: F.count_if(F.col("what") == what).alias(name)
+    names = {"ref": "refs_expired", "orphan": "orphan_refs_expired", "manifest": "manifests_deleted", "chunk": "chunks_deleted"}
+    report = tagged.agg(*(count(w, n) for w, n in names.items()), F.coalesce(F.sum("size"), F.lit(0)).alias("chunk_bytes_deleted"))
+    key = ["claim", *RUN]
+    return Swept(refs.join(gone.select(*key), key, "left_anti"), payloads.join(dead, "claim", "left_anti"), chunks.join(lost.select("hash"), "hash", "left_anti"), report)

@@ -7,6 +7,7 @@ from tidemark.operators import storage as S
 from tidemark.plans.prelude import sql
 from tidemark.plans.registry import Registry
 from tidemark.sources import ledgerize as L
+from tidemark.streaming.jobs import written
 
 R = Registry()
 #: The time of a sweep and what it keeps.
@@ -194,11 +195,23 @@ def gc4(spark, d):
 SELECT (SELECT count(*) FROM gone WHERE workflow_id <> '') AS refs_expired, (SELECT count(*) FROM gone WHERE workflow_id = '') AS orphan_refs_expired, (SELECT count(*) FROM deadm) AS manifests_deleted,
  (SELECT count(*) FROM deadc) AS chunks_deleted, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM deadc) AS chunk_bytes_deleted""", True))
 def gc5(spark, d):
-    n = lambda name: F.count("*").alias(name)
-    out = expired(spark, d).agg(F.count_if(F.col("workflow_id") != "").alias("refs_expired"), F.count_if(F.col("workflow_id") == "").alias("orphan_refs_expired"))
-    one = F.lit(1).alias("_one")
-    out = out.select("*", one).join(dead(spark, d).agg(n("manifests_deleted")).select("*", one), "_one")
-    return out.join(dead_chunks(spark, d).agg(n("chunks_deleted"), F.coalesce(F.sum("size"), F.lit(0)).alias("chunk_bytes_deleted")).select("*", one), "_one").drop("_one")
+    return swept(spark, d).report
+
+
+def swept(spark, d):
+    """A sweep over tables that are written once."""
+    tables = (written(refs(spark, d)), written(payloads(spark, d)), written(chunk_table(spark, d)))
+    return S.sweep(*tables, L.workflow_states(spark, d), _at(_TOUCHED), _at(_CUTOFF), _at(_ORPHAN))
+
+
+@R.add("gc5_sweep", _sql("""
+SELECT 'refs' AS what, (SELECT count(*) FROM refs) - (SELECT count(*) FROM gone) AS rows UNION ALL SELECT 'payloads', (SELECT count(*) FROM stored) - (SELECT count(*) FROM deadm)
+UNION ALL SELECT 'chunks', (SELECT count(DISTINCT hash) FROM chunk) - (SELECT count(*) FROM deadc)""", True))
+def gc5_sweep(spark, d):
+    """What a sweep leaves."""
+    left = swept(spark, d)
+    count = lambda df, what: df.agg(F.count("*").alias("rows")).select(F.lit(what).alias("what"), "rows")
+    return count(left.refs, "refs").unionAll(count(left.payloads, "payloads")).unionAll(count(left.chunks, "chunks"))
 
 
 @R.add("join6_anti_join", _sql("SELECT claim FROM stored WHERE claim NOT IN (SELECT claim FROM refs WHERE namespace = 'default')"))

@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, and outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def files_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A stream of Parquet files; ``path`` is a folder or a pattern."""
     reader = spark.readStream.schema(schema)
