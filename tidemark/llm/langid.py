@@ -29,6 +29,8 @@ from tidemark.llm.runtime import begin, durable, forget, sliced, unused
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 2000
+#: Values of ``lang`` that a model may have; more are refused with an error.
+MOST_LANGUAGES = 1000
 LONGEST = 4
 SMOOTH = 0.5
 #: Words whose scores a Python worker keeps.
@@ -151,13 +153,15 @@ def _log_frequencies(counted: pa.Table, languages: list[str]) -> Table:
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit to the labelled rows that are not held out."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
-    languages = sorted(r["lang"] for r in sizes.toLocalIterator())  # the columns of the model
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    languages = sorted(sizes)  # the columns of the model
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     if not languages:
         return Model([], Table(np.zeros(0, np.uint64), np.zeros((0, 0))), Table(np.zeros(0, np.uint64), np.zeros((0, 0))))
     steps = 1 << 30
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.lit(float(rows_per_language)) / F.col("rows") * steps
-    sample = labelled.join(sizes, "lang").where(chosen).select("lang", "text")
+    rate = F.create_map(*(F.lit(x) for name in languages for x in (name, int(min(1.0, rows_per_language / sizes[name]) * steps))))
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < rate[F.col("lang")]).select("lang", "text")
 
     def counts(found: Counter, name: str) -> pa.RecordBatch:
         keys = list(found)
