@@ -1,9 +1,8 @@
 """Byte-level BPE: encoding by folds of ranked merges in Spark's higher-order functions, decoding by concatenation.
 
-A text is split by the vocabulary's pattern; the ids of each match depend on the match alone, so merges are folded for
-distinct words. Words that are common in a sample of the documents are folded once for the whole table and broadcast
-(``COMMON_WORDS`` at most; the sample decides only where a word is folded, not its ids). All others are folded once in
-each task that meets them. One narrow pass over the documents, without a shuffle, in three steps:
+A text is split by the vocabulary's pattern; the ids of each match depend on the match alone, so a task folds merges
+once for each distinct word it meets. Tasks read at least ``TASK_BYTES`` of input, unless that leaves cores idle, so that
+few words are folded by several tasks. One narrow pass over the documents, without a shuffle, in three steps:
 
 1. Python splits the texts and numbers the distinct words of the task; a row carries the numbers of its words, and the
    bytes of those words that come up for the first time, as ids of single-byte tokens;
@@ -29,7 +28,6 @@ import hashlib
 import heapq
 import random
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +38,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import sliced
 
-#: Words that are folded once and broadcast, and rows of the sample they are chosen from, in expectation.
-COMMON_WORDS = 300_000
-SAMPLE_ROWS = 20_000
+#: Bytes of input of a task, at least.
+TASK_BYTES = 160 << 20
 #: Bytes of the longest word that the fold merges.
 LONG_WORD = 100
 NONE = 2**31 - 1
@@ -216,6 +213,7 @@ class Splitter:
             cuts = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1), len(codes)]
             self.odd = regex.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in zip(cuts, cuts[1:])) + "]")
         self.pairs: dict[int, int] = {}
+        self.bytes = np.array([ranks.get(bytes([i]), NONE) for i in range(256)], np.int32)
 
     def words(self, text: str | None) -> list[str]:
         if not text:
@@ -224,18 +222,24 @@ class Splitter:
             return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.newer))]
         return self.pattern.findall(text)
 
-    def start(self, word: str) -> list[int]:
-        """What the fold starts from: the ids of single bytes, or the id of a word that is a token, or -1 and the final
-        ids of a long word."""
-        data = word.encode()
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        ids = [self.ranks[data[i : i + 1]] for i in range(len(data))]
-        if len(ids) <= LONG_WORD:
-            return ids
-        self.pairs = self.pairs or pair_ranks(self.ranks)
-        return [-1, *merge_long(ids, self.pairs)]
+    def starts(self, words: list[str]) -> pa.ListArray:
+        """What the fold starts from, for each word: the ids of single bytes, or the id of a word that is a token, or -1
+        and the final ids of a long word."""
+        each = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        whole = np.fromiter((self.ranks.get(w, -1) for w in each), np.int32, len(each))
+        flat = self.bytes[np.frombuffer(b"".join(each), np.uint8)]
+        ends = np.cumsum(sizes)
+        keep, at = np.ones(len(flat), bool), np.flatnonzero(whole >= 0)
+        flat[ends[at] - sizes[at]] = whole[at]  # a token keeps its first place only
+        keep[np.repeat(whole >= 0, sizes)] = False
+        keep[ends[at] - sizes[at]] = True
+        flat, sizes = flat[keep], np.where(whole >= 0, 1, sizes)
+        if (sizes > LONG_WORD).any():
+            self.pairs = self.pairs or pair_ranks(self.ranks)
+            parts = [[-1, *merge_long(p.tolist(), self.pairs)] if len(p) > LONG_WORD else p for p in np.split(flat, np.cumsum(sizes)[:-1])]
+            flat, sizes = np.concatenate([np.asarray(p, np.int32) for p in parts]), np.array([len(p) for p in parts])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 class Words:
@@ -267,27 +271,12 @@ class Words:
         return self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def common_words(docs: DataFrame, splitter: Splitter, path: str) -> pa.Table:
-    """``word, ids`` of the words that several rows of a sample have, the commonest first; bounded by ``COMMON_WORDS``."""
-    rows = docs.count()
-    steps = 1 << 30
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(steps * min(1.0, SAMPLE_ROWS / max(1, rows)))
-
-    def count(batches):
-        for batch in sliced(batches):
-            found = Counter(w for text in batch.column(0).to_pylist() for w in splitter.words(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-    def begin(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(splitter.start, batch.column(0).to_pylist())), pa.list_(pa.int32()))], ["word", "start"])
-
-    counted = docs.where(chosen).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    several = counted.where((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD))
-    top = several.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
-    spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(begin, "word string, start array<int>")
-    literal, times = rank_literal(path)
-    return spread.select("word", let(literal, lambda t: merged(F.col("start"), t, times)).alias("ids")).toArrow()
+def coalesced(docs: DataFrame) -> DataFrame:
+    """Tasks of at least ``TASK_BYTES`` of input, but one for each core if there are so many splits; no shuffle."""
+    spark = docs.sparkSession
+    splits = docs.rdd.getNumPartitions()
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return docs.coalesce(max(1, spark.sparkContext.defaultParallelism, -(-splits * size // TASK_BYTES)))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:
@@ -298,27 +287,22 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    common = common_words(docs, splitter, path)
-    lists = common.column("ids").combine_chunks()
-    context = docs.sparkSession.sparkContext
-    names = context.broadcast(common.column("word").to_pylist())  # COMMON_WORDS words of LONG_WORD bytes at most
-    folded = context.broadcast((lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
-
     def number(batches):
-        known = {w: i for i, w in enumerate(names.value)}
+        known: dict[str, int] = {}
         for batch in sliced(batches):
-            rows, new = [], []
+            rows, new, ends = [], [], [0]
             for text in batch.column(1).to_pylist():
                 words = splitter.words(text)
                 fresh = [w for w in dict.fromkeys(words) if w not in known]
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-                new.append(list(map(splitter.start, fresh)))
+                new += fresh
+                ends.append(len(new))
                 rows.append(np.fromiter(map(known.__getitem__, words), "<i4", len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(new, pa.list_(pa.list_(pa.int32())))], ["doc_id", "words", "new"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), splitter.starts(new))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), lists], ["doc_id", "words", "new"])
 
     def assemble(batches):
         table = Words()
-        table.add(*folded.value)
         for batch in batches:
             lists = batch.column(2)
             table.add(lists.flatten().flatten().to_numpy(zero_copy_only=False), lists.flatten().value_lengths().to_numpy(zero_copy_only=False))
@@ -332,7 +316,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     literal, times = rank_literal(path)
-    numbered = docs.select("doc_id", "text").mapInArrow(number, "doc_id long, words binary, new array<array<int>>")
+    numbered = coalesced(docs.select("doc_id", "text")).mapInArrow(number, "doc_id long, words binary, new array<array<int>>")
     ids = let(literal, lambda t: F.transform("new", lambda w: merged(w, t, times)))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
     return numbered.select("doc_id", "words", ids.alias("new")).mapInArrow(assemble, schema)
