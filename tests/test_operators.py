@@ -23,19 +23,22 @@ STATE = (
     "namespace string, workflow_id string, run_id string, run_rank int, seq int, step int, path string, kind string, status string, output_json string, "
     "input_snapshot string, input_hash string, sealed boolean, final_state_hash string, node_count int"
 )
-FINAL = {"items": ["seed", "a", "b1", "b2", "c", "d"], "last": "d"}
-
-
-def diamond(drop=(), swap=False, tamper=False, sealed=True):
-    deltas = [("a", 1, {"items": ["a"], "last": "a"}), ("b", 2, {"items": ["b1", "b2"]}), ("c", 2, {"items": ["c"]}), ("d", 3, {"items": ["d"], "last": "d"})]
-    rows = [(*RUN, 1, 0, 0, "~0", "UPDATE", "COMMITTED", json.dumps({"result": {}}), json.dumps({"items": ["seed"], "last": ""}), None, sealed, M.canonical_hash(FINAL), 5)]
-    for i, (name, step, delta) in enumerate(deltas, 1):
-        if name in drop:
-            continue
-        if tamper and name == "b":
-            delta = {"items": ["b1", "x"]}
-        seq = {2: 3, 3: 2}.get(i, i) if swap else i
-        rows.append((*RUN, 1, seq, step, f"~{name}", "UPDATE", "COMMITTED", json.dumps({"result": delta, "langgraph_command": None, "langgraph_interrupts": None}), None, None, sealed, M.canonical_hash(FINAL), 5))
+SHIPPED = {"log": ["12 kg", "label 7", "photo", "gone"], "cost": 11, "place": "van"}
+REDUCERS = {"log": "append", "cost": "sum", "place": "last"}
+
+
+def parcel(lost=(), backwards=False, overcharged=False, sealed=True):
+    """A parcel is weighed, then labelled, photographed and insured at once, then shipped."""
+    work = [
+        ("weigh", 1, {"log": ["12 kg"], "cost": 2}), ("label", 2, {"log": ["label 7"]}), ("photo", 2, {"log": ["photo"], "cost": 1}), ("safe", 2, {"cost": 90 if overcharged else 7}),
+        ("ship", 3, {"log": ["gone"], "place": "van"}),
+    ]
+    told = [("UPDATE", "COMMITTED"), json.dumps({"log": [], "cost": 1, "place": "shelf"}), None, sealed, M.canonical_hash(SHIPPED), 6]
+    rows = [(*RUN, 1, 0, 0, "start", *told[0], json.dumps({"result": {}}), *told[1:])]
+    for number, (name, step, delta) in enumerate(work, 1):
+        if name not in lost:
+            output = json.dumps({"result": delta, "langgraph_command": None, "langgraph_interrupts": None})
+            rows.append((*RUN, 1, 10 - number if backwards else number, step, name, *told[0], output, None, *told[2:]))
     return rows
 
 
@@ -43,35 +46,44 @@ def diamond(drop=(), swap=False, tamper=False, sealed=True):
     "case, label, reason",
     [
         ({}, "EXACT", None),
-        ({"swap": True}, "EXACT", None),
-        ({"drop": ("b", "c")}, "GAP", "step 2 is missing"),
-        ({"drop": ("c",)}, "GAP", "1 rows are missing"),
-        ({"tamper": True}, "GAP", "the state's hash is not the sealed one"),
+        ({"backwards": True}, "EXACT", None),
+        ({"lost": ("label", "photo", "safe")}, "GAP", "step 2 is missing"),
+        ({"lost": ("photo", "safe")}, "GAP", "2 rows are missing"),
+        ({"overcharged": True}, "GAP", "the state's hash is not the sealed one"),
         ({"sealed": False}, "OPEN", None),
     ],
 )
-def test_diamond(spark, case, label, reason):
-    row = M.fold(spark.createDataFrame(diamond(**case), STATE), {"items": "append", "last": "last"}).first()
+def test_parcel(spark, case, label, reason):
+    row = M.fold(spark.createDataFrame(parcel(**case), STATE), REDUCERS).first()
     assert (row.label, row.reason) == (label, reason)
-    if label == "EXACT":
-        assert json.loads(row.state) == FINAL
+    if label != "GAP":
+        assert json.loads(row.state) == SHIPPED and row.rows_used == 6
 
 
 def test_input_hash_names_positions(spark):
-    rows = [list(r) for r in diamond(tamper=True)]
-    rows[4][11] = M.canonical_hash({"items": ["seed", "a", "b1", "b2", "c"], "last": "a"})
-    row = M.fold(spark.createDataFrame([tuple(r) for r in rows], STATE), {"items": "append", "last": "last"}).first()
-    assert row.mismatched == ["3:~d"]
+    rows = [list(r) for r in parcel(overcharged=True)]
+    rows[5][11] = M.canonical_hash({"log": ["12 kg", "label 7", "photo"], "cost": 11, "place": "shelf"})
+    row = M.fold(spark.createDataFrame([tuple(r) for r in rows], STATE), REDUCERS).first()
+    assert row.mismatched == ["3:ship"]
 
 
 def test_chain_takes_the_later_run(spark):
-    first = [list(r) for r in diamond()]
-    later = [list(r) for r in diamond(tamper=True)[2:3]]
-    for r in later:
-        r[2], r[3] = "r2", 2
-    rows = [tuple(r) for r in first + later]
-    state = json.loads(M.fold(spark.createDataFrame(rows, STATE), {"items": "append", "last": "last"}, chain=True).first().state)
-    assert state["items"] == ["seed", "a", "b1", "x", "c", "d"]
+    later = [list(r) for r in parcel(overcharged=True)[4:5]]
+    later[0][2], later[0][3] = "r2", 2
+    rows = parcel() + [tuple(r) for r in later]
+    row = M.fold(spark.createDataFrame(rows, STATE), REDUCERS, chain=True, unhashed=True).first()
+    assert json.loads(row.state) == {**SHIPPED, "cost": 94} and (row.rows_used, row.chain_rows_used) == (1, 5)
+    assert json.loads(M.fold(spark.createDataFrame(rows, STATE), REDUCERS, chain=True).first().state)["log"] == []  # no hashes, no fill
+
+
+def test_what_is_folded(spark):
+    rows = [list(r) for r in parcel()]
+    rows[1][7], rows[2][8], rows[3][9] = "INTERRUPT", "PROVISIONAL", json.dumps({"result": {"log": ["photo"], "cost": 1, "colour": "red"}})
+    frame = spark.createDataFrame([(*r, "post" if i < 5 else "van") for i, r in enumerate(rows)], STATE + ", graph string")
+    state = lambda **more: json.loads(M.fold(frame, REDUCERS, **more).first().state)
+    assert state() == {"log": ["photo", "gone"], "cost": 9, "place": "van"}
+    assert state(include_provisional=True)["log"] == ["label 7", "photo", "gone"]
+    assert state(graph="post")["place"] == "shelf"
 
 
 def test_reducers():

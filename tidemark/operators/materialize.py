@@ -87,7 +87,7 @@ def chain_rows(rows: DataFrame) -> DataFrame:
     return mark(own, False).unionByName(mark(fill, False)).unionByName(mark(seed, True))
 
 
-def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = True, include_provisional: bool = False, graph: str | None = None) -> DataFrame:
+def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = False, include_provisional: bool = False, graph: str | None = None) -> DataFrame:
     """The state of each run.
 
     ``rows``: run key, ``run_rank`` (order of runs of a workflow), ``seq``, ``step``, ``path``, ``kind``, ``status``,
