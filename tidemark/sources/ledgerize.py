@@ -188,8 +188,8 @@ def effect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billed model calls: one for each attempt, by a model named after the part."""
     part = F.col("l_partkey")
-    line = read(spark, sf_dir, "lineitem")
-    group = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    line = read(spark, sf_dir, "lineitem").select("*", *run_key(F.col("l_orderkey")), (F.col("l_linenumber") - 1).cast("int").alias("seq"))
+    group = Window.partitionBy(*NODE).orderBy("l_partkey", "l_suppkey", "l_extendedprice")
     model = F.element_at(F.array(*map(F.lit, ("gpt-4o", "gpt-4o-mini", "gpt-4o-mini-2024", "claude-3", "local"))), (part % 5 + 1).cast("int"))
     return line.select(
         *NODE,
