@@ -27,6 +27,7 @@ import base64
 import hashlib
 import heapq
 import random
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.runtime import sliced
 
 #: Bytes of input of a task, at least.
-TASK_BYTES = 160 << 20
+TASK_BYTES = 64 << 20
 #: Bytes of the longest word that the fold merges.
 LONG_WORD = 100
 NONE = 2**31 - 1
@@ -198,6 +199,24 @@ def newer_letters(pattern: str) -> str:
     return "".join(c for c in newer if any((probe.encode_ordinary(m + c)[0] > 255) != (len(split.findall(m + c)) == 1) for m in "a!1"))
 
 
+#: Printable Latin letters, digits and marks, which both regular expression libraries class alike.
+_PLAIN = r"\t\n\r\x20-\x7e¡-¬®-ſ"
+_ODD = re.compile(f"[^{_PLAIN}]")
+
+
+@lru_cache(maxsize=2)
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for such texts with its classes written out, which the standard library matches faster; none if it
+    uses other classes."""
+    plain = [c for c in map(chr, range(0x180)) if not _ODD.match(c)]
+    kinds = lambda first: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == first)
+    written = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{kinds('L')}{kinds('N')}]").replace(r"\p{L}", f"[{kinds('L')}]").replace(r"\p{N}", f"[{kinds('N')}]")
+    try:
+        return re.compile(written)
+    except re.error:
+        return None
+
+
 #: A code point that no table has assigned.
 UNASSIGNED = "\u0378"
 
@@ -212,12 +231,15 @@ class Splitter:
             codes = sorted(map(ord, newer))
             cuts = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1), len(codes)]
             self.odd = regex.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in zip(cuts, cuts[1:])) + "]")
+        self.plain = plain_pattern(pattern)
         self.pairs: dict[int, int] = {}
         self.bytes = np.array([ranks.get(bytes([i]), NONE) for i in range(256)], np.int32)
 
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
+        if self.plain and not _ODD.search(text):
+            return self.plain.findall(text)
         if self.odd and not text.isascii() and self.odd.search(text):
             return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.newer))]
         return self.pattern.findall(text)
