@@ -116,7 +116,8 @@ def rank_literal(path: str) -> tuple[Column, int]:
     vocabulary."""
     times, shifts, slots = pair_table(path)
     numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    return F.struct(numbers(shifts).alias("shifts"), numbers(slots).alias("slots"), F.lit(len(slots)).cast("long").alias("size")), times
+    pairs, ranks = ([(s - 1 >> ID_BITS) if s else -1 for s in slots], [(s - 1) % (1 << ID_BITS) if s else NONE for s in slots])
+    return F.struct(numbers(shifts).alias("shifts"), numbers(pairs).alias("pairs"), numbers(ranks).cast("array<int>").alias("ranks"), F.lit(len(slots)).cast("long").alias("size")), times
 
 
 def let(value: Column, body) -> Column:
@@ -129,13 +130,11 @@ def merged(word: Column, table: Column, times: int) -> Column:
     long = lambda n: F.lit(n).cast("long")
 
     def rank(left: Column, right: Column) -> Column:
-        def look(pair: Column) -> Column:
-            group = (F.shiftright(pair * long(40503), 5) % long(GROUPS)).cast("int")
-            at = (F.shiftright(pair * long(times), 20) + F.element_at(table["shifts"], group + 1)) % table["size"]
-            entry = F.element_at(table["slots"], at.cast("int") + 1) - 1
-            return let(entry, lambda e: F.when(F.shiftright(e, ID_BITS) == pair, (e % long(1 << ID_BITS)).cast("int")).otherwise(F.lit(NONE)))
-
-        return let(left.cast("long") * long(1 << ID_BITS) + right, look)
+        # Written out where it is used: sums are cheaper here than binding a variable.
+        pair = F.shiftleft(left.cast("long"), ID_BITS) + right
+        group = (F.shiftright(pair * long(40503), 5) % long(GROUPS)).cast("int")
+        at = ((F.shiftright(pair * long(times), 20) + F.element_at(table["shifts"], group + 1)) % table["size"]).cast("int") + 1
+        return F.when(F.element_at(table["pairs"], at) == pair, F.element_at(table["ranks"], at)).otherwise(F.lit(NONE))
 
     def step(state: Column, _: Column) -> Column:
         ids, ranks = state["ids"], state["ranks"]
@@ -150,7 +149,7 @@ def merged(word: Column, table: Column, times: int) -> Column:
                     F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(ids))).alias("ranks"),
                 )
 
-            return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(ranks, low).cast("int"), at))
+            return F.when(low < NONE, let(F.array_position(ranks, low).cast("int"), at)).otherwise(state)
 
         return let(F.array_min(ranks), join)
 
