@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, html, langid, media, neighbours, packing, pii, simhash, substring, urlfilter
+from tidemark.llm import bytebpe, html, importance, langid, media, neighbours, packing, periodic, pii, simhash, substring, urlfilter
 from tidemark.llm.runtime import table
 
 
@@ -50,6 +50,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -61,10 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic": op11_periodic,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring": substring.REPEATS_SQL,
     "op8_neighbours": neighbours.NEAREST_SQL,
     "op10_url_filter": urlfilter.judge_sql(),
+    "op13_importance": importance.RESAMPLE_SQL,
 }
