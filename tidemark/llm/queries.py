@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, html, importance, langid, media, neighbours, packing, periodic, pii, simhash, substring, urlfilter
+from tidemark.llm import bytebpe, html, importance, langid, media, neighbours, packing, periodic, pii, simhash, substring, toxicity, urlfilter
 from tidemark.llm.runtime import table
 
 
@@ -54,6 +54,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
     "op11_periodic": op11_periodic,
+    "op12_toxicity": op12_toxicity,
     "op13_importance": op13_importance,
 }
 
