@@ -248,10 +248,13 @@ def _kernel_rows(strings: list[str], columns: np.ndarray, landmarks: np.ndarray)
     out = np.zeros((len(strings), landmarks.shape[0]))
     for length, where in by_length(strings, 1 << 18):
         numbers, weights = subsequences([strings[i] for i in where.tolist()], length)
-        row, place = np.nonzero((numbers > 0) & (at[numbers] >= 0))
-        dense = np.zeros((len(where), len(columns)), np.float32)
-        np.add.at(dense, (row, at[numbers[row, place]]), weights[place])
-        out[where] = (dense @ landmarks.T) / np.maximum(norms(numbers, weights), 1e-12)[:, None]
+        size, rows = norms(numbers, weights), max(1, (1 << 22) // len(columns))
+        for low in range(0, len(where), rows):
+            part = numbers[low : low + rows]
+            row, place = np.nonzero((part > 0) & (at[part] >= 0))
+            dense = np.zeros((len(part), len(columns)), np.float32)
+            np.add.at(dense, (row, at[part[row, place]]), weights[place])
+            out[where[low : low + rows]] = (dense @ landmarks.T) / np.maximum(size[low : low + rows], 1e-12)[:, None]
     return out
 
 
@@ -308,8 +311,8 @@ def fit(toxic: dict[str, int], clean: dict[str, int], hardest: dict[str, int] =
     spread = [w for w in clean if w not in hardest]
     chosen = sorted(toxic, key=lambda w: (-toxic[w], w))[:third] + list(hardest)[:third] + spread[:: max(1, len(spread) // third)][:third]
     columns, landmarks = _unit_vectors(chosen)
-    values, vectors = np.linalg.eigh(landmarks.astype(float) @ landmarks.T)
-    keep = values > 1e-6 * values.max()
+    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
+    keep = values > 1e-5 * values.max()
     to_features = vectors[:, keep] / np.sqrt(values[keep])
     features = np.column_stack([_kernel_rows(strings, columns, landmarks) @ to_features, np.ones(len(strings))])
     w = _squared_hinge(features, y, cost * weigh)
