@@ -18,9 +18,9 @@ class Settings:
     chunk_avg: int = 16384
     chunk_max: int = 65536
     retention_days: float = 30.0
-    margin_hours: float = 24.0
-    grace_hours: float = 24.0
-    orphan_ref_days: float = 60.0
+    margin_days: float = 7.0
+    grace_hours: float = 1.0
+    orphan_ref_days: float = 90.0
 
     def __post_init__(self):
         if self.schema_version != "1":

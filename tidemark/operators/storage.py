@@ -150,8 +150,9 @@ def metrics(log: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count_distinct(F.when(~F.col("encoding").isin(*CHUNKED), F.col("claim"))).alias("opaque"),
     )
     unique = distinct_chunks(chunks).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("unique_bytes"))
-    one = F.lit(1).alias("_one")
-    return total.select("*", one).join(unique.select("*", one), "_one").drop("_one")
+    names = {"stores": 0, "dedupe_hits": 0, "logical_bytes": 0, "opaque": 0, "unique_bytes": 0}
+    rows = total.withColumn("unique_bytes", F.lit(0).cast("bigint")).unionByName(unique.withColumns({n: F.lit(0).cast("bigint") for n in names if n != "unique_bytes"}))
+    return rows.agg(*(F.sum(n).alias(n) for n in names))
 
 
 # --- collection -----------------------------------------------------------------------------------------------------
@@ -212,6 +213,21 @@ def dead_chunks(chunks: DataFrame, payloads: DataFrame, dead: DataFrame, touched
     return chunks.where(F.col("last_ref_at") < touched_before).join(live, "hash", "left_anti")
 
 
+@dataclass(frozen=True)
+class Times:
+    """When a sweep that starts at ``now`` lets things go: untouched since ``touched_before``, made and closed before
+    ``cutoff`` (retention and a margin ago), without a workflow and untouched since ``orphan_cutoff``."""
+
+    touched_before: Column
+    cutoff: Column
+    orphan_cutoff: Column
+
+    @classmethod
+    def of(cls, now: Column, retention_days: float, margin_days: float, grace_hours: float, orphan_ref_days: float) -> Times:
+        ago = lambda days: now - F.make_dt_interval(secs=F.lit(round(days * 86400, 3)))
+        return cls(ago(grace_hours / 24), ago(retention_days + margin_days), ago(orphan_ref_days))
+
+
 @dataclass(frozen=True)
 class Swept:
     """What a sweep leaves, and ``report``: one row of counts of what it takes."""
@@ -222,13 +238,14 @@ class Swept:
     report: DataFrame
 
 
-def sweep(refs: DataFrame, payloads: DataFrame, chunks: DataFrame, states: DataFrame, touched_before: Column, cutoff: Column, orphan_cutoff: Column, namespace: str = "default", orphans: bool = True) -> Swept:
+def sweep(refs: DataFrame, payloads: DataFrame, chunks: DataFrame, states: DataFrame, touched_before: Column, cutoff: Column, orphan_cutoff: Column, namespace: str = "default", orphans: bool = True, only: list[str] | None = None) -> Swept:
     """References of expired workflows go, then payloads that nothing refers to, then chunks that no payload lists.
 
     What goes is written once, so the report of a dry run, which leaves the tables as they are, is that of the sweep.
+    With ``only``, references of these workflows may go and no others, orphans included.
     """
-    verdicts = workflow_verdicts(refs, states, cutoff, namespace)
-    gone = written(expired_refs(refs, verdicts, touched_before, cutoff, orphan_cutoff, orphans))
+    verdicts = workflow_verdicts(refs, states, cutoff, namespace, only)
+    gone = written(expired_refs(refs, verdicts, touched_before, cutoff, orphan_cutoff, orphans and only is None))
     dead = written(dead_manifests(payloads, refs, gone, touched_before).select("claim"))
     lost = written(dead_chunks(chunks, payloads, dead, touched_before).select("hash", "size"))
     tagged = gone.select(F.when(F.col("workflow_id") == "", "orphan").otherwise("ref").alias("what"), F.lit(0).cast("long").alias("size"))

@@ -123,6 +123,45 @@ def node_lines(log: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select(*NODE, F.concat(line, F.lit("  "), F.coalesce("note", F.lit(""))).alias("line"), waste.alias("retry_waste"), F.coalesce("note", F.lit("")).alias("note"))
 
 
+def header_lines(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``line`` of each run: status, sealed by whom, rows, degraded and what is missing. A run that was not counted by a
+    seal shows the number of its rows."""
+    rows = nodes.groupBy(*RUN).agg(F.count("*").alias("_rows"))
+    sealed = F.col("sealed_at").isNotNull()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    by = F.when(sealed & (F.col("sealed_by") != "seal"), F.concat(F.lit(" (by "), F.col("sealed_by"), F.lit(")"))).otherwise("")
+    lacks = F.when(F.size("missing_seqs") > 0, F.concat(F.lit(" missing=["), F.array_join(F.col("missing_seqs").cast("array<string>"), ", "), F.lit("]"))).otherwise("")
+    flag = F.when(F.coalesce("degraded", F.lit(False)), F.concat(F.lit("  DEGRADED"), F.coalesce(lacks, F.lit("")))).otherwise("")
+    line = F.concat(
+        F.lit("LEDGER  wf="), "workflow_id", F.lit("  run="), "run_id", F.lit("  status="), "status", F.lit("  "), F.when(sealed, "sealed").otherwise("open"), F.coalesce(by, F.lit("")),
+        F.lit("  nodes="), F.coalesce(F.col("node_count").cast("string"), zero("_rows")), F.lit(" committed="), zero("committed_count"), F.lit(" abandoned="), zero("abandoned_count"), flag,
+    )
+    return runs.join(rows, RUN, "left").select(*RUN, line.alias("line"))
+
+
+def effect_summary(effects: DataFrame) -> DataFrame:
+    """``line`` of each run with effects: names in the order of their first node, how many of each, a key to show, and
+    the duplicates prevented in all."""
+    by_name = effect_lines(effects)
+    shown = F.concat("name", F.lit(" x"), F.col("effects").cast("string"), F.lit(" (key "), F.substring("key", 1, 6), F.lit("...)"))
+    listed = F.array_sort(F.collect_list(F.struct("first_seq", "name", shown.alias("text"))))
+    prevented = F.coalesce(F.sum("duplicates_prevented"), F.lit(0)).cast("string")
+    line = F.concat(F.lit("effects: "), F.array_join(F.transform(listed, lambda s: s["text"]), ", "), F.lit("    duplicates prevented: "), prevented)
+    return by_name.groupBy(*RUN).agg(line.alias("line"))
+
+
+HEADING = " seq node             step attempt status      output_hash   tokens retry_waste  note"
+
+
+def run_ledger(runs: DataFrame, log: DataFrame, nodes: DataFrame, effects: DataFrame) -> DataFrame:
+    """The ledger of runs as text: ``part`` 0 is the header, 1 the heading, 2 a line for each node (by ``seq``), 3 the
+    effects. Sort by run, ``part`` and ``seq`` to read it."""
+    place = lambda df, part, seq=None: df.select(*RUN, F.lit(part).alias("part"), (F.lit(None).cast("int") if seq is None else F.col(seq)).alias("seq"), "line")
+    out = place(header_lines(runs, nodes), 0).unionByName(place(runs.select(*RUN, F.lit(HEADING).alias("line")), 1))
+    out = out.unionByName(place(node_lines(log, nodes), 2, "seq"))
+    return out.unionByName(place(effect_summary(effects).join(runs.select(*RUN), RUN, "left_semi"), 3))
+
+
 def effect_lines(effects: DataFrame) -> DataFrame:
     """Effects of each run by name: how many, a key to show, duplicates prevented, the statuses (ordered)."""
     return effects.groupBy(*RUN, "name").agg(

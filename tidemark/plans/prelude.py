@@ -49,6 +49,17 @@ SELECT {_run('o_orderkey')}, o_orderpriority AS workflow_type,
  CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' ELSE 'RUNNING' END AS status, o_orderdate AS first_seen_at,
  CAST(o_custkey % 8 AS INTEGER) AS node_count, CAST(o_custkey % 4 AS INTEGER) AS accepted_count
 FROM orders""",
+    "sealed": """
+SELECT * EXCLUDE (node_count, accepted_count, by_), by_ AS sealed_by, CASE WHEN by_ IS NOT NULL THEN first_seen_at END AS sealed_at,
+ n % 6 = 1 AND by_ IS NOT NULL AS degraded, CASE WHEN n % 6 = 1 AND by_ IS NOT NULL AND n % 5 <> 0 THEN [CAST(n % 3 AS INTEGER), CAST(n % 3 + 2 AS INTEGER)] END AS missing_seqs,
+ CASE WHEN by_ IS NOT NULL THEN CAST(n % 9 AS INTEGER) END AS node_count, CASE WHEN by_ IS NOT NULL THEN CAST(n % 7 AS INTEGER) END AS committed_count,
+ CASE WHEN by_ IS NOT NULL THEN CAST(n % 2 AS INTEGER) END AS abandoned_count
+FROM (SELECT *, CASE WHEN n % 4 = 1 THEN 'reconcile' WHEN n % 4 <> 0 THEN 'seal' END AS by_ FROM (SELECT *, CAST(run_id AS BIGINT) AS n FROM runs))""",
+    "run_effects": f"""
+SELECT {_run('l_orderkey')}, CAST(l_linenumber - 1 AS INTEGER) AS seq, 'send-' || lower(l_returnflag) AS name,
+ sha256(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS key,
+ CASE WHEN l_linestatus = 'F' THEN 'DONE' ELSE 'STARTED' END AS status, CAST(l_partkey % 3 AS INTEGER) AS duplicates_prevented
+FROM lineitem""",
     "events_": f"""
 SELECT {_run('(event_id // 80)')}, CAST((event_id // 8) % 10 AS INTEGER) AS seq, event_id // 8 AS scheduled_event_id, event_id, ts AS event_time,
  CASE event_type WHEN 'view' THEN 'SCHEDULED' WHEN 'click' THEN 'STARTED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'CANCEL_REQUESTED' END AS event_type,
@@ -102,7 +113,7 @@ SELECT 'default' AS namespace, 'wf-' || (o_custkey % 20) AS workflow_id, CAST(o_
 FROM orders""",
 }
 
-_NEEDS = {"log": ["attempts"], "nodes": ["attempts"], "hist": ["events_"], "rows_": ["events_"], "states": ["payload_log"]}
+_NEEDS = {"sealed": ["runs"], "log": ["attempts"], "nodes": ["attempts"], "hist": ["events_"], "rows_": ["events_"], "states": ["payload_log"]}
 
 
 def sql(*names: str, then: str) -> str:

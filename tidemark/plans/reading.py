@@ -61,9 +61,21 @@ def vw3(spark, d):
     return summary.drop("effects", "duplicate_effects_prevented").withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
-@R.add("vw3_run_summary_effects")
+@R.add("vw3_run_summary_effects", sql("log", "nodes", "sealed", "run_effects", then=f""", w AS ({_WASTE}),
+x AS (SELECT {_RUN}, sum(wasted_tokens) AS waste FROM w GROUP BY ALL),
+e AS (SELECT {_RUN}, count(*) AS effects, sum(duplicates_prevented) AS prevented FROM run_effects GROUP BY ALL),
+c AS (SELECT {_RUN}, count(seq) AS rows, count(seq) FILTER (status = 'COMMITTED') AS committed, count(seq) FILTER (status = 'PROVISIONAL') AS provisional,
+  count(seq) FILTER (status = 'ABANDONED') AS abandoned, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd FROM nodes GROUP BY ALL)
+SELECT {_RUN}, workflow_type, s.status, sealed_at IS NOT NULL AS sealed, sealed_by, degraded, array_to_string(missing_seqs, ',') AS missing_seqs, node_count, CAST(coalesce(rows, 0) AS BIGINT) AS rows,
+ CAST(coalesce(committed, 0) AS BIGINT) AS committed, CAST(coalesce(provisional, 0) AS BIGINT) AS provisional, CAST(coalesce(abandoned, 0) AS BIGINT) AS abandoned,
+ CAST(coalesce(tokens_in, 0) AS BIGINT) AS tokens_in, CAST(coalesce(tokens_out, 0) AS BIGINT) AS tokens_out, cost_usd, CAST(coalesce(waste, 0) AS BIGINT) AS retry_waste_tokens,
+ CAST(coalesce(effects, 0) AS BIGINT) AS effects, CAST(coalesce(prevented, 0) AS BIGINT) AS duplicate_effects_prevented, first_seen_at, sealed_at
+FROM sealed s LEFT JOIN c USING ({_RUN}) LEFT JOIN x USING ({_RUN}) LEFT JOIN e USING ({_RUN})""").replace("\n, w AS", ",\nw AS"))
 def vw3_effects(spark, d):
-    return V.run_summary(L.runs(spark, d), nodes(spark, d), waste(spark, d), effect_table(spark, d))
+    """All 22 columns."""
+    runs = L.sealed_runs(spark, d).withColumn("sealed", F.col("sealed_at").isNotNull()).withColumn("missing_seqs", F.array_join(F.col("missing_seqs").cast("array<string>"), ","))
+    summary = V.run_summary(runs.drop("committed_count", "abandoned_count"), nodes(spark, d), waste(spark, d), L.run_effects(spark, d))
+    return summary.withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 @R.add("vw4_waste_total", sql("log", "nodes", then=f""", w AS ({_WASTE})
@@ -107,9 +119,26 @@ def rd1(spark, d):
     return V.node_lines(audit(spark, d), nodes(spark, d))
 
 
-@R.add("rd1_effect_lines")
+_EFFECTS = f"""by_name AS (SELECT {_RUN}, name, count(*) AS effects, min(key) AS key, CAST(sum(duplicates_prevented) AS BIGINT) AS duplicates_prevented,
+  string_agg(DISTINCT status, ',' ORDER BY status) AS statuses, min(seq) AS first_seq FROM run_effects GROUP BY ALL)"""
+
+
+@R.add("rd1_effect_lines", sql("run_effects", then=f", {_EFFECTS} SELECT * FROM by_name").replace("\n, by_name", ",\nby_name"))
 def rd1_effects(spark, d):
-    return V.effect_lines(effect_table(spark, d))
+    return V.effect_lines(L.run_effects(spark, d))
+
+
+@R.add("rd1_header_and_effects", sql("sealed", "nodes", "run_effects", then=f""", {_EFFECTS},
+n AS (SELECT {_RUN}, count(*) AS rows FROM nodes GROUP BY ALL)
+SELECT {_RUN}, 0 AS part, CAST(NULL AS INTEGER) AS seq, 'LEDGER  wf=' || workflow_id || '  run=' || run_id || '  status=' || status || '  ' || CASE WHEN sealed_at IS NULL THEN 'open' ELSE 'sealed' END
+ || CASE WHEN sealed_by = 'reconcile' THEN ' (by reconcile)' ELSE '' END || '  nodes=' || coalesce(node_count, rows, 0) || ' committed=' || coalesce(committed_count, 0) || ' abandoned=' || coalesce(abandoned_count, 0)
+ || CASE WHEN degraded THEN '  DEGRADED' || CASE WHEN missing_seqs IS NULL THEN '' ELSE ' missing=[' || array_to_string(missing_seqs, ', ') || ']' END ELSE '' END AS line
+FROM sealed LEFT JOIN n USING ({_RUN})
+UNION ALL SELECT {_RUN}, 3, NULL, 'effects: ' || string_agg(name || ' x' || effects || ' (key ' || key[:6] || '...)', ', ' ORDER BY first_seq, name) || '    duplicates prevented: ' || CAST(sum(duplicates_prevented) AS BIGINT)
+FROM by_name GROUP BY {_RUN}""").replace("\n, by_name", ",\nby_name"))
+def rd1_whole(spark, d):
+    """Header and effects lines of every run's ledger; the lines between them are those of ``rd1_run_ledger``."""
+    return V.run_ledger(L.sealed_runs(spark, d), audit(spark, d), nodes(spark, d), L.run_effects(spark, d)).where("part IN (0, 3)")
 
 
 @R.add("rd4_status", sql("runs", then=f"SELECT {_RUN}, status, first_seen_at FROM runs ORDER BY first_seen_at DESC, {_RUN} LIMIT 20"))

@@ -89,6 +89,30 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sealed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with what a seal leaves: who sealed them and when, counts, whether they are degraded and what is missing."""
+    n = F.col("run_id").cast("bigint")
+    by = F.when(n % 4 == 1, "reconcile").when(n % 4 != 0, "seal")
+    degraded = F.coalesce((n % 6 == 1) & by.isNotNull(), F.lit(False))
+    return runs(spark, sf_dir).drop("accepted_count", "node_count").withColumns({
+        "sealed_by": by, "sealed_at": F.when(by.isNotNull(), F.col("first_seen_at")), "degraded": degraded,
+        "missing_seqs": F.when(degraded & (n % 5 != 0), F.array((n % 3).cast("int"), (n % 3 + 2).cast("int"))),
+        "node_count": F.when(by.isNotNull(), (n % 9).cast("int")), "committed_count": F.when(by.isNotNull(), (n % 7).cast("int")), "abandoned_count": F.when(by.isNotNull(), (n % 2).cast("int")),
+    })
+
+
+def run_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing effects of runs, one for each line of an order."""
+    line = read(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("send-"), F.lower("l_returnflag"))
+    text = lambda c: F.col(c).cast("string")
+    return line.select(
+        *run_key(F.col("l_orderkey")), (F.col("l_linenumber") - 1).cast("int").alias("seq"), name.alias("name"),
+        F.sha2(F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey")).cast("binary"), 256).alias("key"),
+        F.when(F.col("l_linestatus") == "F", "DONE").otherwise("STARTED").alias("status"), (F.col("l_partkey") % 3).cast("int").alias("duplicates_prevented"),
+    )
+
+
 def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event log: eight events to a node, ten nodes to a run."""
     event = read(spark, sf_dir, "events")
