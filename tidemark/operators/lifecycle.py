@@ -94,6 +94,29 @@ def mark_degraded(runs: DataFrame, marks: DataFrame) -> DataFrame:
     return out.withColumn("degraded", F.coalesce("degraded", F.lit(False)) | F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
+class Observed:
+    """What a run knows of its nodes: the next sequence number, how many results it accepted, and the ids that it still
+    has to tell the ledger to commit or abandon."""
+
+    def __init__(self, next_seq: int = 0, accepted: int = 0, commits: set[int] = (), abandons: set[int] = ()):
+        self.next_seq, self.accepted, self.commits, self.abandons = next_seq, accepted, set(commits), set(abandons)
+
+    def schedule(self) -> int:
+        """The sequence number of a node that is scheduled now."""
+        self.next_seq += 1
+        return self.next_seq - 1
+
+    def result(self, seq: int, ok: bool, carried: list[int]) -> None:
+        """On success the ids that the node carried are settled and the node is to be committed; else abandoned."""
+        if ok:
+            self.commits.difference_update(carried)
+            self.abandons.difference_update(carried)
+            self.commits.add(seq)
+            self.accepted += 1
+        else:
+            self.abandons.add(seq)
+
+
 OBSERVED = "namespace string, workflow_id string, run_id string, step int, seq int, result string, accepted int, commits array<int>, abandons array<int>"
 
 
@@ -102,19 +125,11 @@ def observe(events: DataFrame) -> DataFrame:
     it still has to tell the ledger to commit or abandon.
 
     ``events``: run key, ``step`` (order), ``seq``, ``result`` (ok, failed, cancelled), ``carried`` (ids told with the
-    node's own schedule). On success the carried ids are settled; on failure the node joins the abandons.
+    node's own schedule). On success the carried ids are settled; on failure the node joins the abandons. The stream
+    form is ``streaming.observe``.
     """
+    def step(run: Observed, event: dict) -> dict:
+        run.result(event["seq"], event["result"] == "ok", event["carried"] or ())
+        return {"accepted": run.accepted, "commits": sorted(run.commits), "abandons": sorted(run.abandons)}
 
-    def step(run: dict, event: dict) -> dict:
-        commits, abandons = run.setdefault("commits", set()), run.setdefault("abandons", set())
-        if event["result"] == "ok":
-            told = set(event["carried"] or ())
-            commits -= told
-            abandons -= told
-            commits.add(event["seq"])
-            run["accepted"] = run.get("accepted", 0) + 1
-        else:
-            abandons.add(event["seq"])
-        return {"accepted": run.get("accepted", 0), "commits": sorted(commits), "abandons": sorted(abandons)}
-
-    return ordered_fold(events.select(*RUN, "step", "seq", "result", "carried"), RUN, ["step"], dict, step, OBSERVED)
+    return ordered_fold(events.select(*RUN, "step", "seq", "result", "carried"), RUN, ["step"], Observed, step, OBSERVED)

@@ -166,12 +166,32 @@ def join8(spark, d):
     return lifecycle.missing_seqs(nodes(spark, d), L.runs(spark, d))
 
 
-@R.add("obs1_observe")
-def obs1(spark, d):
-    event = L.history_events(spark, d).where("event_type IN ('COMPLETED', 'FAILED')")
+def results(event):
+    """Results of nodes as a run sees them; each node carries the id of the one before it."""
+    kept = event.where("event_type IN ('COMPLETED', 'FAILED')")
     result = F.when(F.col("event_type") == "COMPLETED", "ok").otherwise("failed")
     carried = F.when(F.col("seq") > 0, F.array(F.col("seq") - 1))
-    return lifecycle.observe(event.select(*RUN, F.col("event_id").cast("int").alias("step"), "seq", result.alias("result"), carried.alias("carried")))
+    return kept.select(*RUN, F.col("event_id").cast("int").alias("step"), "seq", result.alias("result"), carried.alias("carried"))
+
+
+def listed(observed):
+    return observed.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("commits", "abandons")})
+
+
+#: An id is pending after a step if its last result of the kind came before, and no success since has carried it.
+OBSERVED_SQL = sql("events_", then="""
+, r AS (SELECT namespace, workflow_id, run_id, CAST(event_id AS INTEGER) AS step, seq, CASE event_type WHEN 'COMPLETED' THEN 'ok' ELSE 'failed' END AS result FROM events_ WHERE event_type IN ('COMPLETED', 'FAILED')),
+told AS (SELECT run_id, step, seq - 1 AS id FROM r WHERE result = 'ok' AND seq > 0),
+last AS (SELECT t.run_id, t.step, p.seq, p.result, max(p.step) AS since FROM r t JOIN r p ON p.run_id = t.run_id AND p.step <= t.step GROUP BY ALL),
+pending AS (SELECT * FROM last l WHERE NOT EXISTS (SELECT 1 FROM told k WHERE k.run_id = l.run_id AND k.id = l.seq AND k.step > l.since AND k.step <= l.step)),
+lists AS (SELECT run_id, step, string_agg(seq::VARCHAR, ',' ORDER BY seq) FILTER (result = 'ok') AS commits, string_agg(seq::VARCHAR, ',' ORDER BY seq) FILTER (result = 'failed') AS abandons FROM pending GROUP BY ALL)
+SELECT namespace, workflow_id, run_id, step, seq, result, CAST(count(*) FILTER (result = 'ok') OVER (PARTITION BY run_id ORDER BY step) AS INTEGER) AS accepted,
+ coalesce(commits, '') AS commits, coalesce(abandons, '') AS abandons FROM r LEFT JOIN lists USING (run_id, step)""").replace("\n\n, r AS", ",\nr AS")
+
+
+@R.add("obs1_observe", OBSERVED_SQL)
+def obs1(spark, d):
+    return listed(lifecycle.observe(results(L.history_events(spark, d))))
 
 
 @R.add("obs2_header_codec", """

@@ -13,7 +13,7 @@ from tidemark.plans.streams import event_stream, writes
 from tidemark.plans.storing import _sql, chunks, refs
 from tidemark.sources import files
 from tidemark.sources import ledgerize as L
-from tidemark.streaming import jobs, ledger
+from tidemark.streaming import jobs, snapshot
 
 R = Registry()
 _NODE = "namespace, workflow_id, run_id, seq"
@@ -88,7 +88,7 @@ FROM events GROUP BY ALL""")
 def snk1(spark, d):
     """A stream of fenced writes upserts the snapshot of standing rows."""
     path = folder(spark)
-    rows = ledger.upsert_snapshot(writes(event_stream(spark, d)).drop("op"), f"{path}/rows", f"{path}/checkpoint", NODE, ["fence_us", "attempt"])
+    rows = snapshot.upsert_snapshot(writes(event_stream(spark, d)).drop("op"), f"{path}/rows", f"{path}/checkpoint", NODE, ["fence_us", "attempt"], RUN)
     return rows.select(*NODE, "arrival", "attempt")
 
 

@@ -18,12 +18,45 @@ def replayed(spark, d):
     return E.replay(L.effect_events(spark, d))
 
 
-@R.add("eff1_replay")
+def _replayed_sql() -> str:
+    """The state machine over the events that the log has, as a fold over each effect's list of events: every step
+    appends the state after it."""
+    s, called = "acc[len(acc)]", "x[1].event = 'call'"
+    first, same, over = f"{s}.status IS NULL", f"x[1].request_hash IS NOT DISTINCT FROM {s}.request_hash", f"coalesce({s}.status, '') = 'DONE'"
+    again = f"({called} AND {same} AND {s}.status = 'RESOLVED')"
+    moved = f"(NOT {first} AND NOT {over})"
+    fields = {
+        "arrival": "x[1].arrival", "event": "x[1].event",
+        "outcome": f"""CASE WHEN {called} THEN CASE WHEN {first} THEN 'called' WHEN NOT {same} THEN 'divergence' WHEN {over} THEN 'replayed' WHEN {again} THEN 'called' ELSE 'unknown' END
+          WHEN {first} THEN 'ignored' WHEN x[1].event = 'crash' THEN 'lost' WHEN {over} THEN 'ignored' WHEN x[1].event = 'done' THEN 'recorded' ELSE 'resolved' END""",
+        "status": f"""CASE WHEN {called} THEN CASE WHEN {first} OR {again} THEN 'STARTED' WHEN NOT {same} OR {over} THEN {s}.status ELSE 'UNKNOWN' END
+          WHEN {moved} AND x[1].event IN ('done', 'resolve-done') THEN 'DONE' WHEN {moved} AND x[1].event = 'resolve-not-done' THEN 'RESOLVED' ELSE {s}.status END""",
+        "request_hash": f"CASE WHEN {called} AND {first} THEN x[1].request_hash ELSE {s}.request_hash END",
+        "result": f"CASE WHEN x[1].event = 'done' AND {moved} THEN x[1].result ELSE {s}.result END",
+        "attempts": f"CASE WHEN {called} AND {first} THEN 1 WHEN {called} AND {same} THEN {s}.attempts + 1 ELSE {s}.attempts END",
+        "duplicates_prevented": f"CASE WHEN {called} AND {same} AND {over} THEN {s}.duplicates_prevented + 1 ELSE {s}.duplicates_prevented END",
+        "resolution": f"CASE WHEN {again} THEN NULL WHEN {moved} AND x[1].event = 'resolve-done' THEN 'manual:done' WHEN {moved} AND x[1].event = 'resolve-not-done' THEN 'not-done' ELSE {s}.resolution END",
+    }
+    kinds = {"arrival": "BIGINT", "attempts": "INTEGER", "duplicates_prevented": "INTEGER"}
+    packed = lambda values: "struct_pack(" + ", ".join(f"{n} := CAST({v} AS {kinds.get(n, 'VARCHAR')})" for n, v in values.items()) + ")"
+    start = packed({n: "0" if n in kinds else "NULL" for n in fields})
+    given = packed({n: n if n in ("arrival", "event", "request_hash", "result") else "0" if n in kinds else "NULL" for n in fields})
+    key = f"{_NODE}, name, idx"
+    return sql("effect_log", then=f"""
+, lists AS (SELECT {key}, list([{given}] ORDER BY arrival) AS events FROM effect_log GROUP BY ALL),
+folded AS (SELECT {key}, unnest(list_reduce(events, lambda acc, x: list_append(acc, {packed(fields)}), [{start}])[2:]) AS row FROM lists)
+SELECT {key}, sha256(namespace || chr(31) || workflow_id || chr(31) || run_id || chr(31) || seq || chr(31) || name || chr(31) || idx) AS key, row.* FROM folded""").replace("\n\n, lists", ",\nlists")
+
+
+REPLAYED_SQL = _replayed_sql()
+
+
+@R.add("eff1_replay", REPLAYED_SQL)
 def eff1(spark, d):
     return replayed(spark, d)
 
 
-@R.add("eff1_outcomes")
+@R.add("eff1_outcomes", f"SELECT event, outcome, count(*) AS events FROM ({REPLAYED_SQL}) GROUP BY ALL")
 def eff1_outcomes(spark, d):
     return replayed(spark, d).groupBy("event", "outcome").agg(F.count("*").alias("events"))
 
@@ -48,7 +81,11 @@ def eff3_chash(spark, d):
     return L.effect_events(spark, d).select("arrival", H.content_hash("result").alias("chash"))
 
 
-@R.add("eff3_run_lock")
+@R.add("eff3_run_lock", sql("runs", then="""
+, crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i)) AS steps),
+k AS (SELECT *, hex(encode(namespace || '|' || workflow_id || '|' || run_id)) AS code FROM runs)
+SELECT namespace, workflow_id, run_id, xor(list_reduce(list_transform(range(length(code) // 2), lambda i: ('0x' || substr(code, (2 * i + 1)::INT, 2))::BIGINT),
+  lambda x, b: xor(x >> 8, steps[xor(x & 255, b) + 1]), 4294967295::BIGINT), 4294967295) & 2147483647 AS lock FROM k, crc""").replace("\n\n, crc", ",\ncrc"))
 def eff3_lock(spark, d):
     return L.runs(spark, d).select(*RUN, H.run_lock().alias("lock"))
 

@@ -1,12 +1,16 @@
 """Streams over the event table, drained; each must equal its batch form."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.model import NODE
+from tidemark.operators.effects import FOLDED
+from tidemark.plans import fencing, spending
 from tidemark.plans.prelude import sql
 from tidemark.plans.registry import Registry
 from tidemark.sources import ledgerize as L
-from tidemark.streaming import jobs, ledger
+from tidemark.streaming import effects, history, jobs, ledger, observe, retention
 
 R = Registry()
 _NODE = "namespace, workflow_id, run_id, seq"
@@ -57,3 +61,41 @@ def str3(spark, d):
 def str5(spark, d):
     stream = event_stream(spark, d).select("user_id", "event_type")
     return jobs.drain(ledger.first_seen(stream, ["user_id", "event_type"]))
+
+
+@R.add("str2_stream_observe", fencing.OBSERVED_SQL)
+def str2(spark, d):
+    """What runs know of their nodes, as keyed state."""
+    jobs.use_rocksdb(spark)
+    return fencing.listed(jobs.drain(observe.observed(fencing.results(L.history_of(event_stream(spark, d))))))
+
+
+#: Milliseconds after which a key that nobody touches expires, and for which its expiry is remembered.
+RETENTION, GRACE, MEMORY = 24 * 3600_000, "6 hours", 12 * 3600_000
+
+
+@R.add("str4_stream_expiry", f"""
+WITH t AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER w AS before, lead(epoch_us(ts) // 1000) OVER w AS after, max(epoch_us(ts) // 1000) OVER () AS latest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, CASE WHEN before IS NULL OR ms > before + {RETENTION + MEMORY} THEN 'FIRST' WHEN ms > before + {RETENTION} THEN 'AFTER_EXPIRY' ELSE 'TOUCHED' END AS what, ms AS at_ms FROM t
+UNION ALL SELECT user_id, 'EXPIRED', ms + {RETENTION} FROM t WHERE after > ms + {RETENTION} OR after IS NULL AND ms + {RETENTION} < latest - 6 * 3600000""")
+def str4(spark, d):
+    """Users who are not seen for a day expire; who comes back within the next half day is known to be late."""
+    jobs.use_rocksdb(spark)
+    touches = event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("seen_at"))
+    return jobs.drain(retention.retained(touches, ["user_id"], RETENTION, GRACE, MEMORY))
+
+
+@R.add("eff1_stream", spending.REPLAYED_SQL)
+def eff1_stream(spark, d):
+    """The effect log as a stream."""
+    jobs.use_rocksdb(spark)
+    log = L.effect_log(jobs.files_stream(spark, f"{d}/orders.parquet*", L.read(spark, d, "orders").schema))
+    return jobs.drain(effects.replayed(log)).select(*(part.split()[0] for part in FOLDED.split(", ")))
+
+
+@R.add("src2_stream_history", sql("hist", then="SELECT * FROM hist"))
+def src2_stream(spark, d):
+    """Histories tailed as a stream, nodes kept in a snapshot: the rows of ``his1_project``."""
+    jobs.use_rocksdb(spark)
+    path = f"{jobs.shared_dir(spark)}/{spark.sparkContext.applicationId}/history-{uuid.uuid4().hex}"
+    return history.project_stream(L.history_of(event_stream(spark, d)), f"{path}/nodes", f"{path}/checkpoint")

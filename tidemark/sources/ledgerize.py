@@ -115,7 +115,11 @@ def run_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event log: eight events to a node, ten nodes to a run."""
-    event = read(spark, sf_dir, "events")
+    return history_of(read(spark, sf_dir, "events"))
+
+
+def history_of(event: DataFrame) -> DataFrame:
+    """The event log of rows, or of a stream, of the event table."""
     of = F.col("event_id")
     kind = (
         F.when(F.col("event_type") == "view", "SCHEDULED").when(F.col("event_type") == "click", "STARTED").when(F.col("event_type") == "purchase", "COMPLETED")
@@ -190,6 +194,11 @@ def workflow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An effect log: calls, records, crashes and resolutions, in order of arrival."""
+    return effect_log(read(spark, sf_dir, "orders"))
+
+
+def effect_log(orders: DataFrame) -> DataFrame:
+    """The effect log of rows, or of a stream, of the order table."""
     order = F.col("o_orderkey")
     kinds = F.array(*map(F.lit, ("call", "done", "call", "crash", "resolve-not-done", "call", "resolve-done")))
     key = [
@@ -199,7 +208,7 @@ def effect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 3).cast("int").alias("seq"),
         F.col("o_orderpriority").alias("name"),
     ]
-    return read(spark, sf_dir, "orders").select(
+    return orders.select(
         *key,
         F.lit(0).alias("idx"),
         order.alias("arrival"),

@@ -17,11 +17,13 @@ NAME = "_manifest.json"
 
 @dataclass
 class Version:
-    """``parts``: folders (below the manifest's own) by name; ``before``: those of the version before."""
+    """``parts``: folders (below the manifest's own) by name; ``before``: those of the version before; ``about``: what
+    the writer notes for the next one."""
 
     number: int = -1
     parts: dict[str, str] = field(default_factory=dict)
     before: dict[str, str] = field(default_factory=dict)
+    about: dict[str, str] = field(default_factory=dict)
 
 
 class Manifest:
@@ -54,10 +56,10 @@ class Manifest:
         """A folder that no version names yet, for a new part called ``name``."""
         return f"{name}/{uuid.uuid4().hex}"
 
-    def commit(self, parts: dict[str, str], number: int | None = None) -> Version:
+    def commit(self, parts: dict[str, str], number: int | None = None, about: dict[str, str] | None = None) -> Version:
         """Make ``parts`` (with all that earlier versions named and these do not) the last version."""
         old = self.read()
-        new = Version(old.number + 1 if number is None else number, {**old.parts, **parts}, old.parts)
+        new = Version(old.number + 1 if number is None else number, {**old.parts, **parts}, old.parts, {**old.about, **(about or {})})
         draft = f"{NAME}.{uuid.uuid4().hex}"
         stream = self._files().create(self._at(draft))
         try:
@@ -72,15 +74,21 @@ class Manifest:
         return new
 
     def sweep(self, names: list[str]) -> int:
-        """Remove the folders of these parts that neither the last version nor the one before names (a reader may still
-        be at the one before); gives how many went."""
-        version, files, gone = self.read(), self._files(), 0
+        """Remove the folders below these names that neither the last version nor the one before names (a reader may
+        still be at the one before); of folders that hold a named one, the others inside go. Gives how many went."""
+        version = self.read()
         kept = {*version.parts.values(), *version.before.values()}
-        for name in names:
-            if self.exists(name):
-                for status in files.listStatus(self._at(name)):
-                    leaf = f"{name}/{status.getPath().getName()}"
-                    if status.isDirectory() and leaf not in kept:
-                        files.delete(self._at(leaf), True)
-                        gone += 1
+        return sum(self._sweep(name, kept) for name in names if self.exists(name))
+
+    def _sweep(self, name: str, kept: set[str]) -> int:
+        files, gone = self._files(), 0
+        for status in files.listStatus(self._at(name)):
+            leaf = f"{name}/{status.getPath().getName()}"
+            if not status.isDirectory() or leaf in kept:
+                continue
+            if any(k.startswith(leaf + "/") for k in kept):
+                gone += self._sweep(leaf, kept)
+            else:
+                files.delete(self._at(leaf), True)
+                gone += 1
         return gone

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
@@ -87,27 +86,3 @@ def first_seen(stream: DataFrame, keys: list[str], event_time: str | None = None
     if event_time is None:
         return stream.dropDuplicates(keys)
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def upsert_snapshot(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str]) -> DataFrame:
-    """Drain a stream into a snapshot that holds, for each ``key``, the row of the largest ``order``; gives the snapshot.
-
-    Each batch is merged with the version before and written as a version of its own, named by the batch, so a batch
-    that is run again after a failure writes the same version; a reader takes the largest version.
-    """
-    names = stream.columns
-    kept = [c for c in names if c not in key]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        best = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("row")).select(*key, "row.*").select(*names)
-        best.write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise RuntimeError(str(query.exception()))
-    versions = stream.sparkSession.read.parquet(path)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
