@@ -47,8 +47,8 @@ def parcel(lost=(), backwards=False, overcharged=False, sealed=True):
     [
         ({}, "EXACT", None),
         ({"backwards": True}, "EXACT", None),
-        ({"lost": ("label", "photo", "safe")}, "GAP", "step 2 is missing"),
-        ({"lost": ("photo", "safe")}, "GAP", "2 rows are missing"),
+        ({"lost": ("label", "photo", "safe")}, "GAP", "the state's hash is not the sealed one; 3 rows are missing"),
+        ({"lost": ("photo", "safe")}, "GAP", "the state's hash is not the sealed one; 2 rows are missing"),
         ({"overcharged": True}, "GAP", "the state's hash is not the sealed one"),
         ({"sealed": False}, "OPEN", None),
     ],
@@ -64,7 +64,42 @@ def test_input_hash_names_positions(spark):
     rows = [list(r) for r in parcel(overcharged=True)]
     rows[5][11] = M.canonical_hash({"log": ["12 kg", "label 7", "photo"], "cost": 11, "place": "shelf"})
     row = M.fold(spark.createDataFrame([tuple(r) for r in rows], STATE), REDUCERS).first()
-    assert row.mismatched == ["3:ship"]
+    assert row.positions == ["step 3: input of ship (ship) differs"]
+
+
+def test_nodes_are_held_against_what_they_read(spark):
+    """The van reads the place, the label reads log and cost: a wrong cost concerns the label only, and all gaps show."""
+    rows = [list(r) for r in parcel(overcharged=True)]
+    rows[2][11], rows[5][11] = M.canonical_hash({"log": ["12 kg"], "cost": 4}), M.canonical_hash({"place": "shelf"})
+    rows[5][5] = 7
+    frame = spark.createDataFrame([(*r, r[6]) for r in rows], STATE + ", node string")
+    row = M.fold(frame, REDUCERS, inputs={"label": ["cost", "log", "no such channel"], "ship": ["place"]}).first()
+    assert row.positions == ["step 2: input of label (label) differs", "no rows in steps 3 to 6"]
+    assert M.fold(frame, REDUCERS).first().positions == ["step 2: input of label (label) differs", "step 7: input of ship (ship) differs", "no rows in steps 3 to 6"]
+
+
+def test_lost_write_without_position(spark):
+    row = M.fold(spark.createDataFrame(parcel(overcharged=True), STATE), REDUCERS).first()
+    assert row.positions == ["a write is lost after step 3"]
+    unsealed_hash = [(*r[:13], None, r[14]) for r in parcel()]
+    assert M.fold(spark.createDataFrame(unsealed_hash, STATE), REDUCERS).first().reason == "the seal has no final hash"
+
+
+def test_payload_converter(spark):
+    import base64
+
+    rows = [(*r[:9], base64.b64encode(r[9].encode()).decode(), *r[10:]) for r in parcel()]
+    row = M.fold(spark.createDataFrame(rows, STATE), REDUCERS, convert=lambda t: base64.b64decode(t).decode()).first()
+    assert row.label == "EXACT"
+
+
+def test_hashes_of_a_state_follow_its_writes():
+    state = M.State({"a": [1], "b": "x"})
+    assert state.hash(("a", "b", "c")) == M.canonical_hash({"a": [1], "b": "x"})
+    state.write("c", {"é": 1})
+    assert state.hash(("c", "b")) == M.canonical_hash({"b": "x", "c": {"é": 1}}) and state.hash(("a", "b", "c")) == M.canonical_hash(state.values)
+    state.write("a", [1, 2])
+    assert state.hash(("a",)) == M.canonical_hash({"a": [1, 2]})
 
 
 def test_chain_takes_the_later_run(spark):

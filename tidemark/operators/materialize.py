@@ -58,6 +58,29 @@ def canonical_hash(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+class State:
+    """Channels of a run while it is folded. The canonical text of a channel is made anew only when the channel was
+    written, and the hash of some channels only when one of them was, so a step costs what it changes."""
+
+    def __init__(self, values: dict[str, Any]):
+        self.values, self._texts, self._hashes = dict(values), {}, {}
+
+    def write(self, channel: str, value: Any) -> None:
+        self.values[channel] = value
+        self._texts.pop(channel, None)
+        self._hashes = {keys: h for keys, h in self._hashes.items() if channel not in keys}
+
+    def hash(self, keys: tuple[str, ...]) -> str:
+        """``canonical_hash`` of the channels among ``keys`` that have a value (``keys`` may name others)."""
+        if keys not in self._hashes:
+            there = sorted(k for k in keys if k in self.values)
+            for k in there:
+                if k not in self._texts:
+                    self._texts[k] = json.dumps({k: self.values[k]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)[1:-1]
+            self._hashes[keys] = hashlib.sha256(("{" + ",".join(self._texts[k] for k in there) + "}").encode()).hexdigest()
+        return self._hashes[keys]
+
+
 def delta_of(kind: str, output: str | None) -> list[tuple[str, Any]]:
     """(channel, value) pairs that a node's output writes: the command's update, or the result; interrupts write none."""
     if kind == "INTERRUPT" or not output:
@@ -71,7 +94,7 @@ def delta_of(kind: str, output: str | None) -> list[tuple[str, Any]]:
     return []
 
 
-FOLDED = "namespace string, workflow_id string, run_id string, state string, state_hash string, label string, reason string, mismatched array<string>, rows_used long, chain_rows_used long"
+FOLDED = "namespace string, workflow_id string, run_id string, state string, state_hash string, label string, reason string, positions array<string>, rows_used long, chain_rows_used long"
 
 
 def chain_rows(rows: DataFrame) -> DataFrame:
@@ -87,14 +110,18 @@ def chain_rows(rows: DataFrame) -> DataFrame:
     return mark(own, False).unionByName(mark(fill, False)).unionByName(mark(seed, True))
 
 
-def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = False, include_provisional: bool = False, graph: str | None = None) -> DataFrame:
+def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = False, unhashed: bool = False, include_provisional: bool = False, graph: str | None = None, inputs: dict[str, list[str]] | None = None, convert: Callable[[str], str] | None = None) -> DataFrame:
     """The state of each run.
 
     ``rows``: run key, ``run_rank`` (order of runs of a workflow), ``seq``, ``step``, ``path``, ``kind``, ``status``,
     ``output_json``, ``input_snapshot`` (on seq 0), ``input_hash``, and of the run ``sealed``, ``final_state_hash``,
     ``node_count``. Deltas of a step are applied together, ordered by path and seq, one update for each channel; only
-    channels that ``reducers`` names take part, in seeds as in deltas. Interrupts are no steps. Before a step, an input
-    hash that is there must be the hash of the state; positions where it is not are named.
+    channels that ``reducers`` names take part, in seeds as in deltas. Interrupts are no steps. Before a step, a node's
+    input hash, if it is there, must be the hash of the channels that the node reads: those that ``inputs`` names for
+    its ``node``, all channels for other nodes. ``convert`` is applied to each output (a payload converter).
+
+    ``positions`` of a run that is not EXACT name every input that does not match, every gap between steps (not with
+    ``chain``), and, of a GAP without any of these, the step after which a write is lost. ``reason`` says why.
 
     COMMITTED rows are folded, with ``include_provisional`` PROVISIONAL ones of the run as well, with ``graph`` those of
     that ``graph`` only. To fold another run than the latest with ``chain``, leave out the rows of later ones.
@@ -107,6 +134,8 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
     table = {name: REDUCERS[r] if isinstance(r, str) else r for name, r in reducers.items()}
     key = RUN[:2] if chain else RUN
     columns = [p.split()[0] for p in FOLDED.split(", ")]
+    every = tuple(table)
+    reads = {node: tuple(k for k in keys if k in table) for node, keys in (inputs or {}).items()}
     statuses = ("COMMITTED", "PROVISIONAL") if include_provisional else ("COMMITTED",)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
@@ -123,46 +152,54 @@ def fold(rows: DataFrame, reducers: dict[str, str | Reducer], chain: bool = Fals
             taken = taken[group.index]
         target = group[group._own].iloc[-1] if chain else group.iloc[-1]
         snapshot = json.loads(seeds.iloc[0].input_snapshot) if len(seeds) else {}
-        state: dict[str, Any] = {k: v for k, v in snapshot.items() if k in table} if isinstance(snapshot, dict) else {}
-        start = seeds.iloc[0].step if len(seeds) else None
+        state = State({k: v for k, v in snapshot.items() if k in table} if isinstance(snapshot, dict) else {})
+        start = seeds.iloc[0].step if len(seeds) else 0
         used = group[taken & (group.kind != "INTERRUPT")]
         if chain:
             used = used[~used._seed]
-        if start is not None and not pd.isna(start):
-            used = used[used.step >= start]
+        used = used[used.step >= (0 if pd.isna(start) else start)]
         used = used.drop_duplicates(["run_id", "step", "path", "seq"], keep="last").sort_values(["step", "path", "seq"])
-        mismatched, gap, before = [], None, None
+        positions, before = [], None
         applied = filled = 0
         for step, part in used.groupby("step", sort=True):
-            digest = canonical_hash(state)
+            names = part.node if "node" in part else part.path
+            expected = pd.Series([state.hash(reads.get(n, every)) for n in names], part.index)
+            fits = part.input_hash == expected
             if chain:
-                fits = part.input_hash.map(lambda h: h == digest if isinstance(h, str) else unhashed).astype(bool)
-                part = part[part._own | (~part.path.isin(part.path[part._own]) & fits)]
+                known = part.input_hash.map(lambda h: isinstance(h, str))
+                part = part[part._own | (~part.path.isin(part.path[part._own]) & (fits | (~known & unhashed)))]
                 if part.empty:
                     continue
-            mismatched += [f"{int(step)}:{p}" for p, h in zip(part.path, part.input_hash) if isinstance(h, str) and h != digest]
-            if before is not None and step > before + 1 and gap is None and not chain:
-                gap = f"step {int(before) + 1} is missing"
+            wrong = [(n, p) for n, p, h, e in zip(names[part.index], part.path, part.input_hash, expected[part.index]) if isinstance(h, str) and h != e]
+            positions += [f"step {int(step)}: input of {n} ({p}) differs" for n, p in wrong]
+            if before is not None and step > before + 1 and not chain:
+                positions.append(f"no rows in steps {int(before) + 1} to {int(step) - 1}")
             before = step
             applied += int(part._own.sum()) if chain else len(part)
             filled += int((~part._own).sum()) if chain else 0
             writes: dict[str, list] = {}
             for kind, output in zip(part.kind, part.output_json):
-                for channel, value in delta_of(kind, output):
+                for channel, value in delta_of(kind, convert(output) if convert and output else output):
                     if channel in table:
                         writes.setdefault(channel, []).append(value)
             for channel, values in writes.items():
-                state[channel] = table[channel](state.get(channel), values)
-        digest = canonical_hash(state)
+                state.write(channel, table[channel](state.values.get(channel), values))
+        digest = state.hash(every)
         own = group[group._own] if chain else group
         if not target.sealed:
             label, reason = "OPEN", None
-        elif digest == target.final_state_hash:
-            label, reason, mismatched = "EXACT", None, []
+        elif isinstance(target.final_state_hash, str) and digest == target.final_state_hash:
+            label, reason, positions = "EXACT", None, []
         else:
             lacking = int(target.node_count) - len(own) if not pd.isna(target.node_count) else 0
-            label, reason = "GAP", gap or (f"{lacking} rows are missing" if lacking > 0 else "the state's hash is not the sealed one")
-        out = (target.namespace, target.workflow_id, target.run_id, json.dumps(state, sort_keys=True, ensure_ascii=False), digest, label, reason, mismatched, applied, filled)
+            why = ["the state's hash is not the sealed one" if isinstance(target.final_state_hash, str) else "the seal has no final hash"]
+            why += ["the run has no rows"] if not len(used) else []
+            why += [f"{lacking} rows are missing"] if lacking > 0 else []
+            if not positions and before is not None:
+                positions.append(f"a write is lost after step {int(before)}")
+            label, reason = "GAP", "; ".join(why)
+        shown = json.dumps(state.values, sort_keys=True, ensure_ascii=False)
+        out = (target.namespace, target.workflow_id, target.run_id, shown, digest, label, reason, positions, applied, filled)
         return pd.DataFrame([out], columns=columns)
 
     return (chain_rows(rows) if chain else rows).groupBy(*key).applyInPandas(one, FOLDED)

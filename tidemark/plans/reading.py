@@ -247,15 +247,68 @@ def mat2(spark, d):
     return nodes(spark, d).select(*NODE, delta.alias("delta"))
 
 
-@R.add("mat3_seed", sql("deltas", then=f"SELECT {_RUN}, item AS seed FROM deltas WHERE seq = 0"))
+@R.add("mat3_seed", sql("deltas", then=f"""
+SELECT {_RUN}, CASE WHEN bool_or(seq = 0) THEN '{{"items": ["' || any_value(item[:8]) FILTER (seq = 0) || '"], "last": ""}}' ELSE '{{}}' END AS state FROM deltas GROUP BY ALL"""))
 def mat3(spark, d):
-    return L.deltas(spark, d).where("seq = 0").select(*RUN, F.col("item").alias("seed"))
+    """The fold of runs whose rows write nothing: what is left is the snapshot of the first row, in known channels."""
+    rows = state_rows(spark, d).where("seq < 900").withColumn("kind", F.lit("INTERRUPT"))
+    item = F.get_json_object("output_json", "$.result.items[0]")
+    seeds = rows.withColumn("input_snapshot", F.when(F.col("seq") == 0, F.concat(F.lit('{"items":["'), item, F.lit('"],"last":"","unknown":0}'))))
+    return M.fold(seeds, {"items": "append", "last": "last"}).select(*RUN, "state")
 
 
-@R.add("mat4_superstep", sql("deltas", then=f"SELECT workflow_id, step, array_to_string(list(item ORDER BY path, run_id, seq), ',') AS vals FROM deltas GROUP BY ALL"))
+def one_batch(state, values):
+    """A reducer that shows what it was given at once."""
+    return [*(state or []), "+".join(v for value in values for v in value)]
+
+
+@R.add("mat4_superstep", sql("deltas", then=f"""
+, b AS (SELECT {_RUN}, step // 3 AS big, string_agg(item[:8], '+' ORDER BY path, seq) AS vals FROM deltas GROUP BY ALL)
+SELECT {_RUN}, '{{"items": ["' || string_agg(vals, '", "' ORDER BY big) || '"]}}' AS state FROM b GROUP BY ALL""").replace("\n\n, b AS", ",\nb AS"))
 def mat4(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("path", "run_id", "seq", "item")))
-    return L.deltas(spark, d).groupBy("workflow_id", "step").agg(F.array_join(F.transform(ordered, lambda s: s["item"]), ",").alias("vals"))
+    """Three turns to a step: all deltas of a step reach a channel in one update, ordered by path and seq."""
+    output = F.concat(F.lit('{"result":{"items":["'), F.left("item", F.lit(8)), F.lit('"]}}'))
+    about = {"run_rank": F.lit(1), "kind": F.lit("UPDATE"), "status": F.lit("COMMITTED"), "output_json": output, "sealed": F.lit(False), "node_count": F.lit(0), "step": F.floor(F.col("step") / 3).cast("int")}
+    rows = L.deltas(spark, d).withColumns(about | {c: F.lit(None).cast("string") for c in ("input_snapshot", "input_hash", "final_state_hash")})
+    return M.fold(rows, {"items": one_batch}).select(*RUN, "state")
+
+
+def input_rows(spark, d):
+    """Rows of nodes that read one channel each, with the hash of what they read worked out by windows; some hashes are
+    tampered with, and some runs lost a step."""
+    n, order = F.col("run_id").cast("bigint"), Window.partitionBy(*RUN).orderBy("step", "path", "seq")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    item = F.left("item", F.lit(8))
+    text = lambda w: F.concat(F.lit('"items":["'), F.array_join(F.concat(F.array(F.lit("seed")), F.collect_list(item).over(w)), '","'), F.lit('"]'))
+    last = lambda w: F.concat(F.lit('"last":"'), F.coalesce(F.last("path").over(w), F.lit("")), F.lit('"'))
+    read = F.sha2(F.concat(F.lit("{"), F.when(F.col("path") == "user", text(before)).otherwise(last(before)), F.lit("}")), 256)
+    roles = L.deltas(spark, d).withColumn("path", F.when(F.col("path") == "user", "user").otherwise("assistant"))
+    rows = roles.withColumns({"input_hash": read, "final_state_hash": F.sha2(F.concat(F.lit("{"), text(whole), F.lit(","), last(whole), F.lit("}")), 256)})
+    output = F.concat(F.lit('{"result":{"items":["'), item, F.lit('"],"last":"'), F.col("path"), F.lit('"}}'))
+    rows = rows.withColumns({
+        "input_hash": F.when((n + F.col("step")) % 5 == 3, "tampered").otherwise(F.col("input_hash")), "node": F.col("path"), "run_rank": F.lit(1), "kind": F.lit("UPDATE"), "status": F.lit("COMMITTED"),
+        "output_json": output, "input_snapshot": F.lit('{"items":["seed"],"last":""}'), "sealed": F.lit(True), "node_count": F.lit(0),
+        "final_state_hash": F.when(n % 4 != 1, F.col("final_state_hash")).otherwise("other"),
+    })
+    return rows.withColumn("input_snapshot", F.when(F.col("seq") == 0, F.col("input_snapshot"))).where(~((n % 6 == 2) & (F.col("step") == 2)))
+
+
+@R.add("mat5_input_hashes", sql("deltas", then=f"""
+, r AS (SELECT *, CAST(run_id AS BIGINT) AS num, CAST(run_id AS BIGINT) % 6 = 2 AND step = 2 AS lost, min(seq) OVER (PARTITION BY run_id) = 0 AS seeded FROM (SELECT * REPLACE (CASE WHEN path = 'user' THEN path ELSE 'assistant' END AS path) FROM deltas)),
+s AS (SELECT *, coalesce(string_agg(item[:8], ',') OVER w, '') AS all_items, coalesce(string_agg(CASE WHEN NOT lost THEN item[:8] END, ',') OVER w, '') AS kept_items,
+  coalesce(last_value(path) OVER w, '') AS all_last, coalesce(last_value(CASE WHEN NOT lost THEN path END IGNORE NULLS) OVER w, '') AS kept_last,
+  max(CASE WHEN NOT lost THEN step END) OVER w AS before, bool_or(lost) OVER (PARTITION BY run_id) AS short
+  FROM r WINDOW w AS (PARTITION BY run_id ORDER BY step, path, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, (num + step) % 5 = 3 OR CASE path WHEN 'user' THEN all_items <> kept_items ELSE all_last <> kept_last END AS differs FROM s WHERE NOT lost AND (short OR num % 4 = 1)),
+told AS (SELECT run_id, step, 0 AS o, 'step ' || step || ': input of ' || path || ' (' || path || ') differs' AS t FROM p WHERE differs
+  UNION ALL SELECT run_id, step, 1, 'no rows in steps ' || (before + 1) || ' to ' || (step - 1) FROM p WHERE step > before + 1),
+runs_ AS (SELECT {_RUN}, bool_or(num % 4 = 1) OR bool_or(lost) AS gap, max(step) FILTER (NOT lost) AS latest FROM r GROUP BY ALL),
+lists AS (SELECT run_id, string_agg(t, '; ' ORDER BY step, o) AS t FROM told GROUP BY ALL)
+SELECT {_RUN}, CASE WHEN gap THEN 'GAP' ELSE 'EXACT' END AS label, CASE WHEN NOT gap THEN '' ELSE coalesce(t, 'a write is lost after step ' || latest) END AS positions FROM runs_ LEFT JOIN lists USING (run_id)""").replace("\n\n, r AS", ",\nr AS"))
+def mat5(spark, d):
+    """Every input that does not match the fold, and every gap, of runs that are not EXACT."""
+    folded_ = M.fold(input_rows(spark, d), {"items": "append", "last": "last"}, inputs={"user": ["items"], "assistant": ["last"]})
+    return folded_.select(*RUN, "label", F.array_join("positions", "; ").alias("positions"))
 
 
 @R.add("mat6_label", _folded(f"SELECT {_RUN}, label, CASE WHEN label = 'GAP' THEN 'lost' END AS why FROM labelled"))
@@ -295,9 +348,11 @@ def win8(spark, d):
     return M.gaps(L.deltas(spark, d).where("step % 3 <> 1"))
 
 
-@R.add("agg13_kind_by_verdict", sql("nodes", then="""
-SELECT CASE WHEN json_extract_string(output_json, '$.langgraph_interrupts') IS NOT NULL THEN 'INTERRUPT' WHEN json_extract_string(output_json, '$.langgraph_command') IS NOT NULL THEN 'COMMAND' ELSE 'UPDATE' END AS kind,
- CAST(count(*) FILTER (status = 'COMMITTED') AS BIGINT) AS COMMITTED, CAST(count(*) FILTER (status = 'ABANDONED') AS BIGINT) AS ABANDONED, CAST(count(*) FILTER (status = 'PROVISIONAL') AS BIGINT) AS PROVISIONAL FROM nodes GROUP BY 1"""))
+@R.add("agg13_kind_by_verdict", _folded("""
+SELECT ['line', 'fan', 'loop', 'chain'][CAST(num % 4 + 1 AS INTEGER)] AS kind, count(*) FILTER (v = 'equal') AS equal, count(*) FILTER (v = 'gap') AS gap, count(*) FILTER (v = 'unequal') AS unequal, count(*) FILTER (v = 'open') AS open
+FROM (SELECT *, CASE label WHEN 'OPEN' THEN 'open' WHEN 'GAP' THEN 'gap' ELSE CASE WHEN num % 3 = 1 THEN 'unequal' ELSE 'equal' END END AS v FROM labelled) GROUP BY 1"""))
 def agg13(spark, d):
-    rows = nodes(spark, d).select(C.kind_of(F.col("output_json")).alias("kind"), "status")
-    return rows.groupBy("kind").pivot("status", ["COMMITTED", "ABANDONED", "PROVISIONAL"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Runs by the kind of their graph and the verdict on their fold."""
+    kind = F.element_at(F.array(*map(F.lit, ("line", "fan", "loop", "chain"))), (F.col("run_id").cast("bigint") % 4 + 1).cast("int"))
+    return mat9(spark, d).groupBy(kind.alias("kind")).pivot("verdict", ["equal", "gap", "unequal", "open"]).agg(F.count(F.lit(1))).na.fill(0)
+

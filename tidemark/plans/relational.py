@@ -225,11 +225,39 @@ def ben3(spark, d):
     return G.header_bytes(event.select(*RUN, fields.alias("fields")))
 
 
-@R.add("ben5_untraceable_numbers")
+def number_texts(spark, d):
+    """Reports that state a number of 0 to 6 places each, some with thousands, beside numbers that are quoted."""
+    n = F.col("o_orderkey")
+    places = (n % 7).cast("int")
+    digits = F.lpad((n * 31 % F.pow(F.lit(10), places).cast("bigint")).cast("string"), places, "0")
+    value = F.when(places == 0, (n % 3).cast("string")).otherwise(F.concat(F.lit("0."), digits))
+    large = F.when(n % 5 == 0, F.concat(F.lit(" of 1,0"), F.lpad((n % 20).cast("string"), 2, "0")))
+    text = F.concat(F.lit("Took "), value, F.lit(" s"), F.coalesce(large, F.lit("")), F.lit(" (see [run 7](x/9.9) `k=8` and <b id=5>r-6</b>)."))
+    return L.read(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+def number_sources(spark, d):
+    """JSON with a number of six places at some depth, and the keys 1000 to 1009."""
+    k = F.col("p_partkey") * 7919 % 100000 * 10 + 1
+    value = F.concat(F.floor(k / 1000000).cast("string"), F.lit("."), F.lpad((k % 1000000).cast("string"), 6, "0"))
+    return L.read(spark, d, "part").select(F.concat(F.lit('{"a":[true,{"v":'), value, F.lit('}],"'), (1000 + F.col("p_partkey") % 10).cast("string"), F.lit('":"3"}')).alias("json"))
+
+
+@R.add("ben5_untraceable_numbers", """
+WITH s AS (SELECT o_orderkey, o_orderkey % 7 AS places, o_orderkey * 31 % CAST(pow(10, o_orderkey % 7) AS BIGINT) AS m FROM orders),
+t AS (SELECT o_orderkey, places, CASE WHEN places = 0 THEN o_orderkey % 3 ELSE m END AS m FROM s UNION SELECT o_orderkey, 0, 1000 + o_orderkey % 20 FROM s WHERE o_orderkey % 5 = 0 UNION SELECT o_orderkey, 0, 7 FROM s),
+k AS (SELECT DISTINCT (p_partkey * 7919 % 100000) * 10 + 1 AS k FROM part),
+near AS (SELECT DISTINCT places, (k + 5 * CAST(pow(10, 5 - places) AS BIGINT)) // CAST(pow(10, 6 - places) AS BIGINT) AS m FROM k, (SELECT unnest(range(6)) AS places) UNION SELECT DISTINCT 6, k FROM k
+ UNION SELECT DISTINCT 0, 1000 + p_partkey % 10 FROM part)
+SELECT o_orderkey, CAST(m / pow(10, places) AS DOUBLE) AS number, CAST(places AS INTEGER) AS places FROM t WHERE (places, m) NOT IN (SELECT places, m FROM near)""")
 def ben5(spark, d):
-    stated = T.numbers(L.read(spark, d, "documents"), "doc_id", "text")
-    known = T.json_numbers(L.read(spark, d, "events"), "props")
-    return T.untraceable(stated, known)
+    return T.untraceable(T.numbers(number_texts(spark, d), "o_orderkey", "text"), T.json_numbers(number_sources(spark, d), "json"))
+
+
+@R.add("ben5_numbers_of_documents")
+def ben5_documents(spark, d):
+    """Numbers of all documents that the event properties do not know."""
+    return T.untraceable(T.numbers(L.read(spark, d, "documents"), "doc_id", "text"), T.json_numbers(L.read(spark, d, "events"), "props"))
 
 
 @R.add("ben5_json_numbers", "SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number FROM events")
