@@ -1,10 +1,11 @@
 """Language identification, word first: known words score by their log frequency in each language, unseen words back
 off to the longest of their character n-grams (4, 3, 2, 1) that are known.
 
-The model is fitted to a bounded sample of labelled rows: ``ROWS_PER_LANGUAGE`` rows of each language in expectation,
-chosen by a hash of doc_id at the rate that this needs. All words and n-grams of these rows enter the model, each with
-its counts in all languages. So the model that travels to the tasks is bounded by the sample (and has one column for
-each language), and prediction is one narrow pass over all whole texts. Words are told apart by 64 bits of a hash.
+The model is fitted to a bounded sample of labelled texts: at most ``ROWS_PER_LANGUAGE`` of each language, and
+``ROWS`` in all (but one of each language), those with the smallest hashes of their text; copies of a text count once.
+All words and n-grams of these texts enter the model, each with its counts in the languages that have it. So the model
+that travels to the tasks is bounded by the sample, however many languages there are, and prediction is one narrow pass
+over all whole texts. Words are told apart by 64 bits of a hash.
 ``lang``, ``source`` and ``doc_id`` never enter a prediction.
 
 Defined results: ``und`` with score 0 if the text is null or has no letters; also if nothing could be learned (no
@@ -22,19 +23,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import begin, durable, forget, sliced, unused
 
 UNKNOWN = "und"
-ROWS_PER_LANGUAGE = 2000
-#: Values of ``lang`` that a model may have; more are refused with an error.
-MOST_LANGUAGES = 1000
+#: Most texts of the sample, of one language and of all.
+ROWS_PER_LANGUAGE, ROWS = 2000, 100_000
 LONGEST = 4
 SMOOTH = 0.5
-#: Words whose scores a Python worker keeps.
-TABLE_SIZE = 300_000
+#: Words whose scores a Python worker keeps, and numbers that these scores may be.
+TABLE_SIZE, TABLE_NUMBERS = 300_000, 6_000_000
 #: A word counts as known if it, or an n-gram of so many characters (ends of the word included), was seen.
 EVIDENCE = 3
 #: Share of its words that a document of a known language must have known.
@@ -61,19 +61,31 @@ def _key(text: str) -> int:
 
 @dataclass
 class Table:
-    """Log frequencies of words or n-grams: sorted hashes, and one row of scores for each."""
+    """Log frequencies of words or n-grams by language: sorted hashes, for each of them the languages that have it and
+    their values (from ``starts[i]`` to ``starts[i + 1]``), and the value of languages that do not."""
 
     keys: np.ndarray
-    scores: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+    unseen: np.ndarray
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which texts are known, and the rows of those that are."""
+        """Which texts are known, and the scores in all languages of those that are."""
         wanted = np.fromiter(map(_key, texts), np.uint64, len(texts))
         if not len(self.keys):
-            return np.zeros(len(texts), bool), self.scores[:0]
+            return np.zeros(len(texts), bool), np.zeros((0, len(self.unseen)))
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         known = self.keys[at] == wanted
-        return known, self.scores[at[known]]
+        at = at[known]
+        scores = np.tile(self.unseen, (len(at), 1))
+        n = self.starts[at + 1] - self.starts[at]
+        entries = np.arange(int(n.sum())) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
+        scores[np.repeat(np.arange(len(at)), n), self.languages[entries]] = self.values[entries]
+        return known, scores
+
+
+_NOTHING = Table(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
 
 @dataclass
@@ -102,6 +114,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.size = max(1024, min(TABLE_SIZE, TABLE_NUMBERS // (len(model.languages) + 1)))
         self._empty()
 
     def _empty(self) -> None:
@@ -110,7 +123,7 @@ class Scorer:
 
     def _learn(self, found: list[str]) -> None:
         new = [w for w in dict.fromkeys(found) if w not in self.at]
-        if len(self.at) + len(new) > TABLE_SIZE and self.at:
+        if len(self.at) + len(new) > self.size and self.at:
             self._empty()
             new = list(dict.fromkeys(found))
         first = len(self.at)
@@ -123,17 +136,25 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, share of known words) of each text."""
         each, out = [words(t) for t in texts], []
-        if self.model.languages:
-            self._learn([w for found in each for w in found])
-        for found in each:
-            if not found or not self.model.languages:
-                out.append((UNKNOWN, 0.0, 0.0))
-                continue
-            total = self.rows[np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))].sum(axis=0)
-            scores = total[:-1]
-            best = int(scores.argmax())
-            out.append((self.model.languages[best], float(1.0 / np.exp(scores - scores[best]).sum()), float(total[-1] / len(found))))
-        return out
+        low = 0
+        while self.model.languages and low < len(each):  # as many texts at a time as the table has room for
+            high, n = low + 1, len(each[low])
+            while high < len(each) and n + len(each[high]) <= self.size:
+                n += len(each[high])
+                high += 1
+            self._learn([w for found in each[low:high] for w in found])
+            out += map(self._best, each[low:high])
+            low = high
+        return out or [(UNKNOWN, 0.0, 0.0)] * len(each)
+
+    def _best(self, found: list[str]) -> tuple[str, float, float]:
+        """(language, score, share of known words) of the words of a text, which the table knows."""
+        if not found:
+            return UNKNOWN, 0.0, 0.0
+        total = self.rows[np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))].sum(axis=0)
+        scores = total[:-1]
+        best = int(scores.argmax())
+        return self.model.languages[best], float(1.0 / np.exp(scores - scores[best]).sum()), float(total[-1] / len(found))
 
 
 def held_out(doc_id):
@@ -142,26 +163,39 @@ def held_out(doc_id):
 
 
 def _log_frequencies(counted: pa.Table, languages: list[str]) -> Table:
-    """From rows (key, lang, n): every key, with its counts in all languages."""
+    """From rows (key, lang, n): every key, with its counts in the languages that have it."""
     keys, at = np.unique(np.fromiter(map(_key, counted.column(0).to_pylist()), np.uint64, len(counted)), return_inverse=True)
     column = {name: i for i, name in enumerate(languages)}
-    counts = np.zeros((len(keys), len(languages)))
-    np.add.at(counts, (at, np.fromiter(map(column.__getitem__, counted.column(1).to_pylist()), np.int64, len(counted))), counted.column(2).to_numpy())
-    return Table(keys, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * max(1, len(keys)))))
+    cells, of = np.unique(at * len(languages) + np.fromiter(map(column.__getitem__, counted.column(1).to_pylist()), np.int64, len(counted)), return_inverse=True)
+    counts = np.bincount(of, counted.column(2).to_numpy(), len(cells))
+    row, lang = np.divmod(cells, len(languages))
+    whole = np.log(np.bincount(lang, counts, len(languages)) + SMOOTH * max(1, len(keys)))
+    return Table(keys, np.searchsorted(row, np.arange(len(keys) + 1)), lang, np.log(counts + SMOOTH) - whole[lang], np.log(SMOOTH) - whole)
+
 
+def labelled_sample(docs: DataFrame, rows_per_language: int, rows: int) -> tuple[DataFrame, list[str]]:
+    """``lang, text`` of the sample, and all languages.
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit to the labelled rows that are not held out."""
+    Texts are first thinned out by their hash, at the rate that the size of their language needs (rates are as many
+    numbers as the model has languages); then copies go, and of each language the smallest hashes stay.
+    """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    languages = sorted(sizes)  # the columns of the model
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return labelled.select("lang", "text"), []
+    most, steps = max(1, min(rows_per_language, rows // len(sizes))), 1 << 40
+    rates = docs.sparkSession.createDataFrame([(name, int(min(1.0, (2 * most + 20) / n) * steps)) for name, n in sizes.items()], "lang string, rate long")
+    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(steps)))
+    thin = hashed.join(F.broadcast(rates), "lang").where(F.col("h") < F.col("rate")).dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("h")
+    return thin.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("lang", "text"), sorted(sizes)
+
+
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS) -> Model:
+    """Fit to the labelled texts that are not held out."""
+    sample, languages = labelled_sample(docs, rows_per_language, rows)  # languages are the columns of the model
     if not languages:
-        return Model([], Table(np.zeros(0, np.uint64), np.zeros((0, 0))), Table(np.zeros(0, np.uint64), np.zeros((0, 0))))
-    steps = 1 << 30
-    rate = F.create_map(*(F.lit(x) for name in languages for x in (name, int(min(1.0, rows_per_language / sizes[name]) * steps))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < rate[F.col("lang")]).select("lang", "text")
+        return Model([], _NOTHING, _NOTHING)
 
     def counts(found: Counter, name: str) -> pa.RecordBatch:
         keys = list(found)
