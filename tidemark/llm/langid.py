@@ -69,6 +69,20 @@ class Table:
     languages: np.ndarray
     values: np.ndarray
     unseen: np.ndarray
+    whole: np.ndarray | None = None
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """Scores of keys in all languages."""
+        scores = np.tile(self.unseen, (len(at), 1))
+        n = self.starts[at + 1] - self.starts[at]
+        entries = np.arange(int(n.sum())) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
+        scores[np.repeat(np.arange(len(at)), n), self.languages[entries]] = self.values[entries]
+        return scores
+
+    def spread(self) -> None:
+        """In a worker: keep all rows, if they are no more than ``TABLE_NUMBERS`` numbers, which finds them faster."""
+        if self.whole is None and len(self.keys) * len(self.unseen) <= TABLE_NUMBERS:
+            self.whole = self.rows(np.arange(len(self.keys)))
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which texts are known, and the scores in all languages of those that are."""
@@ -77,12 +91,7 @@ class Table:
             return np.zeros(len(texts), bool), np.zeros((0, len(self.unseen)))
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         known = self.keys[at] == wanted
-        at = at[known]
-        scores = np.tile(self.unseen, (len(at), 1))
-        n = self.starts[at + 1] - self.starts[at]
-        entries = np.arange(int(n.sum())) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
-        scores[np.repeat(np.arange(len(at)), n), self.languages[entries]] = self.values[entries]
-        return known, scores
+        return known, self.rows(at[known]) if self.whole is None else self.whole[at[known]]
 
 
 _NOTHING = Table(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -114,6 +123,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        model.words.spread()
+        model.grams.spread()
         self.size = max(1024, min(TABLE_SIZE, TABLE_NUMBERS // (len(model.languages) + 1)))
         self._empty()
 
