@@ -51,13 +51,6 @@ def task_path(parts: Column) -> Column:
     return F.concat(F.lit("~"), F.array_join(padded, ", "))
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """The percentile by nearest rank with a half-even index, of an aggregate of values; rounded to 3 places."""
-    ordered = F.array_sort(F.collect_list(values))
-    at = F.bround(F.lit(percent / 100) * (F.size(ordered) - 1), 0).cast("int") + 1
-    return F.round(F.element_at(ordered, at), 3)
-
-
 def sorted_ids(ids: Column) -> Column:
     """Ids for a header: sorted and distinct; null (not sent) if there are none."""
     clean = F.array_sort(F.array_distinct(ids))
