@@ -9,21 +9,47 @@ from tidemark.functions import columns as C
 from tidemark.model import NODE, RUN
 
 
-def running_bytes(events: DataFrame) -> DataFrame:
-    """Events with the bytes of their run's history so far, and the nodes scheduled before them."""
-    order = Window.partitionBy(*RUN).orderBy("event_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumns(
-        {
-            "history_bytes": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "nodes_before": F.coalesce(F.count_if(F.col("event_type") == "SCHEDULED").over(before), F.lit(0)),
-        }
-    )
-
-
-def limit_crossed(events: DataFrame, limit: int) -> DataFrame:
-    """The first event of each run with which its history exceeds a limit, and the nodes scheduled before it."""
-    over = running_bytes(events).where(F.col("history_bytes") > limit)
+#: Event ids to a block; a run is summed by blocks first, so no task holds the events of more than one block.
+BLOCK = 4096
+
+
+def _blocks(events: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Events with the block of their id (those without an id come first, in a block of their own), and for each block
+    of a run its bytes and scheduled nodes, and those of the blocks before it."""
+    numbered = events.withColumn("_block", F.coalesce(F.floor(F.col("event_id") / F.lit(block)), F.lit(-(1 << 62))))
+    sums = numbered.groupBy(*RUN, "_block").agg(F.sum("size").alias("_bytes"), F.count_if(F.col("event_type") == "SCHEDULED").alias("_nodes"))
+    before = Window.partitionBy(*RUN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = {"_bytes_before": F.sum("_bytes").over(before), "_nodes_before": F.coalesce(F.sum("_nodes").over(before), F.lit(0))}
+    return numbered, sums.withColumns(earlier)
+
+
+def _inside(numbered: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Running bytes and nodes of the events that lie in the given blocks."""
+    order = Window.partitionBy(*RUN, "_block").orderBy("event_id")
+    both = numbered.join(blocks.select(*RUN, "_block", "_bytes_before", "_nodes_before"), [*RUN, "_block"])
+    bytes_, nodes = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.count_if(F.col("event_type") == "SCHEDULED").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = both.withColumns({"_bytes_here": bytes_, "_nodes_here": F.coalesce(nodes, F.lit(0))})
+    total = F.coalesce(F.col("_bytes_before") + F.col("_bytes_here"), "_bytes_before", "_bytes_here")
+    return out.withColumns({"history_bytes": total, "nodes_before": F.col("_nodes_before") + F.col("_nodes_here")}).drop("_block", "_bytes_before", "_nodes_before", "_bytes_here", "_nodes_here")
+
+
+def running_bytes(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Events with the bytes of their run's history so far, and the nodes scheduled before them.
+
+    Sums by block of event ids run along a run, and sums by event inside a block: a run with a third of all events is
+    spread over its blocks. Events of one run with the same id stand in any order. Run keys are not null.
+    """
+    return _inside(*_blocks(events, block))
+
+
+def limit_crossed(events: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
+    """The first event of each run with which its history exceeds a limit, and the nodes scheduled before it. Sizes are
+    not negative, so only the events of the first block that ends beyond the limit are looked at."""
+    numbered, blocks = _blocks(events, block)
+    upto = F.coalesce("_bytes_before", F.lit(0)) + F.coalesce("_bytes", F.lit(0))
+    carried = F.struct("_block", "_bytes_before", "_nodes_before")
+    first = blocks.where(upto > limit).groupBy(*RUN).agg(F.min_by(carried, "_block").alias("_first")).select(*RUN, "_first.*")
+    over = _inside(numbered, first).where(F.col("history_bytes") > limit)
     return over.groupBy(*RUN).agg(F.min("event_id").alias("event_id"), F.min_by("nodes_before", "event_id").alias("nodes"))
 
 
