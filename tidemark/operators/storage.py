@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -136,23 +137,113 @@ def retrieve(manifests_: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("claim", F.when(problem.isNull(), F.col("data")).alias("data"), problem.alias("problem"))
 
 
+def fetch(manifests_: DataFrame, chunks: DataFrame, delimiter: str = "") -> DataFrame:
+    """``claim, data``: texts put together from their chunks through the manifests; chunks that are missing are left out,
+    and nothing is checked (``retrieve`` checks)."""
+    wanted = manifests_.select("claim", F.posexplode("chunks").alias("position", "hash"))
+    joined = F.expr(f"listagg(data, '{delimiter}') WITHIN GROUP (ORDER BY position)")
+    return wanted.join(chunks.select("hash", F.col("data").cast("string").alias("data")), "hash").groupBy("claim").agg(joined.alias("data"))
+
+
 def externalize(payloads: DataFrame, threshold: int) -> DataFrame:
     """Payloads that go to the store: those of at least ``threshold`` bytes, so a payload of exactly the threshold goes."""
     return payloads.where(F.octet_length("data") >= threshold)
 
 
 def metrics(log: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counters of a store log: stores, dedupe hits, logical and unique bytes, payloads cut and kept whole."""
-    total = log.agg(
+    """Counters of a log that is put into an empty store: see ``_counters``."""
+    met = log.groupBy("claim").agg(*_seen())
+    unique = distinct_chunks(chunks).select("size")
+    return _counters(met.withColumn("fresh", F.lit(True)), unique)
+
+
+def _seen() -> list[Column]:
+    """What a log says of a claim."""
+    return [
         F.count("*").alias("stores"),
-        (F.count("*") - F.count_distinct("claim")).alias("dedupe_hits"),
-        F.sum(F.octet_length("data")).cast("bigint").alias("logical_bytes"),
-        F.count_distinct(F.when(~F.col("encoding").isin(*CHUNKED), F.col("claim"))).alias("opaque"),
-    )
-    unique = distinct_chunks(chunks).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("unique_bytes"))
-    names = {"stores": 0, "dedupe_hits": 0, "logical_bytes": 0, "opaque": 0, "unique_bytes": 0}
-    rows = total.withColumn("unique_bytes", F.lit(0).cast("bigint")).unionByName(unique.withColumns({n: F.lit(0).cast("bigint") for n in names if n != "unique_bytes"}))
-    return rows.agg(*(F.sum(n).alias(n) for n in names))
+        F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).cast("bigint").alias("bytes"),
+        F.min_by("encoding", "id").alias("encoding"),
+        F.min("created_at").alias("created_at"),
+        F.max("last_ref_at").alias("last_ref_at"),
+    ]
+
+
+def _counters(met: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: payloads handed over, those that the store (or an earlier row) had, bytes handed over, bytes of new
+    chunks, bytes that needed none, and payloads kept whole. ``new`` holds the sizes of new chunks."""
+    long = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    whole = F.col("fresh") & ~F.coalesce(F.col("encoding").isin(*CHUNKED), F.lit(False))
+    of_log = met.select("stores", (F.col("stores") - F.col("fresh").cast("int")).alias("dedupe_hits"), F.col("bytes").alias("logical_bytes"), whole.cast("int").alias("opaque"), F.lit(0).alias("unique_bytes"))
+    rows = of_log.unionAll(new.select(F.lit(0), F.lit(0), F.lit(0), F.lit(0), "size"))
+    total = rows.agg(*(long(F.sum(c)).alias(c) for c in of_log.columns))
+    return total.withColumn("deduped_bytes", F.col("logical_bytes") - F.col("unique_bytes"))
+
+
+@dataclass(frozen=True)
+class Put:
+    """The store after a put, and what the put did: ``cut`` holds the chunks of payloads that the store lacked, ``deltas``
+    how much more often a chunk is listed by manifests, ``counters`` one row (see ``_counters``)."""
+
+    refs: DataFrame
+    payloads: DataFrame
+    chunks: DataFrame
+    cut: DataFrame
+    deltas: DataFrame
+    counters: DataFrame
+
+
+def put(log: DataFrame, refs: DataFrame, payloads: DataFrame, chunks: DataFrame, cutter: Callable[[DataFrame], DataFrame] = cut) -> Put:
+    """Put ``log(id, claim, data, encoding, namespace, workflow_id, run_id, created_at, last_ref_at)`` into a store.
+
+    Claims meet the stored manifests before anything is cut: a known payload adds a reference and touches its manifest
+    and chunks, and its bytes are neither cut nor shuffled when the unknown claims are few. These are written first, so
+    Spark knows their size when it chooses between a broadcast and a shuffle. Rows of one claim hold the same data; the
+    row of the smallest ``id`` gives the encoding. An empty log changes nothing.
+    """
+    stored = payloads.select("claim", F.lit(True).alias("_stored"))
+    met = written(log.groupBy("claim").agg(*_seen()).join(stored, "claim", "left").withColumn("fresh", F.col("_stored").isNull()).drop("_stored"))
+    fresh, hits = met.where("fresh"), met.where("NOT fresh").select("claim", F.col("last_ref_at").alias("_at"))
+    lacking = written(fresh.select("claim", "encoding"))
+    data = log.select("claim", "data").join(lacking.select("claim"), "claim", "left_semi").groupBy("claim").agg(F.any_value("data").alias("data"))
+    parts = written(cutter(data.join(lacking, "claim")))
+
+    of_fresh = fresh.select("claim", "encoding", "created_at", "last_ref_at")
+    lists = manifests(parts).join(of_fresh, "claim").withColumn("deduped", F.coalesce(F.col("encoding").isin(*CHUNKED), F.lit(False)))
+    bumped = payloads.join(hits, "claim", "left").withColumn("last_ref_at", F.greatest("last_ref_at", "_at")).drop("_at")
+    after = bumped.unionByName(lists.select(*[c for c in lists.columns if c in payloads.columns]), allowMissingColumns=True)
+
+    new = written(parts.groupBy("hash").agg(F.first("size").alias("size")).join(chunks.select("hash"), "hash", "left_anti"))
+    again = payloads.select("claim", "chunks").join(hits, "claim").select(F.explode("chunks").alias("hash"), F.col("_at").alias("last_ref_at"))
+    seen = parts.select("claim", "hash").join(of_fresh, "claim").select("hash", "created_at", "last_ref_at").unionByName(again, allowMissingColumns=True)
+    seen = written(seen.groupBy("hash").agg(F.min("created_at").alias("_made"), F.max("last_ref_at").alias("_at")))
+    touched_ = chunks.join(seen.select("hash", "_at"), "hash", "left").withColumn("last_ref_at", F.greatest("last_ref_at", "_at")).drop("_at")
+    rows = distinct_chunks(parts.join(new.select("hash"), "hash", "left_semi")).join(seen, "hash").withColumnsRenamed({"_made": "created_at", "_at": "last_ref_at"})
+    rows = touched_.unionByName(rows.select(*[c for c in rows.columns if c in chunks.columns]), allowMissingColumns=True)
+    all_refs = refs.select("claim", *RUN, "created_at", "last_ref_at").unionByName(log.select("claim", *RUN, "created_at", "last_ref_at"))
+    return Put(references(all_refs), after, rows, parts, count_deltas(lists), _counters(met, new.select("size")))
+
+
+def run_bytes(refs: DataFrame, payloads: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each run: its payloads, their bytes stored whole, and the bytes of their distinct chunks.
+
+    A run has what refers to it and what refers to its workflow without a run (the input it was started with). What both
+    have counts once: bytes of the run, and of the workflow, less those that they share, so nothing is copied to the runs
+    of a workflow.
+    """
+    owned = refs.select("claim", *RUN).distinct().join(payloads.select("claim", "chunks", F.col("size").alias("_whole")), "claim")
+    whole = owned.select(*RUN, F.lit("payload").alias("what"), F.col("claim").cast("binary").alias("item"), F.col("_whole").cast("bigint").alias("size"))
+    listed = owned.select(*RUN, F.explode(F.array_distinct("chunks")).alias("hash")).distinct().join(chunks.select("hash", "size"), "hash")
+    items = whole.unionAll(listed.select(*RUN, F.lit("chunk"), F.col("hash").cast("binary"), F.col("size").cast("bigint")))
+    flow = ["namespace", "workflow_id"]
+    common = items.where("run_id = ''").select(*flow, "what", "item", F.lit(True).alias("_shared"))
+    both = items.join(common, [*flow, "what", "item"], "left")
+    own = (F.col("run_id") == "") | F.col("_shared").isNull()  # a run's own items, the workflow's in its row without a run
+    of = lambda what, value: F.coalesce(F.sum(F.when(own & (F.col("what") == what), value)), F.lit(0)).cast("bigint")
+    sums = both.groupBy(*RUN).agg(of("payload", F.lit(1)).alias("payloads"), of("payload", F.col("size")).alias("whole_bytes"), of("chunk", F.col("size")).alias("unique_bytes"))
+    names = ("payloads", "whole_bytes", "unique_bytes")
+    start = sums.where("run_id = ''").select(*flow, *(F.col(n).alias(f"_{n}") for n in names))
+    more = F.when(F.col("run_id") == "", F.lit(0))
+    return sums.join(start, flow, "left").select(*RUN, *((F.col(n) + F.coalesce(more, F.col(f"_{n}"), F.lit(0))).alias(n) for n in names))
 
 
 # --- collection -----------------------------------------------------------------------------------------------------
@@ -213,6 +304,22 @@ def dead_chunks(chunks: DataFrame, payloads: DataFrame, dead: DataFrame, touched
     return chunks.where(F.col("last_ref_at") < touched_before).join(live, "hash", "left_anti")
 
 
+def count_deltas(lists: DataFrame, sign: int = 1) -> DataFrame:
+    """``hash, delta``: how many of these manifests list a chunk; with ``sign=-1`` they go."""
+    return lists.select(F.explode(F.array_distinct("chunks")).alias("hash")).groupBy("hash").agg((F.count("*") * sign).alias("delta"))
+
+
+def counted(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """``hash, listed`` after the deltas; chunks that nothing lists stay, with 0, until a sweep takes them."""
+    both = counts.select("hash", "listed").unionAll(deltas.select("hash", "delta"))
+    return both.groupBy("hash").agg(F.sum("listed").alias("listed"))
+
+
+def unlisted_chunks(chunks: DataFrame, counts: DataFrame, touched_before: Column) -> DataFrame:
+    """Chunks untouched since the grace that are counted 0 times. A chunk without a count is not judged: it stays."""
+    return chunks.where(F.col("last_ref_at") < touched_before).join(counts.where("listed <= 0").select("hash"), "hash", "left_semi")
+
+
 @dataclass(frozen=True)
 class Times:
     """When a sweep that starts at ``now`` lets things go: untouched since ``touched_before``, made and closed before
@@ -230,28 +337,41 @@ class Times:
 
 @dataclass(frozen=True)
 class Swept:
-    """What a sweep leaves, and ``report``: one row of counts of what it takes."""
+    """What a sweep leaves, and ``report``: one row of counts of what it takes. ``lost`` are the chunks that go (``hash,
+    size``), ``counts`` the reference counts after the sweep, if it was given some."""
 
     refs: DataFrame
     payloads: DataFrame
     chunks: DataFrame
     report: DataFrame
+    lost: DataFrame
+    counts: DataFrame | None = None
 
 
-def sweep(refs: DataFrame, payloads: DataFrame, chunks: DataFrame, states: DataFrame, touched_before: Column, cutoff: Column, orphan_cutoff: Column, namespace: str = "default", orphans: bool = True, only: list[str] | None = None) -> Swept:
+def sweep(refs: DataFrame, payloads: DataFrame, chunks: DataFrame, states: DataFrame, touched_before: Column, cutoff: Column, orphan_cutoff: Column, namespace: str = "default", orphans: bool = True, only: list[str] | None = None, counts: DataFrame | None = None) -> Swept:
     """References of expired workflows go, then payloads that nothing refers to, then chunks that no payload lists.
 
     What goes is written once, so the report of a dry run, which leaves the tables as they are, is that of the sweep.
     With ``only``, references of these workflows may go and no others, orphans included.
+
+    With ``counts(hash, listed)``, kept by every put and sweep of the store, only the lists of payloads that go are
+    opened; without, those of all payloads that stay.
     """
     verdicts = workflow_verdicts(refs, states, cutoff, namespace, only)
     gone = written(expired_refs(refs, verdicts, touched_before, cutoff, orphan_cutoff, orphans and only is None))
     dead = written(dead_manifests(payloads, refs, gone, touched_before).select("claim"))
-    lost = written(dead_chunks(chunks, payloads, dead, touched_before).select("hash", "size"))
+    if counts is None:
+        unlisted = dead_chunks(chunks, payloads, dead, touched_before)
+    else:
+        counts = written(counted(counts, count_deltas(payloads.join(dead, "claim", "left_semi"), -1)))
+        unlisted = unlisted_chunks(chunks, counts, touched_before)
+    lost = written(unlisted.select("hash", "size"))
     tagged = gone.select(F.when(F.col("workflow_id") == "", "orphan").otherwise("ref").alias("what"), F.lit(0).cast("long").alias("size"))
     tagged = tagged.unionAll(dead.select(F.lit("manifest"), F.lit(0).cast("long"))).unionAll(lost.select(F.lit("chunk"), F.col("size").cast("long")))
     count = lambda what, name: F.count_if(F.col("what") == what).alias(name)
     names = {"ref": "refs_expired", "orphan": "orphan_refs_expired", "manifest": "manifests_deleted", "chunk": "chunks_deleted"}
     report = tagged.agg(*(count(w, n) for w, n in names.items()), F.coalesce(F.sum("size"), F.lit(0)).alias("chunk_bytes_deleted"))
     key = ["claim", *RUN]
-    return Swept(refs.join(gone.select(*key), key, "left_anti"), payloads.join(dead, "claim", "left_anti"), chunks.join(lost.select("hash"), "hash", "left_anti"), report)
+    left = counts.join(lost.select("hash"), "hash", "left_anti") if counts is not None else None
+    stay = (refs.join(gone.select(*key), key, "left_anti"), payloads.join(dead, "claim", "left_anti"), chunks.join(lost.select("hash"), "hash", "left_anti"))
+    return Swept(*stay, report, lost, left)

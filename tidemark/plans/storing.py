@@ -1,5 +1,7 @@
 """Chunk storage and its collection."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.model import RUN
@@ -134,19 +136,88 @@ def sto6(spark, d):
     return refs(spark, d)
 
 
-@R.add("sto7_metrics", _sql("""
-SELECT (SELECT count(*) FROM payload_log) AS stores, (SELECT count(*) - count(DISTINCT sha256(data)) FROM payload_log) AS dedupe_hits,
- (SELECT CAST(sum(octet_length(encode(data))) AS BIGINT) FROM payload_log) AS logical_bytes, (SELECT count(DISTINCT sha256(data)) FROM payload_log WHERE encoding <> 'json/plain') AS opaque,
- (SELECT CAST(sum(size) AS BIGINT) FROM uniq) AS unique_bytes"""))
+_TOTALS = """SELECT CAST(sum(stores) AS BIGINT) AS stores, CAST(sum(stores) - count(*) FILTER (fresh) AS BIGINT) AS dedupe_hits, CAST(sum(bytes) AS BIGINT) AS logical_bytes,
+ count(*) FILTER (fresh AND encoding <> 'json/plain') AS opaque, {unique} AS unique_bytes, CAST(sum(bytes) AS BIGINT) - {unique} AS deduped_bytes FROM met"""
+
+
+@R.add("sto7_metrics", _sql("@@").replace("\n@@", """
+, met AS (SELECT sha256(data) AS claim, count(*) AS stores, sum(octet_length(encode(data))) AS bytes, arg_min(encoding, id) AS encoding, true AS fresh FROM payload_log GROUP BY 1)
+""" + _TOTALS.format(unique="(SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM uniq)")))
 def sto7(spark, d):
     return S.metrics(L.payloads(spark, d).withColumn("claim", F.sha2("data", 256)), chunks(spark, d))
 
 
+_EARLY = "TIMESTAMP '2024-01-15'"
+#: The store after two puts: payloads of the first days, then the whole log.
+_PUTS = f"""
+early AS (SELECT sha256(data) AS claim, arg_min(encoding, id) AS encoding, min(created_at) AS created_at, max(last_ref_at) AS seen_at FROM payload_log WHERE created_at < {_EARLY} GROUP BY 1),
+met AS (SELECT sha256(data) AS claim, any_value(data) AS data, count(*) AS stores, sum(octet_length(encode(data))) AS bytes, arg_min(encoding, id) AS encoding, min(created_at) AS created_at, max(last_ref_at) AS seen_at,
+  sha256(data) NOT IN (SELECT claim FROM early) AS fresh FROM payload_log GROUP BY 1),
+held AS (SELECT m.claim, m.data, coalesce(e.encoding, m.encoding) AS encoding, coalesce(e.created_at, m.created_at) AS created_at, m.seen_at, m.fresh FROM met m LEFT JOIN early e USING (claim)),
+pieces AS (SELECT *, unnest(range(CASE WHEN encoding = 'json/plain' THEN greatest(1, CAST(ceil(length(data) / {L.CHUNK}.0) AS INTEGER)) ELSE 1 END)) AS position FROM held),
+listed AS (SELECT claim, position, created_at, seen_at, fresh, CASE WHEN encoding = 'json/plain' THEN substring(data, CAST(position * {L.CHUNK} + 1 AS BIGINT), {L.CHUNK}) ELSE data END AS part FROM pieces),
+kept AS (SELECT sha256(part) AS hash, CAST(any_value(octet_length(encode(part))) AS BIGINT) AS size, min(created_at) FILTER (NOT fresh) AS made_early, min(created_at) AS made, max(seen_at) AS last_ref_at, bool_and(fresh) AS new, count(DISTINCT claim) AS listed FROM listed GROUP BY 1)"""
+
+
+def _puts(then: str) -> str:
+    return sql("payload_log", then="@@").replace("\n@@", f",{_PUTS}\n{then}")
+
+
+def two_puts(spark, d):
+    """The whole log put into a store that has the payloads of its first days. ``counts`` are kept along."""
+    log = L.payloads(spark, d).withColumn("claim", F.sha2("data", 256))
+    cutter = lambda rows: S.cut_fixed(rows, L.CHUNK)
+    when = log.schema["created_at"].dataType.simpleString()
+    empty = lambda fields: spark.createDataFrame([], f"{fields}, created_at {when}, last_ref_at {when}")
+    first = S.put(
+        log.where(F.col("created_at") < _at(_EARLY)),
+        empty("claim string, namespace string, workflow_id string, run_id string"),
+        empty("claim string, chunks array<string>, size bigint, encoding string, deduped boolean"),
+        empty("hash string, data string, size bigint"),
+        cutter,
+    )
+    held = [written(t) for t in (first.refs, first.payloads, first.chunks)]
+    second = S.put(log, *held, cutter)
+    none = spark.createDataFrame([], "hash string, listed long")
+    return second, S.counted(S.counted(none, first.deltas), second.deltas)
+
+
+@R.add("sto2_put_again", _puts("""
+SELECT m.claim, array_to_string(list(sha256(l.part) ORDER BY l.position), ',') AS chunks, any_value(CAST(octet_length(encode(m.data)) AS BIGINT)) AS size, any_value(m.encoding) AS encoding, any_value(m.encoding = 'json/plain') AS deduped,
+ any_value(m.created_at) AS created_at, any_value(m.seen_at) AS last_ref_at FROM held m JOIN listed l USING (claim) GROUP BY 1"""))
+def sto2_again(spark, d):
+    """Manifests after both puts: known payloads are touched, the others cut."""
+    return two_puts(spark, d)[0].payloads.withColumn("chunks", F.array_join("chunks", ","))
+
+
+@R.add("sto2_cut_by_second_put", _puts("SELECT count(*) AS chunks, count(DISTINCT claim) AS payloads FROM listed WHERE fresh"))
+def sto2_cut(spark, d):
+    """What the second put had to cut: payloads that the first one had not seen."""
+    return two_puts(spark, d)[0].cut.agg(F.count("*").alias("chunks"), F.count_distinct("claim").alias("payloads"))
+
+
+@R.add("sto4_chunks_after_puts", _puts("SELECT hash, size, CASE WHEN new THEN made ELSE made_early END AS created_at, last_ref_at, listed FROM kept"))
+def sto4_chunks(spark, d):
+    """Chunks after both puts, touched by every payload that lists them, with their reference counts."""
+    second, counts = two_puts(spark, d)
+    return second.chunks.drop("data").join(counts, "hash")
+
+
+@R.add("sto7_counters_of_put", _puts(_TOTALS.format(unique="(SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM kept WHERE new)")))
+def sto7_put(spark, d):
+    return two_puts(spark, d)[0].counters
+
+
 @R.add("sto8_dedupe_by_run", _sql("""
-SELECT namespace, workflow_id, run_id, CAST(sum(size) AS BIGINT) AS unique_bytes FROM (SELECT DISTINCT namespace, workflow_id, run_id, hash, size FROM refs JOIN (SELECT claim, hash, size FROM chunk) USING (claim)) GROUP BY ALL"""))
+SELECT namespace, workflow_id, run_id, payloads, whole_bytes, unique_bytes, round(whole_bytes / nullif(unique_bytes, 0), 3) AS ratio FROM (
+ SELECT namespace, workflow_id, run_id, (SELECT count(*) FROM (SELECT DISTINCT claim FROM refs WHERE namespace = r.namespace AND workflow_id = r.workflow_id AND run_id IN (r.run_id, ''))) AS payloads,
+  (SELECT CAST(coalesce(sum(octet_length(encode(data))), 0) AS BIGINT) FROM (SELECT DISTINCT claim, data FROM refs JOIN stored USING (claim) WHERE namespace = r.namespace AND workflow_id = r.workflow_id AND run_id IN (r.run_id, ''))) AS whole_bytes,
+  (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM (SELECT DISTINCT hash, size FROM refs JOIN chunk USING (claim) WHERE namespace = r.namespace AND workflow_id = r.workflow_id AND run_id IN (r.run_id, ''))) AS unique_bytes
+ FROM (SELECT DISTINCT namespace, workflow_id, run_id FROM refs) r)"""))
 def sto8(spark, d):
-    pairs = refs(spark, d).select(*RUN, "claim").join(chunks(spark, d).select("claim", "hash", "size"), "claim").select(*RUN, "hash", "size").distinct()
-    return pairs.groupBy(*RUN).agg(F.sum("size").alias("unique_bytes"))
+    """Bytes of each run stored whole and as chunks."""
+    stats = S.run_bytes(refs(spark, d), payloads(spark, d), chunk_table(spark, d))
+    return stats.withColumn("ratio", F.round(F.col("whole_bytes") / F.nullif(F.col("unique_bytes"), F.lit(0)), 3))
 
 
 @R.add("join4_payload_refs", _sql("SELECT DISTINCT s.claim FROM stored s JOIN refs r USING (claim) WHERE r.run_id IN ('3', '')"))
@@ -157,8 +228,9 @@ def join4(spark, d):
 
 @R.add("join5_chunk_fetch", _sql("SELECT claim, array_to_string(list(data ORDER BY position), '|') AS data FROM chunk GROUP BY 1"))
 def join5(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("position", "data")))
-    return chunks(spark, d).groupBy("claim").agg(F.array_join(F.transform(ordered, lambda s: s["data"]), "|").alias("data"))
+    """Texts through their manifests: lists are exploded, meet the distinct chunks by hash and are joined in order."""
+    cut = chunks(spark, d)
+    return S.fetch(S.manifests(cut), S.distinct_chunks(cut), "|")
 
 
 @R.add("agg10_distinct_chunk_bytes", _sql("SELECT count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes FROM uniq"))
@@ -191,6 +263,36 @@ def gc4(spark, d):
     return dead_chunks(spark, d).select("hash", "size")
 
 
+#: Times of three sweeps in a row.
+_SWEEPS = tuple({"touched": f"TIMESTAMP '{a}'", "cutoff": f"TIMESTAMP '{b}'", "orphan": f"TIMESTAMP '{c}'"} for a, b, c in (
+    ("2024-01-20", "2024-01-12", "2024-01-10"), ("2024-02-01", "2024-01-20", "2024-01-15"), ("2024-02-08", "2024-01-25", "2024-01-20")))
+
+
+def _three() -> str:
+    """Dead chunks as of each time, from the tables as they were: what may go at one time may go at all later ones."""
+
+    def one(number: int, t: dict[str, str]) -> str:
+        at = {_TOUCHED: t["touched"], _CUTOFF: t["cutoff"], _ORPHAN: t["orphan"]}
+        text = re.sub("|".join(at), lambda m: at[m.group()], f"{_VERDICTS},{_SWEEP}")  # all at once: the times overlap
+        return re.sub(r"\b(verdicts|gone|live|deadm|cseen|deadc|ids)\b", rf"\1_{number}", text)
+
+    dead = " UNION ALL ".join(f"SELECT *, {i} AS sweep FROM deadc_{i}" for i in (1, 2, 3))
+    return ",".join(one(i, t) for i, t in enumerate(_SWEEPS, 1)) + f"\nSELECT hash, any_value(size) AS size, CAST(min(sweep) AS INTEGER) AS sweep FROM ({dead}) GROUP BY 1"
+
+
+@R.add("gc4_three_sweeps", sql("payload_log", "states", then="@@").replace("\n@@", f",{_STORE},{_three()}"))
+def gc4_sweeps(spark, d):
+    """Chunks by the sweep that takes them, by reference counts: each sweep opens the lists of payloads that go."""
+    tables, states = [written(refs(spark, d)), written(payloads(spark, d)), written(chunk_table(spark, d))], L.workflow_states(spark, d)
+    counts = S.count_deltas(tables[1]).withColumnRenamed("delta", "listed")
+    taken = []
+    for number, t in enumerate(_SWEEPS, 1):
+        left = S.sweep(*tables, states, _at(t["touched"]), _at(t["cutoff"]), _at(t["orphan"]), counts=counts)
+        tables, counts = [left.refs, left.payloads, left.chunks], left.counts
+        taken.append(left.lost.withColumn("sweep", F.lit(number)))
+    return taken[0].unionAll(taken[1]).unionAll(taken[2])
+
+
 @R.add("gc5_dry_run", _sql("""
 SELECT (SELECT count(*) FROM gone WHERE workflow_id <> '') AS refs_expired, (SELECT count(*) FROM gone WHERE workflow_id = '') AS orphan_refs_expired, (SELECT count(*) FROM deadm) AS manifests_deleted,
  (SELECT count(*) FROM deadc) AS chunks_deleted, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM deadc) AS chunk_bytes_deleted""", True))
