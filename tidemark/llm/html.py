@@ -8,8 +8,10 @@ of readers are lines like all others.
 1. The ratio of a line is its characters outside links over its tags. Ratios are smoothed over neighbouring lines by a
    Gaussian; lines that reach half the mean form the clusters.
 2. The content region is the element that the clusters point to: the ``article`` or ``main`` that holds at least half
-   of the clustered text, else the innermost container that holds four fifths of it. If that is the whole body, the
-   region is the run of lines from the first cluster to the last one.
+   of the clustered text, else the innermost container that holds half of the clusters, by the mean of its shares of
+   their characters and of their lines. A ``section`` beside others that hold clusters stands for all of them: then the
+   region is what they lie in. If that is the whole body, the region is the run of lines from the first cluster to the
+   last one.
 3. All lines of the region are content, so a short paragraph between long ones is kept, but for those in an element
    inside the region that is named as boilerplate (``nav``, ``footer``, a class ``comments``, ...). Headings of the
    first two ranks right before the region belong to it.
@@ -64,8 +66,8 @@ SIGMA = 1.5
 KERNEL = np.exp(-0.5 * (np.arange(-4, 5) / SIGMA) ** 2)
 #: Weight of a line in ``article`` or ``main``; that of a doubtful one is the inverse.
 WEIGHT = 16.0
-#: Shares of the clustered text that an article, or another container, must hold to be the region.
-ARTICLE_SHARE, CONTAINER_SHARE = 0.5, 0.8
+#: Shares of the clusters that an article, or another container, must hold to be the region.
+ARTICLE_SHARE, CONTAINER_SHARE = 0.5, 0.5
 
 
 @dataclass(frozen=True)
@@ -212,16 +214,21 @@ def content(page: Lines, cluster=clusters) -> list[str]:
         sizes = np.array([len(x.text) for x in lines], float)
     sizes *= weight
     chosen = cluster(sizes, np.array([x.tags for x in lines]))
-    mass = [0.0] * len(kind)
-    for line, size in zip(lines, np.where(chosen, sizes, 0.0).tolist()):
+    mass, many = [0.0] * len(kind), [0] * len(kind)
+    for line, size, hit in zip(lines, np.where(chosen, sizes, 0.0).tolist(), chosen.tolist()):
         mass[line.element] += size
+        many[line.element] += hit
     for e in range(len(kind) - 1, 0, -1):
         mass[parent[e]] += mass[e]
+        many[parent[e]] += many[e]
     articles = [e for e, m in enumerate(mass) if kind[e] in REGIONS and m >= ARTICLE_SHARE * mass[0]]
     if articles:
         region = max(articles, key=lambda e: (kind[e] == "article", mass[e], e))
     else:
-        region = max(e for e, m in enumerate(mass) if kind[e] in CONTAINERS and m >= CONTAINER_SHARE * mass[0])
+        region = max(e for e, m in enumerate(mass) if kind[e] in CONTAINERS and (m / mass[0] + many[e] / many[0]) / 2 >= CONTAINER_SHARE)
+        beside = {parent[e] for e, n in enumerate(many) if n and e != region and kind[e] == "section" and not doubt[e]}
+        while kind[region] == "section" and parent[region] in beside:
+            region = parent[region]
     within, pruned = [False] * len(kind), [False] * len(kind)
     within[region] = True
     for e in range(region + 1, len(kind)):
