@@ -5,7 +5,7 @@ once for each distinct word it meets. Tasks read at least ``TASK_BYTES`` of inpu
 few words are folded by several tasks. One narrow pass over the documents, without a shuffle, in three steps:
 
 1. Python splits the texts and numbers the distinct words of the task; a row carries the numbers of its words, and the
-   bytes of those words that come up for the first time, as ids of single-byte tokens;
+   bytes of those words that come up for the first time, as ids of single-byte tokens with the ranks of their pairs;
 2. ``merged`` folds the merges of the new words in the JVM: the state is the array of token ids with the rank of each
    neighbouring pair; every step joins the leftmost pair of least rank and looks up the two pairs that this makes. Ranks
    come from a literal map of pairs: a hash table without collisions, in two literal arrays;
@@ -43,9 +43,20 @@ from tidemark.llm.runtime import sliced
 TASK_BYTES = 64 << 20
 #: Bytes of the longest word that the fold merges.
 LONG_WORD = 100
-NONE = 2**31 - 1
 #: A pair of ids is one number: the left one shifted by this, plus the right one.
 ID_BITS = 17
+#: No token, and the id of the ends of a word.
+EDGE = (1 << ID_BITS) - 1
+#: The rank of a pair that forms no token, above all others.
+NO_RANK = 1 << ID_BITS
+#: Bits of a place in a word that the fold merges.
+PLACE_BITS = 7
+#: A slot without a pair, above all that have one.
+EMPTY = 1 << 3 * ID_BITS
+#: Place and id.
+OWN = (1 << PLACE_BITS + ID_BITS) - 1
+#: What stands at either end of a word; its place stays above 0, whatever is merged before it.
+END = NO_RANK << PLACE_BITS + ID_BITS | OWN
 GROUPS = 1 << 15
 
 
@@ -83,8 +94,8 @@ def pair_table(path: str) -> tuple[int, list[int], list[int]]:
     """The pairs as a hash table without collisions: (multiplier, shift of each group of pairs, slots). A slot holds pair
     and rank as one number, plus one; 0 is empty. A pair's slot is its hash plus the shift of its group."""
     pairs = pair_ranks(read_ranks(path))
-    if max(read_ranks(path).values(), default=0) >= 1 << ID_BITS:
-        raise ValueError(f"ids must be below {1 << ID_BITS}")
+    if max(read_ranks(path).values(), default=0) >= EDGE:
+        raise ValueError(f"ids must be below {EDGE}")
     size = 1 << max(4, (2 * len(pairs)).bit_length())
     rng = random.Random(1)
     while True:
@@ -111,12 +122,12 @@ def _slot(pair: int, times: int, shift: int, size: int) -> int:
     return ((pair * times >> 20) + shift) % size
 
 
-def rank_literal(path: str) -> tuple[Column, int]:
-    """The table as a literal (arrays out of one string each, which Catalyst folds), and its multiplier. Bounded by the
-    vocabulary."""
+def rank_literal(path: str) -> tuple[Column, int, int]:
+    """The table as a literal (arrays out of one string each, which Catalyst folds), its multiplier and its size. Bounded
+    by the vocabulary."""
     times, shifts, slots = pair_table(path)
     numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    return F.struct(numbers(shifts).alias("shifts"), numbers(slots).alias("slots"), F.lit(len(slots)).cast("long").alias("size")), times
+    return F.struct(numbers(shifts).alias("shifts"), numbers(s - 1 if s else EMPTY for s in slots).alias("slots")), times, len(slots)
 
 
 def let(value: Column, body) -> Column:
@@ -124,40 +135,40 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def merged(word: Column, table: Column, times: int) -> Column:
-    """Token ids of one word (``array<int>``, single-byte tokens): the fold of ranked merges."""
-    long = lambda n: F.lit(n).cast("long")
+def merged(word: Column, table: Column, times: int, size: int) -> Column:
+    """The fold of ranked merges of one word, of the state that ``Splitter.starts`` gives it; ids are the lowest bits.
 
-    def rank(left: Column, right: Column) -> Column:
-        def look(pair: Column) -> Column:
-            group = (F.shiftright(pair * long(40503), 5) % long(GROUPS)).cast("int")
-            at = (F.shiftright(pair * long(times), 20) + F.element_at(table["shifts"], group + 1)) % table["size"]
-            entry = F.element_at(table["slots"], at.cast("int") + 1) - 1
-            return let(entry, lambda e: F.when(F.shiftright(e, ID_BITS) == pair, (e % long(1 << ID_BITS)).cast("int")).otherwise(F.lit(NONE)))
+    The state is one array: a number for each token, of the rank of the pair that it begins (``NO_RANK`` if none), its
+    place in the array, and its id, from the highest bits to the lowest. So the least number is the leftmost pair of least
+    rank, and says where it is. A token that forms no pair stands at either end.
+    """
+    long = lambda n: F.lit(n).cast("long")
 
-        return let(left.cast("long") * long(1 << ID_BITS) + right, look)
+    def ranked(x: Column) -> Column:
+        """The number of a token, of its place, its id and the id of the next."""
+        pair = x.bitwiseAND(long((1 << 2 * ID_BITS) - 1))
+        group = F.shiftright(x * long(40503), 5).bitwiseAND(long(GROUPS - 1))  # of the lowest bits alone
+        at = (F.shiftright(pair * long(times), 20) + F.get(table["shifts"], group)).bitwiseAND(long(size - 1))
+        found = F.get(table["slots"], at).bitwiseXOR(F.shiftleft(pair, ID_BITS))  # the rank alone, if the slot has the pair
+        return F.shiftleft(F.least(found, long(NO_RANK)), PLACE_BITS + ID_BITS) + F.shiftright(x, ID_BITS)
 
     def step(state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-        none = F.array().cast("array<int>")
-
         def join(low: Column) -> Column:
+            new = F.shiftright(low, PLACE_BITS + ID_BITS)
+
             def at(i: Column) -> Column:
-                left = F.when(i > 1, F.array(rank(F.element_at(ids, i - 1), low))).otherwise(none)
-                right = F.when(i + 1 < F.size(ids), F.array(rank(low, F.element_at(ids, i + 2)))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), i - 1), F.array(low), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(ids))).alias("ranks"),
-                )
+                before = F.shiftleft(F.get(state, i - 1).bitwiseAND(long(OWN)), ID_BITS) + new
+                joined = F.shiftleft(low.bitwiseAND(long(OWN - EDGE)) + new, ID_BITS) + F.get(state, i + 2).bitwiseAND(long(EDGE))
+                rest = F.transform(F.slice(state, i + 3, F.size(state)), lambda x: x - long(1 << ID_BITS))  # one place to the left
+                return F.flatten(F.array(F.slice(state, F.lit(1), i - 1), F.transform(F.array(before, joined), ranked), rest))
 
-            return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(ranks, low).cast("int"), at))
+            here = F.shiftright(low, ID_BITS).bitwiseAND(long(OWN >> ID_BITS)).cast("int")
+            return F.when(low >= long(NO_RANK << PLACE_BITS + ID_BITS), state).otherwise(let(here, at))
 
-        return let(F.array_min(ranks), join)
+        return let(F.array_min(state), join)
 
-    turns = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    start = F.transform(turns, lambda i: rank(F.element_at(word, i), F.element_at(word, i + 1)))
-    folded = F.aggregate(turns, F.struct(word.alias("ids"), start.alias("ranks")), step)["ids"]
-    return F.when(F.size(word) < 2, word).when(F.element_at(word, 1) < 0, F.slice(word, F.lit(2), F.size(word))).otherwise(folded)
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(word) - 3), word, step)
+    return F.when(F.size(word) < 2, word).when(F.element_at(word, 1) < 0, F.slice(word, F.lit(2), F.size(word))).otherwise(F.slice(folded, F.lit(2), F.size(folded) - 2))
 
 
 def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
@@ -233,7 +244,9 @@ class Splitter:
             self.odd = regex.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in zip(cuts, cuts[1:])) + "]")
         self.plain = plain_pattern(pattern)
         self.pairs: dict[int, int] = {}
-        self.bytes = np.array([ranks.get(bytes([i]), NONE) for i in range(256)], np.int32)
+        self.bytes = np.array([ranks.get(bytes([i]), EDGE) for i in range(256)], np.int64)
+        #: Ranks of the pairs of single bytes.
+        self.first = np.array([[ranks.get(bytes([i, j]), NO_RANK) for j in range(256)] for i in range(256)], np.int64)
 
     def words(self, text: str | None) -> list[str]:
         if not text:
@@ -245,23 +258,29 @@ class Splitter:
         return self.pattern.findall(text)
 
     def starts(self, words: list[str]) -> pa.ListArray:
-        """What the fold starts from, for each word: the ids of single bytes, or the id of a word that is a token, or -1
+        """What the fold starts from, for each word: its state of single bytes, or the id of a word that is a token, or -1
         and the final ids of a long word."""
         each = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        whole = np.fromiter((self.ranks.get(w, -1) for w in each), np.int32, len(each))
-        flat = self.bytes[np.frombuffer(b"".join(each), np.uint8)]
-        ends = np.cumsum(sizes)
-        keep, at = np.ones(len(flat), bool), np.flatnonzero(whole >= 0)
-        flat[ends[at] - sizes[at]] = whole[at]  # a token keeps its first place only
-        keep[np.repeat(whole >= 0, sizes)] = False
-        keep[ends[at] - sizes[at]] = True
-        flat, sizes = flat[keep], np.where(whole >= 0, 1, sizes)
-        if (sizes > LONG_WORD).any():
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        whole = np.fromiter((self.ranks.get(w, -1) for w in each), np.int64, len(each))
+        raw = np.frombuffer(b"".join(each), np.uint8)
+        ends = np.cumsum(n)
+        rank = np.full(len(raw), NO_RANK, np.int64)
+        rank[:-1] = self.first[raw[:-1], raw[1:]]
+        rank[ends - 1] = NO_RANK
+        place = np.arange(len(raw)) - np.repeat(ends - n, n) + 1
+        sizes = np.where(whole >= 0, 1, n + 2)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.full(int(sizes.sum()), END, np.int64)
+        folds = np.repeat(whole < 0, n)
+        flat[(np.repeat(starts, n) + place)[folds]] = (rank << PLACE_BITS + ID_BITS | place << ID_BITS | self.bytes[raw])[folds]
+        flat[starts[whole >= 0]] = whole[whole >= 0]
+        long = sizes > LONG_WORD + 2
+        if long.any():
             self.pairs = self.pairs or pair_ranks(self.ranks)
-            parts = [[-1, *merge_long(p.tolist(), self.pairs)] if len(p) > LONG_WORD else p for p in np.split(flat, np.cumsum(sizes)[:-1])]
-            flat, sizes = np.concatenate([np.asarray(p, np.int32) for p in parts]), np.array([len(p) for p in parts])
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
+            parts = [[-1, *merge_long(self.bytes[np.frombuffer(w, np.uint8)].tolist(), self.pairs)] if x else p for w, x, p in zip(each, long, np.split(flat, starts[1:]))]
+            flat, sizes = np.concatenate([np.asarray(p, np.int64) for p in parts]), np.array([len(p) for p in parts])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int64()))
 
 
 class Words:
@@ -327,7 +346,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         table = Words()
         for batch in batches:
             lists = batch.column(2)
-            table.add(lists.flatten().flatten().to_numpy(zero_copy_only=False), lists.flatten().value_lengths().to_numpy(zero_copy_only=False))
+            table.add(lists.flatten().flatten().to_numpy(zero_copy_only=False) & EDGE, lists.flatten().value_lengths().to_numpy(zero_copy_only=False))
             for part in sliced([batch], "words"):
                 ids = [table.text(np.frombuffer(w, "<i4")).astype("<u4") for w in part.column(1).to_pylist()]
                 if not digest:
@@ -337,9 +356,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    literal, times = rank_literal(path)
-    numbered = coalesced(docs.select("doc_id", "text")).mapInArrow(number, "doc_id long, words binary, new array<array<int>>")
-    ids = let(literal, lambda t: F.transform("new", lambda w: merged(w, t, times)))
+    literal, times, size = rank_literal(path)
+    numbered = coalesced(docs.select("doc_id", "text")).mapInArrow(number, "doc_id long, words binary, new array<array<bigint>>")
+    ids = let(literal, lambda t: F.transform("new", lambda w: merged(w, t, times, size)))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
     return numbered.select("doc_id", "words", ids.alias("new")).mapInArrow(assemble, schema)
 
