@@ -45,6 +45,8 @@ BANDS, ROWS = 10, 3
 ALIKE = (4, 5)
 #: Texts of a meeting that is verified pair by pair; in larger ones the same links are found by rounds of centres.
 SMALL = 16
+#: Meetings of a text that are listed, so that a pair is made in the first only and not in all that it shares.
+FIRST = 32
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -158,17 +160,31 @@ def centres(large: DataFrame) -> DataFrame:
     return large.groupBy("key").agg(F.min_by("doc_id", F.struct("size", "doc_id")).alias("centre"))
 
 
+def _told_apart(small: DataFrame) -> DataFrame:
+    """``small`` with ``main``, the root that most texts of the meeting have, and ``before``: which meetings with lower
+    keys the text has, of its ``FIRST`` lowest."""
+    by = Window.partitionBy("doc_id").orderBy("key")
+    lowest = F.collect_list(F.when(F.col("_n") <= FIRST, F.col("key"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    listed = small.withColumn("_n", F.row_number().over(by)).withColumn("before", lowest)
+    return listed.join(small.groupBy("key").agg(F.mode("root", True).alias("main")), "key")
+
+
 def pairs(meetings: DataFrame, most: int) -> DataFrame:
     """``a, b, star``: all pairs of meetings of up to ``most`` that are not linked, and each document of a larger one
     with its centre. Two texts share no more of the centre they came from than either has of it (``inside``), and no
-    more outside than either has in common with any (``common``); pairs for which that is too little are left out."""
+    more outside than either has in common with any (``common``); pairs for which that is too little are left out.
+
+    One text of a pair at least has not the root that most of its meeting have, so only such texts are held against the
+    others. Texts that have many meetings in common are a pair in the first of them alone, of those listed: a pair is
+    left out only where both list a meeting before that they share, and the first that they share is never left out."""
     small, large = meetings.where(F.col("n") <= most), meetings.where(F.col("n") > most)
-    one, other = (small.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "root", "size", "inside", "common"))) for side in "ab")
+    told = _told_apart(small)
+    one, other = (told.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "root", "main", "size", "inside", "common", "before"))) for side in "ab")
     could = F.least("inside_a", "inside_b") + F.least("common_a", "common_b")
     fits = could * (ALIKE[0] + ALIKE[1]) >= (F.col("size_a") + F.col("size_b")) * ALIKE[0]
     star = large.join(centres(large), "key").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star"))
-    pair = one.join(other, "key").where("doc_id_a > doc_id_b AND root_a <> root_b").where(fits)
-    return pair.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.lit(False).alias("star")).unionAll(star)
+    pair = one.where("root_a <> main_a").join(other, "key").where("root_a <> root_b AND (root_b = main_b OR doc_id_a > doc_id_b)").where(fits).where(~F.arrays_overlap("before_a", "before_b"))
+    return pair.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"), F.lit(False).alias("star")).unionAll(star)
 
 
 def _rooted(meetings: DataFrame, roots: DataFrame) -> DataFrame:
