@@ -25,3 +25,10 @@ def test_fold_does_not_search(spark):
     """``array_position`` leaves its loop by an exception; each step takes the place from the state."""
     docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
     assert "array_position" not in bytebpe.encode(docs)._jdf.queryExecution().analyzed().toString()
+
+
+def test_fold_is_computed_once(spark):
+    """Interpreted expressions are not shared: a fold that is named twice in the plan is computed twice for each word."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    plan = bytebpe.encode(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1

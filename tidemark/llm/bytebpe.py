@@ -131,8 +131,9 @@ def rank_literal(path: str) -> tuple[Column, int, int]:
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
+    """``body(value)``, an array, with ``value`` computed once. Not by an index into the outer array: for each row that
+    derives its type anew from the whole of ``body``."""
+    return F.flatten(F.transform(F.array(value), body))
 
 
 def merged(word: Column, table: Column, times: int, size: int) -> Column:
@@ -155,20 +156,17 @@ def merged(word: Column, table: Column, times: int, size: int) -> Column:
     def step(state: Column, _: Column) -> Column:
         def join(low: Column) -> Column:
             new = F.shiftright(low, PLACE_BITS + ID_BITS)
-
-            def at(i: Column) -> Column:
-                before = F.shiftleft(F.get(state, i - 1).bitwiseAND(long(OWN)), ID_BITS) + new
-                joined = F.shiftleft(low.bitwiseAND(long(OWN - EDGE)) + new, ID_BITS) + F.get(state, i + 2).bitwiseAND(long(EDGE))
-                rest = F.transform(F.slice(state, i + 3, F.size(state)), lambda x: x - long(1 << ID_BITS))  # one place to the left
-                return F.flatten(F.array(F.slice(state, F.lit(1), i - 1), F.transform(F.array(before, joined), ranked), rest))
-
-            here = F.shiftright(low, ID_BITS).bitwiseAND(long(OWN >> ID_BITS)).cast("int")
-            return F.when(low >= long(NO_RANK << PLACE_BITS + ID_BITS), state).otherwise(let(here, at))
+            i = F.shiftright(low, ID_BITS).bitwiseAND(long(OWN >> ID_BITS)).cast("int")
+            before = F.shiftleft(F.get(state, i - 1).bitwiseAND(long(OWN)), ID_BITS) + new
+            joined = F.shiftleft(low.bitwiseAND(long(OWN - EDGE)) + new, ID_BITS) + F.get(state, i + 2).bitwiseAND(long(EDGE))
+            rest = F.transform(F.slice(state, i + 3, F.size(state)), lambda x: x - long(1 << ID_BITS))  # one place to the left
+            parts = F.array(F.slice(state, F.lit(1), i - 1), F.transform(F.array(before, joined), ranked), rest)
+            return F.when(low >= long(NO_RANK << PLACE_BITS + ID_BITS), state).otherwise(F.flatten(parts))
 
         return let(F.array_min(state), join)
 
     folded = F.aggregate(F.sequence(F.lit(1), F.size(word) - 3), word, step)
-    return F.when(F.size(word) < 2, word).when(F.element_at(word, 1) < 0, F.slice(word, F.lit(2), F.size(word))).otherwise(F.slice(folded, F.lit(2), F.size(folded) - 2))
+    return F.when(F.size(word) < 2, word).when(F.element_at(word, 1) < 0, F.slice(word, F.lit(2), F.size(word))).otherwise(let(folded, lambda x: F.slice(x, F.lit(2), F.size(x) - 2)))
 
 
 def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
