@@ -10,7 +10,12 @@ Every candidate lies in one block, every query in one group of the stated query
 a group, is a task's unit of work, so neither the queries of a block nor the blocks of a query pile up in one task.
 Tiles carry vectors in the width of the column (lossless, 4 bytes for floats), because what survives the bounds is
 recomputed inside the tile: where a third of all vectors are alike, the surviving pairs of a query have no bound, but
-the heap that leaves the tile has. Block and group sizes grow with the table up to a fixed bound.
+the heap that leaves the tile has. A table is dealt into as many tiles as tasks can share, in the proportion that copies
+the fewest bytes; blocks and groups have a bound of rows and bytes.
+
+Every block is sent to all groups and every group to all blocks. The copies are made one at a time, and joined by
+shuffle: an exploded row's copies are held at once by generated code, and the copies of a small file, taken for small
+themselves, would be built in the driver as a broadcast (2.8 GB for 720,000 vectors and 400 shuffle partitions).
 
 Vectors are scaled by a power of two to components below one, which changes no bit of a cosine, so components as large
 as 1e200 or as small as 1e-200 neither overflow nor vanish.
@@ -35,8 +40,11 @@ from tidemark.llm.runtime import durable, forget
 
 K = 5
 EVERY = 50
-LEAST_GROUP, MOST_GROUP = 1024, 8192
+LEAST_GROUP, MOST_GROUP = 1024, 65_536
 LEAST_BLOCK, MOST_BLOCK = 1024, 65_536
+#: Bytes of vectors in a group or block, and products that a tile is worth (where the table has so many).
+MOST_BYTES = 16 << 20
+LEAST_TILE = 1 << 25
 MERGE_QUERIES = 32
 #: Products of this many 8-bit components are exact in single precision.
 EXACT_DIMS = 1000
@@ -128,21 +136,34 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     whole = F.col("embedding").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & whole).select("vec_id", "embedding", F.size("embedding").alias("dim"), is_query.alias("asks"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = lambda n, least, most: -(-max(1, n) // min(most, max(least, n // (2 * tasks))))
-    blocks, groups = parts(sizes["n"], LEAST_BLOCK, MOST_BLOCK), parts(sizes["q"], LEAST_GROUP, MOST_GROUP)
+    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+    size = lambda test: (F.count_if(test), F.coalesce(F.sum(F.when(test, F.col("dim").cast("long"))), F.lit(0)))
+    n, dims, q, q_dims = rows.agg(*size(F.lit(True)), *size(F.col("asks"))).first()
+    tiles = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, n * q // LEAST_TILE))
+    parts = lambda n, dims, least, most, wanted: max(1, -(-n // min(most, max(least, n // max(1, wanted)))), -(-dims * int(kind[-1]) // MOST_BYTES))
+    blocks = parts(n, dims, LEAST_BLOCK, MOST_BLOCK, round((tiles * n / max(1, q)) ** 0.5))
+    groups = parts(q, q_dims, LEAST_GROUP, MOST_GROUP, -(-tiles // blocks))
 
     def packed(some: DataFrame, count: int) -> DataFrame:
-        """Rows dealt evenly, however often a vec_id is repeated."""
+        """Rows dealt evenly, however often a vec_id is repeated; a file holds few blocks, which readers take at once."""
         part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(count)).cast("int")
-        return durable(some.select("vec_id", "embedding", "dim", part.alias("part")).groupBy("dim", "part").applyInArrow(_pack, PACKED))
+        dealt = some.select("vec_id", "embedding", "dim", part.alias("part")).repartition(count, "dim", "part")
+        return durable(dealt.groupBy("dim", "part").applyInArrow(_pack, PACKED))
+
+    def copied(some: DataFrame, count: int, names: str) -> DataFrame:
+        """Each row once for each part of the other side."""
+
+        def copies(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    for other in range(count):
+                        yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([other], pa.int32())], [x.split()[0] for x in names.split(", ")])
+
+        return some.mapInArrow(copies, names)
 
     candidates, queries = packed(rows, blocks), packed(rows.where("asks"), groups)
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = candidates.select("dim", F.col("part").alias("block"), every(groups, "group"), "ids", "data")
-    right = queries.select("dim", F.col("part").alias("group"), every(blocks, "block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+    left = copied(candidates, groups, "dim int, block int, ids binary, data binary, group int")
+    right = copied(queries, blocks, "dim int, group int, q_ids binary, q_data binary, block int")
     found = "query_id long, score double, vec_id long"
 
     def multiply(batches):
@@ -154,11 +175,11 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 kinds = (pa.int64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in best], t) for j, t in enumerate(kinds)], ["query_id", "score", "vec_id"])
 
-    tiles = left.join(right, ["dim", "block", "group"]).select("dim", "ids", "data", "q_ids", "q_data")
-    partial = durable(tiles.mapInArrow(multiply, found))
+    pairs = left.join(right.hint("merge"), ["dim", "block", "group"]).select("dim", "ids", "data", "q_ids", "q_data")
+    partial = durable(pairs.mapInArrow(multiply, found))
     forget(candidates)
     forget(queries)
-    merges = -(-max(1, sizes["q"]) // MERGE_QUERIES)
+    merges = -(-max(1, q) // MERGE_QUERIES)
 
     def merge(group: pa.Table) -> pa.Table:
         heaps: dict[int, list] = {}
