@@ -96,6 +96,5 @@ def eff1_stream(spark, d):
 @R.add("src2_stream_history", sql("hist", then="SELECT * FROM hist"))
 def src2_stream(spark, d):
     """Histories tailed as a stream, nodes kept in a snapshot: the rows of ``his1_project``."""
-    jobs.use_rocksdb(spark)
     path = f"{jobs.shared_dir(spark)}/{spark.sparkContext.applicationId}/history-{uuid.uuid4().hex}"
     return history.project_stream(L.history_of(event_stream(spark, d)), f"{path}/nodes", f"{path}/checkpoint")

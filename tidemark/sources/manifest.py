@@ -56,6 +56,10 @@ class Manifest:
         """A folder that no version names yet, for a new part called ``name``."""
         return f"{name}/{uuid.uuid4().hex}"
 
+    def folders(self, name: str) -> list[str]:
+        """Names of the folders in a part."""
+        return sorted(s.getPath().getName() for s in self._files().listStatus(self._at(name)) if s.isDirectory())
+
     def commit(self, parts: dict[str, str], number: int | None = None, about: dict[str, str] | None = None) -> Version:
         """Make ``parts`` (with all that earlier versions named and these do not) the last version."""
         old = self.read()
