@@ -7,7 +7,7 @@ largest seen so far, so both questions have a closed form: a running maximum, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -36,6 +36,17 @@ def snapshot(attempts: DataFrame, columns: list[str] | None = None) -> DataFrame
     return best.select(*NODE, *(F.col("row")[c].alias(c) for c in kept))
 
 
+def of_node() -> WindowSpec:
+    """All attempts of a node, in order of arrival: the window by which ``classify`` sorts."""
+    return Window.partitionBy(*NODE).orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def with_row(log: DataFrame, columns: list[str]) -> DataFrame:
+    """``log`` with ``row``: of each attempt's node the row that stands, as ``snapshot`` gives it. The log must hold all
+    attempts; it is neither shuffled nor sorted again after ``classify``."""
+    return log.withColumn("row", F.max_by(F.struct(*columns), C.fence()).over(of_node()))
+
+
 def upsert(attempts: DataFrame, sealed_runs: DataFrame | None = None) -> DataFrame:
     """Rows after all writes of a batch without status changes: overwritten columns are those of the largest fence,
     the others those of the first arrival, ``input_snapshot`` the last one that is not null. Writes to sealed runs

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.model import NODE, RUN
+from tidemark.operators import fence
 
 
 def _with_row(log: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
@@ -14,6 +15,11 @@ def _with_row(log: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     return log.join(row, NODE)
 
 
+def _wasted(scheduled_at: str, attempt: str) -> Column:
+    """Whether an attempt's fence is not that of the row."""
+    return C.distinct_from(C.fence(), F.struct(F.col(scheduled_at).alias("fence_scheduled_at"), F.col(attempt).alias("attempt")))
+
+
 def retry_waste(log: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each COMMITTED node what its other attempts spent: those written or fenced out whose fence is not the row's.
 
@@ -21,7 +27,7 @@ def retry_waste(log: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     tried = log.where(F.col("outcome").isin("WROTE", "FENCED_OUT")).select(*NODE, "fence_scheduled_at", "attempt", "tokens_in", "tokens_out", "cost_usd")
     both = _with_row(tried, nodes.where("status = 'COMMITTED'"), "node")
-    wasted = C.distinct_from(C.fence(), F.struct(F.col("row_fence_scheduled_at").alias("fence_scheduled_at"), F.col("row_attempt").alias("attempt")))
+    wasted = _wasted("row_fence_scheduled_at", "row_attempt")
     return both.groupBy(*NODE, "node").agg(
         F.count_if(wasted).alias("wasted_attempts"),
         F.coalesce(F.sum(F.when(wasted, C.tokens())), F.lit(0)).cast("bigint").alias("wasted_tokens"),
@@ -56,11 +62,12 @@ def timeline(nodes: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(runs: DataFrame, nodes: DataFrame, waste: DataFrame, effects: DataFrame) -> DataFrame:
-    """One row for each run: status, rows by status, spend, waste, effects. Each part is an aggregate by run before it
-    is joined, so all joins are one row to one row."""
+_SUMMARY = ("rows", "committed", "provisional", "abandoned", "tokens_in", "tokens_out", "retry_waste_tokens", "effects", "duplicate_effects_prevented")
+
+
+def _by_run(nodes: DataFrame, *more: Column) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s)
-    by_run = nodes.groupBy(*RUN).agg(
+    return nodes.groupBy(*RUN).agg(
         F.count("seq").alias("rows"),
         count("COMMITTED").alias("committed"),
         count("PROVISIONAL").alias("provisional"),
@@ -68,12 +75,43 @@ def run_summary(runs: DataFrame, nodes: DataFrame, waste: DataFrame, effects: Da
         F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
         F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
         F.sum("cost_usd").alias("cost_usd"),
+        *more,
     )
+
+
+def run_summary(runs: DataFrame, nodes: DataFrame, waste: DataFrame, effects: DataFrame) -> DataFrame:
+    """One row for each run: status, rows by status, spend, waste, effects. Each part is an aggregate by run before it
+    is joined, so all joins are one row to one row."""
     wasted = waste.groupBy(*RUN).agg(F.sum("wasted_tokens").alias("retry_waste_tokens"))
     effect = effects.groupBy(*RUN).agg(F.count("*").alias("effects"), F.sum("duplicates_prevented").alias("duplicate_effects_prevented"))
-    out = runs.join(by_run, RUN, "left").join(wasted, RUN, "left").join(effect, RUN, "left")
-    zeros = ["rows", "committed", "provisional", "abandoned", "tokens_in", "tokens_out", "retry_waste_tokens", "effects", "duplicate_effects_prevented"]
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in zeros})
+    out = runs.join(_by_run(nodes), RUN, "left").join(wasted, RUN, "left").join(effect, RUN, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in _SUMMARY})
+
+
+def log_summary(runs: DataFrame, log: DataFrame) -> DataFrame:
+    """``run_summary`` out of the log alone, in one pass over it.
+
+    ``log``: classified attempts with ``row`` (``fence.with_row``: fence, status, tokens_in, tokens_out, cost_usd). If
+    they have a column ``duplicates_prevented``, each attempt has one effect, and these are counted too. The log is
+    sorted once by node; dealt by run, as ``runs``, neither is shuffled again.
+    """
+    tried = F.col("outcome").isin("WROTE", "FENCED_OUT")
+    spent = F.when((F.col("row.status") == "COMMITTED") & tried & _wasted("row.fence_scheduled_at", "row.attempt"), C.tokens())
+    numbers = {"_wasted": F.sum(spent)}
+    sums = [F.sum("_wasted").alias("retry_waste_tokens")]
+    if "duplicates_prevented" in log.columns:
+        numbers |= {"_effects": F.count("*"), "_prevented": F.sum("duplicates_prevented")}
+        sums += [F.sum("_effects").alias("effects"), F.sum("_prevented").alias("duplicate_effects_prevented")]
+    by_run = _by_run(_one_each(log, numbers), *sums)
+    out = runs.join(by_run, RUN, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in _SUMMARY if c in by_run.columns})
+
+
+def _one_each(log: DataFrame, numbers: dict[str, Column]) -> DataFrame:
+    """One row for each node of a log with ``row``: its key, the row's columns, and aggregates of its attempts."""
+    place = F.row_number().over(Window.partitionBy(*NODE).orderBy("arrival"))
+    counted = log.withColumns({name: number.over(fence.of_node()) for name, number in numbers.items()} | {"_place": place})
+    return counted.where("_place = 1").select(*NODE, *numbers, "row.*")
 
 
 def notes(log: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -82,24 +120,46 @@ def notes(log: DataFrame, nodes: DataFrame) -> DataFrame:
     ``log``: audit rows with ``arrival``, ``outcome``, ``output_hash`` and ``note``.
     """
     row = nodes.select(*NODE, F.col("attempt").alias("row_attempt"), F.col("output_hash").alias("row_hash"))
-    tried = log.select(*NODE, "arrival", "attempt", "outcome", "output_hash", F.col("note").alias("why")).join(row, NODE)
-    attempt, final = F.col("attempt").cast("string"), F.col("row_attempt").cast("string")
-    differs = F.when(F.col("output_hash") != F.col("row_hash"), "divergent output discarded").otherwise("same output")
+    tried = log.select(*NODE, "arrival", "attempt", "outcome", "output_hash", "note").join(row, NODE)
+    told = tried.select(*NODE, "arrival", _text("row_attempt", "row_hash").alias("text")).where("text IS NOT NULL")
+    return told.groupBy(*NODE).agg(_joined(F.collect_list(F.struct("arrival", "text"))).alias("note"))
+
+
+def _text(row_attempt: str, row_hash: str) -> Column:
+    """What became of an attempt; null if nothing is to be told."""
+    attempt, final, why = F.col("attempt").cast("string"), F.col(row_attempt).cast("string"), F.col("note")
+    differs = F.when(F.col("output_hash") != F.col(row_hash), "divergent output discarded").otherwise("same output")
     overwritten = F.concat(F.lit("attempt "), attempt, F.lit("'s row overwritten by attempt "), final, F.lit("; "), differs)
-    stale = F.concat(F.lit("stale attempt "), attempt, F.lit(" fenced out"), F.when(F.length("why") > 0, F.concat(F.lit(" ("), F.col("why"), F.lit(")"))).otherwise(""))
-    text = (
-        F.when((F.col("outcome") == "WROTE") & (F.col("attempt") != F.col("row_attempt")), overwritten)
+    stale = F.concat(F.lit("stale attempt "), attempt, F.lit(" fenced out"), F.when(F.length(why) > 0, F.concat(F.lit(" ("), why, F.lit(")"))).otherwise(""))
+    return (
+        F.when((F.col("outcome") == "WROTE") & (F.col("attempt") != F.col(row_attempt)), overwritten)
         .when(F.col("outcome") == "FENCED_OUT", stale)
-        .when(F.col("outcome") == "DIVERGENCE_REPAIRED", F.concat(F.lit("reconcile: "), F.coalesce("why", F.lit(""))))
+        .when(F.col("outcome") == "DIVERGENCE_REPAIRED", F.concat(F.lit("reconcile: "), F.coalesce(why, F.lit(""))))
     )
-    told = tried.select(*NODE, "arrival", text.alias("text")).where("text IS NOT NULL")
-    ordered = F.array_sort(F.collect_list(F.struct("arrival", "text")))
-    return told.groupBy(*NODE).agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "; ").alias("note"))
+
+
+def _joined(told: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(told), lambda s: s["text"]), "; ")
 
 
 def node_lines(log: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ledger of runs: one line of text for each node."""
-    out = nodes.join(attempt_waste(log, nodes), NODE, "left").join(notes(log, nodes), NODE, "left")
+    return _lines(nodes.join(attempt_waste(log, nodes), NODE, "left").join(notes(log, nodes), NODE, "left"))
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """``node_lines`` out of the log alone, in one pass over it.
+
+    ``log``: audit rows with ``row`` (``fence.with_row``: node, lg_step, attempt, status, output_hash, tokens_in,
+    tokens_out).
+    """
+    told = log.withColumn("text", _text("row.attempt", "row.output_hash"))
+    waste = F.sum(F.when(F.col("attempt") != F.col("row.attempt"), C.tokens()))
+    one = _one_each(told, {"retry_waste": waste, "_told": F.collect_list(F.when(F.col("text").isNotNull(), F.struct("arrival", "text")))})
+    return _lines(one.withColumns({"retry_waste": F.col("retry_waste").cast("bigint"), "note": _joined(F.col("_told"))}))
+
+
+def _lines(out: DataFrame) -> DataFrame:
     left, right = F.rpad, F.lpad
     waste = F.coalesce("retry_waste", F.lit(0))
     wide = lambda c, n, pad: F.when(F.length(c) > n, c).otherwise(pad(c, n, " "))

@@ -17,11 +17,21 @@ def log(spark, d):
     return fence.classify(L.attempts(spark, d))
 
 
+def status_of(op):
+    return F.when(op == "commit", "COMMITTED").when(op == "abandon", "ABANDONED").otherwise("PROVISIONAL")
+
+
+def with_row(spark, d, columns, **more):
+    """The log with each node's standing row, dealt by run; ``columns``: those of the row, which are all that is read."""
+    tried = L.attempts(spark, d, True, **more).withColumn("status", status_of(F.col("op")))
+    needed = {*NODE, "arrival", "attempt", "fence_scheduled_at", "tokens_in", "tokens_out", *columns, *more}
+    return fence.with_row(fence.classify(tried.select(*(c for c in tried.columns if c in needed))), columns)
+
+
 def nodes(spark, d):
     """Standing rows with the status that their last operation gives."""
     rows = fence.snapshot(L.attempts(spark, d))
-    status = F.when(F.col("op") == "commit", "COMMITTED").when(F.col("op") == "abandon", "ABANDONED").otherwise("PROVISIONAL")
-    return rows.withColumn("status", status).withColumn("committed_at", F.when(F.col("op") == "commit", F.col("commit_at"))).drop("op", "commit_at", "arrival")
+    return rows.withColumn("status", status_of(F.col("op"))).withColumn("committed_at", F.when(F.col("op") == "commit", F.col("commit_at"))).drop("op", "commit_at", "arrival")
 
 
 @R.add("ups1_upsert", sql("log", then=f"""

@@ -36,25 +36,37 @@ def plus_micros(ts: Column, micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros.cast("bigint"), ts)
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dealt(rows: DataFrame, order: str) -> DataFrame:
+    """Rows of a table dealt by the run that their order is. Done before keys and other texts are made of them, numbers
+    go through the shuffle; what is grouped or joined by run or node afterwards, with others so dealt, stays in place."""
+    return rows.repartition(*run_key(F.col(order))[1:])  # the namespace is the same in all
+
+
+def attempts(spark: SparkSession, sf_dir: str, by_run: bool = False, **more: Column) -> DataFrame:
     """Write attempts in order of arrival, with what each attempt knows of its node.
 
-    The windows are by the node's key, as everything that follows, so one shuffle serves them all.
+    The windows are by the node's key, as everything that follows, so one shuffle serves them all; it is by run, see
+    ``dealt``, if ``by_run`` is set. ``more``: further columns, of the line's numbers.
     """
-    line = read(spark, sf_dir, "lineitem").select("*", *run_key(F.col("l_orderkey")), (F.col("l_linenumber") - 1).cast("int").alias("seq"))
+    code = F.when(F.col("l_linestatus") == "F", 1).when(F.col("l_returnflag") == "R", 2).cast("byte")
+    numbers = {
+        "_code": code, "_percent": F.round(F.col("l_discount") * 100).cast("bigint"), "_tokens": F.col("l_quantity").cast("int"), "_seconds": F.col("l_quantity").cast("bigint"),
+    }
+    line = read(spark, sf_dir, "lineitem").withColumns(numbers)
+    line = (dealt(line, "l_orderkey") if by_run else line).select("*", *run_key(F.col("l_orderkey")), (F.col("l_linenumber") - 1).cast("int").alias("seq"))
     group = Window.partitionBy(*NODE)
-    micro = F.round(F.col("l_extendedprice") * 100).cast("bigint") * F.round(F.col("l_discount") * 100).cast("bigint") * 100
+    micro = F.round(F.col("l_extendedprice") * 100).cast("bigint") * F.col("_percent") * 100
     cost = F.when(F.col("l_suppkey") % 10 != 0, (micro.cast("decimal(20,6)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(14,6)"))
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     node = F.concat(F.lit("n"), (supp % 7).cast("string"))
-    finished = plus_micros(F.col("l_shipdate"), F.col("l_quantity").cast("bigint") * 1234500)
-    status = F.when(F.col("l_linestatus") == "F", "commit").when(F.col("l_returnflag") == "R", "abandon")
+    finished = plus_micros(F.col("l_shipdate"), F.col("_seconds") * 1234500)
+    status = F.when(F.col("_code") == 1, "commit").when(F.col("_code") == 2, "abandon")
     return line.select(
         *NODE,
         F.row_number().over(group.orderBy("l_partkey", "l_suppkey", "l_extendedprice")).alias("attempt"),
         F.col("l_shipdate").alias("fence_scheduled_at"),
         F.row_number().over(group.orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey")).alias("arrival"),
-        F.when(part % 17 != 0, F.col("l_quantity").cast("int")).alias("tokens_in"),
+        F.when(part % 17 != 0, F.col("_tokens")).alias("tokens_in"),
         (part % 100).cast("int").alias("tokens_out"),
         cost.alias("cost_usd"),
         F.sha2(F.concat_ws(":", (part % 10).cast("string"), (supp % 2).cast("string")), 256).alias("output_hash"),
@@ -73,13 +85,15 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         finished.alias("finished_at"),
         plus_micros(finished, supp * 1000 + 500).alias("commit_at"),
         status.alias("op"),
+        *(column.alias(name) for name, column in more.items()),
     )
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs with the numbers that a seal request carries; running ones have none."""
+def runs(spark: SparkSession, sf_dir: str, by_run: bool = False) -> DataFrame:
+    """Runs with the numbers that a seal request carries; running ones have none. ``by_run``: see ``dealt``."""
     status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "FAILED").otherwise("RUNNING")
-    return read(spark, sf_dir, "orders").select(
+    order = read(spark, sf_dir, "orders")
+    return (dealt(order, "o_orderkey") if by_run else order).select(
         *run_key(F.col("o_orderkey")),
         F.col("o_orderpriority").alias("workflow_type"),
         status.alias("status"),
@@ -89,18 +103,23 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sealed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sealed_runs(spark: SparkSession, sf_dir: str, by_run: bool = False) -> DataFrame:
     """Runs with what a seal leaves: who sealed them and when, counts, whether they are degraded and what is missing."""
     n = F.col("run_id").cast("bigint")
     by = F.when(n % 4 == 1, "reconcile").when(n % 4 != 0, "seal")
     degraded = F.coalesce((n % 6 == 1) & by.isNotNull(), F.lit(False))
-    return runs(spark, sf_dir).drop("accepted_count", "node_count").withColumns({
+    return runs(spark, sf_dir, by_run).drop("accepted_count", "node_count").withColumns({
         "sealed_by": by, "sealed_at": F.when(by.isNotNull(), F.col("first_seen_at")), "degraded": degraded,
         "missing_seqs": F.when(degraded & (n % 5 != 0), F.array((n % 3).cast("int"), (n % 3 + 2).cast("int"))),
         "node_count": F.when(by.isNotNull(), (n % 9).cast("int")), "committed_count": F.when(by.isNotNull(), (n % 7).cast("int")), "abandoned_count": F.when(by.isNotNull(), (n % 2).cast("int")),
     })
 
 
+def prevented() -> Column:
+    """Duplicates that a line's effect prevented."""
+    return (F.col("l_partkey") % 3).cast("int")
+
+
 def run_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standing effects of runs, one for each line of an order."""
     line = read(spark, sf_dir, "lineitem")
@@ -109,7 +128,7 @@ def run_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(
         *run_key(F.col("l_orderkey")), (F.col("l_linenumber") - 1).cast("int").alias("seq"), name.alias("name"),
         F.sha2(F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey")).cast("binary"), 256).alias("key"),
-        F.when(F.col("l_linestatus") == "F", "DONE").otherwise("STARTED").alias("status"), (F.col("l_partkey") % 3).cast("int").alias("duplicates_prevented"),
+        F.when(F.col("l_linestatus") == "F", "DONE").otherwise("STARTED").alias("status"), prevented().alias("duplicates_prevented"),
     )
 
 
